@@ -150,13 +150,15 @@ def exact_quantiles(
     """Linearly interpolated quantiles per key, one DOUBLE column per entry of ``probs``.
 
     Keys of at most ``hot_rows`` rows use the built-in exact aggregate (its buffer is bounded by
-    the key's size); larger keys go through the sketch-bracketed path.
+    the key's size); larger keys go through the sketch-bracketed path. Group sizes are counted first,
+    so ``values`` should be a stored table rather than a long chain of transformations.
     """
     if not keys:
         return _exact_by_sketch(values, keys, value, probs)
     base = values.where(F.col(value).isNotNull()).select(*keys, value)
     hot = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    small = base.join(hot, keys, "left_anti").groupBy(*keys).agg(
-        *[F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]
-    )
+    plain = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]
+    if hot.isEmpty():
+        return base.groupBy(*keys).agg(*plain)
+    small = base.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain)
     return small.unionByName(_exact_by_sketch(base.join(hot, keys, "left_semi"), keys, value, probs))

@@ -1,12 +1,15 @@
 """Probability-vector helpers.
 
-Vectors are short fixed-length ``ARRAY<DOUBLE>`` columns. Every helper unrolls the array into
-plain element arithmetic, which stays inside whole-stage code generation (higher-order
-functions would fall back to interpreted evaluation).
+Vectors are short fixed-length ``ARRAY<DOUBLE>`` columns. Helpers work on single elements. Where an
+intermediate is used many times it is bound once with ``let``: the optimizer copies a column's
+expression into every place that reads it (filters most of all), which grows exponentially
+when such helpers are stacked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +17,23 @@ from runlens.functions.numeric import add_all
 from runlens.vocab import CLASSES, labels_array
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def items(p: Column, n: int) -> list[Column]:
     return [F.get(p, F.lit(i)) for i in range(n)]
 
 
 def softmax(scores: list[Column]) -> Column:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    ex = [F.exp(s - top) for s in scores]
-    return F.array(*[e / add_all(ex) for e in ex])
+    n = len(scores)
+
+    def scaled(a: Column) -> Column:
+        top = F.array_max(a)
+        return let(F.transform(a, lambda x: F.exp(x - top)), lambda e: F.transform(e, lambda x: x / add_all(items(e, n))))
+
+    return let(F.array(*scores), scaled)
 
 
 def sigmoid(x: Column) -> Column:
@@ -31,14 +43,17 @@ def sigmoid(x: Column) -> Column:
 def normalise(values: list[Column]) -> Column:
     """Clamp at zero and divide by the sum; an all-zero row becomes uniform (decided per row)."""
     n = len(values)
-    pos = [F.greatest(v, F.lit(0.0)) for v in values]
-    total = add_all(pos)
-    return F.array(*[F.when(total <= 0, F.lit(1.0 / n)).otherwise(F.try_divide(p, total)) for p in pos])
+
+    def scaled(a: Column) -> Column:
+        pos = items(a, n)
+        return let(add_all(pos), lambda s: F.array(*[F.when(s <= 0, F.lit(1.0 / n)).otherwise(F.try_divide(p, s)) for p in pos]))
+
+    return let(F.array(*[F.greatest(v, F.lit(0.0)) for v in values]), scaled)
 
 
 def top_label(p: Column, labels=CLASSES) -> Column:
     """Label of the first maximum."""
-    return F.get(labels_array(labels), (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+    return let(p, lambda a: F.get(labels_array(labels), (F.array_position(a, F.array_max(a)) - 1).cast("int")))
 
 
 def top_value(p: Column) -> Column:
@@ -47,16 +62,16 @@ def top_value(p: Column) -> Column:
 
 def alternatives(p: Column, exclude: Column, k: int, labels=CLASSES) -> Column:
     """Top-k (label, p) structs by descending p, class order on ties, without ``exclude``."""
-    entries = F.array(
-        *[
-            F.struct((-F.get(p, F.lit(i))).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("label"))
-            for i, c in enumerate(labels)
-        ]
-    )
-    kept = F.array_sort(F.filter(entries, lambda e: e["label"] != exclude))
-    return F.transform(
-        F.slice(kept, 1, k), lambda e: F.struct(e["label"].alias("label"), (-e["neg"]).alias("p"))
-    )
+    def ranked(a: Column) -> Column:
+        entries = F.array(
+            *[
+                F.struct((-F.get(a, F.lit(i))).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("label"))
+                for i, c in enumerate(labels)
+            ]
+        )
+        return F.slice(F.array_sort(F.filter(entries, lambda e: e["label"] != exclude)), 1, k)
+
+    return F.transform(let(p, ranked), lambda e: F.struct(e["label"].alias("label"), (-e["neg"]).alias("p")))
 
 
 def blend(a: Column, b: Column, alpha: float, n: int = len(CLASSES)) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.probs import alternatives, items, normalise, top_label, top_value
+from runlens.functions.probs import alternatives, items, let, normalise, top_label, top_value
 from runlens.vocab import CLASSES, DATA, FAULTY, HEALTHY, OPTGEN, STAGE3_DATA, STAGE3_OPT
 
 
@@ -30,6 +30,10 @@ def compose_probabilities(stage: Column, gate: Column | None) -> Column:
     ``gate`` (boolean, true = stages 2 and 3 ran) reproduces batch scoring, where a row called
     healthy never reaches stage 2; ``None`` composes all stages for every row.
     """
+    return let(stage, lambda s: _composed(s, gate))
+
+
+def _composed(stage: Column, gate: Column | None) -> Column:
     ph, pf, pd_, po, leak, noise, over, under, inst = items(stage, 9)
     p_faulty = F.coalesce(pf, F.lit(1.0) - ph)
     has2 = pd_.isNotNull() & po.isNotNull()
@@ -49,9 +53,11 @@ def compose_probabilities(stage: Column, gate: Column | None) -> Column:
 
 def hard_commit(cascade: Column, stage1_label: Column) -> Column:
     """Zero the healthy class where stage 1 said faulty, then renormalise."""
-    p = items(cascade, len(CLASSES))
-    faulty = stage1_label == FAULTY
-    return normalise([F.when(faulty, F.lit(0.0)).otherwise(p[0]), *p[1:]])
+    def committed(a: Column) -> Column:
+        p = items(a, len(CLASSES))
+        return normalise([F.when(stage1_label == FAULTY, F.lit(0.0)).otherwise(p[0]), *p[1:]])
+
+    return let(cascade, committed)
 
 
 def diagnose(

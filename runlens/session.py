@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "runlens", cpus: str | int = "*") -> SparkSession:
@@ -35,12 +36,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = tempfile.mkdtemp(prefix="runlens-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder, so that executor loss cannot change it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
+
+    Executor loss cannot change the result any more, the plan starts from a scan (columns are
+    pruned again), and the rows are computed once (an RDD checkpoint would compute them twice).
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/runlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
