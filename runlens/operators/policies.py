@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.probs import blend, items, soft_label, top_label, top_value
+from runlens.functions.probs import blend, items, let, soft_label, top_label, top_value
 from runlens.vocab import CLASSES
 
 POLICIES = ("agreement_or_cascade", "agreement_or_flat", "confidence_weighted", "external_arbitration")
@@ -131,38 +131,46 @@ def arbitration_requests(
 
 def json_block(text: Column) -> Column:
     """The JSON object inside a response: without a code fence, else from first { to last }."""
-    t = F.trim(text)
-    fenced = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n", ""), r"```$", "")
-    body = F.trim(F.when(F.startswith(t, F.lit("```")), fenced).otherwise(t))
-    whole = F.when(F.try_parse_json(body).isNotNull(), body)
-    inner = F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(whole, F.when(F.try_parse_json(inner).isNotNull(), inner))
 
+    def body(t: Column) -> Column:
+        fenced = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n", ""), r"```$", "")
+        return F.trim(F.when(F.startswith(t, F.lit("```")), fenced).otherwise(t))
 
-def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
-    """Add chosen_label, chosen_source, confidence (clamped) and ``error`` (null = usable)."""
-    r = responses.withColumn("_j", json_block(F.col(text)))
-    v = F.try_parse_json("_j")
+    def valid(b: Column) -> Column:
+        inner = F.nullif(F.regexp_extract(b, r"(?s)\{.*\}", 0), F.lit(""))
+        options = F.filter(F.array(b, inner), lambda x: F.try_parse_json(x).isNotNull())
+        return F.get(options, F.lit(0))
+
+    return let(let(F.trim(text), body), valid)
+
+
+def _decision(j: Column) -> Column:
+    v = F.try_parse_json(j)
     kind = F.schema_of_variant(F.try_variant_get(v, "$.chosen_label", "variant"))
-    is_object = F.startswith(F.col("_j"), F.lit("{"))
-    label, source = F.get_json_object("_j", "$.chosen_label"), F.get_json_object("_j", "$.chosen_source")
-    raw = F.get_json_object("_j", "$.confidence")
-    has_conf = F.try_variant_get(v, "$.confidence", "variant").isNotNull()
-    conf = F.when(has_conf, raw.try_cast("double")).otherwise(F.lit(0.5))
+    label, source = F.get_json_object(j, "$.chosen_label"), F.get_json_object(j, "$.chosen_source")
+    given = F.get_json_object(j, "$.confidence")
+    conf = F.when(F.try_variant_get(v, "$.confidence", "variant").isNotNull(), given.try_cast("double")).otherwise(F.lit(0.5))
     error = (
-        F.when(~F.coalesce(is_object, F.lit(False)), "response was not a JSON object")
+        F.when(~F.coalesce(F.startswith(j, F.lit("{")), F.lit(False)), "response was not a JSON object")
         .when(F.coalesce(kind, F.lit("")) != "STRING", "chosen_label missing or not a string")
         .when(~label.isin(*CLASSES), "chosen_label outside the vocabulary")
         .when(~F.coalesce(source.isin(*SOURCES), F.lit(False)), "chosen_source outside flat, cascade, neither")
         .when(conf.isNull(), "confidence not a number")
     )
-    ok = error.isNull()
+    clamped = F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0))
+    return F.struct(label.alias("label"), source.alias("source"), clamped.alias("confidence"), error.alias("error"))
+
+
+def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
+    """Add chosen_label, chosen_source, confidence (clamped) and ``error`` (null = usable)."""
+    r = responses.withColumn("_d", let(json_block(F.col(text)), _decision))
+    ok = F.col("_d.error").isNull()
     return r.select(
         *[c for c in responses.columns if c != text],
-        F.when(ok, label).alias("chosen_label"),
-        F.when(ok, source).alias("chosen_source"),
-        F.when(ok, F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0))).alias("confidence"),
-        error.alias("error"),
+        F.when(ok, F.col("_d.label")).alias("chosen_label"),
+        F.when(ok, F.col("_d.source")).alias("chosen_source"),
+        F.when(ok, F.col("_d.confidence")).alias("confidence"),
+        F.col("_d.error").alias("error"),
     )
 
 

@@ -46,7 +46,16 @@ def _bank_row(bank: DataFrame) -> DataFrame:
     fields = [common("train_mean").alias("m"), common("train_std").alias("s")]
     for c in CLASSES:
         fields += [ordered(c, "mean").alias(f"p_{c}"), ordered(c, "z").alias(f"z_{c}")]
-    return bank.agg(F.struct(*fields).alias("bank"))
+    one = bank.agg(*fields)
+    # Centre each prototype here, once, rather than per scored row.
+    cols = ["m", "s"]
+    for c in CLASSES:
+        mean = F.try_divide(_sum(F.col(f"p_{c}")), F.size(f"p_{c}"))
+        one = one.withColumn(f"c_{c}", _shift(F.col(f"p_{c}"), mean)).withColumn(
+            f"q_{c}", _sum(F.transform(f"c_{c}", lambda a: a * a))
+        )
+        cols += [f"z_{c}", f"c_{c}", f"q_{c}"]
+    return one.select(F.struct(*cols).alias("bank"))
 
 
 def _sum(arr):
@@ -67,13 +76,11 @@ def prototype_distances(table: DataFrame, bank: DataFrame, x: str = "x", keys: t
     t = t.withColumn("sxx", _sum(F.transform("xc", lambda a: a * a)))
     out = []
     for c in CLASSES:
-        p, z = F.col(f"b.p_{c}"), F.col(f"b.z_{c}")
-        there = F.size(p) > 0
-        mp = _sum(p) / F.size(p)
-        pc = _shift(p, mp)
+        pc, z, q = F.col(f"b.c_{c}"), F.col(f"b.z_{c}"), F.col(f"b.q_{c}")
+        there = F.size(pc) > 0
         neuc = F.sqrt(_sum(F.zip_with("xz", z, lambda a, b: (a - b) * (a - b))))
         num = _sum(F.zip_with("xc", pc, lambda a, b: a * b))
-        den = F.sqrt(F.col("sxx") * _sum(F.transform(pc, lambda a: a * a)) + F.lit(1e-30))
+        den = F.sqrt(F.col("sxx") * q + F.lit(1e-30))
         out += [F.when(there, neuc).alias(f"proto_neuc_{c}"), F.when(there, F.lit(1.0) - num / den).alias(f"proto_corr_{c}")]
     return t.select(*keys, *out)
 
