@@ -163,10 +163,16 @@ def grouped_delta_interval(
     this is exactly the multinomial over all groups. A group contributes its few counts per kind, so a
     group holding most rows costs no more than any other.
     """
-    cols = ["y_true", "pred_a", "pred_b"]
-    rows = df.select(F.col(group).alias("g"), "y_true", F.col(a).alias("pred_a"), F.col(b).alias("pred_b"))
-    profile = kinds(rows, ["g"], cols)
-    n_groups = rows.agg(F.approx_count_distinct("g")).first()[0]
+    known = (*labels, OTHER)
+
+    def code(c: str) -> Column:
+        pos = F.array_position(F.array(*map(F.lit, labels)), F.col(c))
+        return F.when(pos > 0, pos - 1).otherwise(len(labels)).cast("int")
+
+    size = len(known)
+    kind = code("y_true") * (size * size) + code(a) * size + code(b)
+    profile = df.select(F.col(group).alias("g"), kind.alias("kind")).groupBy("g", "kind").agg(F.count(F.lit(1)).alias("n"))
+    n_groups = df.agg(F.approx_count_distinct(group)).first()[0]
     n_buckets = max(8, int(n_groups // GROUPS_PER_BUCKET) + 1)
     tagged = profile.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int"))
     # One number per bucket, so groups / GROUPS_PER_BUCKET numbers reach the driver and the tasks.
@@ -178,37 +184,35 @@ def grouped_delta_interval(
         bucket = int(key[0])
         mine = order.index(bucket)
         codes, _ = pd.factorize(pdf["g"], sort=True)
-        kind_codes, kind_labels = pd.factorize(pd.MultiIndex.from_frame(pdf[cols]), sort=True)
-        n = pdf["n"].to_numpy(np.int64)
-        g = codes.max() + 1
-        sums = np.empty((n_bootstrap + 1, len(kind_labels)))
+        kind_codes, kind_ids = pd.factorize(pdf["kind"], sort=True)
+        n, g = pdf["n"].to_numpy(np.int64), codes.max() + 1
+        sums = np.empty((n_bootstrap + 1, len(kind_ids)), dtype=np.int64)
         for i in range(n_bootstrap + 1):
             if i == 0:
                 w = np.ones(g, dtype=np.int64)
             else:
                 share = np.random.default_rng([seed, i]).multinomial(total, ks / total)[mine]
                 w = np.random.default_rng([seed, i, bucket + 1]).multinomial(share, np.full(g, 1.0 / g))
-            sums[i] = np.bincount(kind_codes, weights=n * w[codes], minlength=len(kind_labels))
-        out = pd.DataFrame(list(kind_labels) * (n_bootstrap + 1), columns=cols)
-        out.insert(0, "b", np.repeat(np.arange(n_bootstrap + 1), len(kind_labels)))
-        return out.assign(n=sums.ravel().astype(np.int64))
+            sums[i] = np.bincount(kind_codes, weights=n * w[codes], minlength=len(kind_ids))
+        reps = np.repeat(np.arange(n_bootstrap + 1), len(kind_ids))
+        return pd.DataFrame({"b": reps, "kind": np.tile(kind_ids, n_bootstrap + 1), "n": sums.ravel()})
 
-    drawn = tagged.groupBy("bucket").applyInPandas(draw, "b long, y_true string, pred_a string, pred_b string, n long")
-    cells = drawn.groupBy("b", *cols).agg(F.sum("n").alias("n"))
-    per = cells.groupBy("b").agg(F.collect_list(F.struct(*cols, "n")).alias("cells"))
+    drawn = tagged.groupBy("bucket").applyInPandas(draw, "b long, kind int, n long")
+    cells = drawn.groupBy("b", "kind").agg(F.sum("n").alias("n"))
+    per = cells.groupBy("b").agg(F.collect_list("kind").alias("kinds"), F.collect_list("n").alias("ns"))
 
     @F.pandas_udf("d double, h double, n long")
-    def score(cells_: pd.Series) -> pd.DataFrame:
-        out = []
-        for cs in cells_:
-            y, pa, pb = (np.array([r[c] for r in cs], dtype=object) for c in cols)
-            w = np.array([r["n"] for r in cs], dtype=np.int64)
+    def score(kinds_: pd.Series, ns: pd.Series) -> pd.DataFrame:
+        names, out = np.array(known, dtype=object), []
+        for k, w in zip(kinds_, ns):
+            k, w = np.asarray(k), np.asarray(w)
+            y, pa, pb = names[k // (size * size)], names[k // size % size], names[k % size]
             d = _scores(y, pb, w, metric, labels) - _scores(y, pa, w, metric, labels)
             h = _cohen_h(_scores(y, pa, w, "accuracy", labels), _scores(y, pb, w, "accuracy", labels))
             out.append((d, h, int(w.sum())))
         return pd.DataFrame(out)
 
-    reps = per.select("b", score("cells").alias("r")).select("b", "r.*")
+    reps = per.select("b", score("kinds", "ns").alias("r")).select("b", "r.*")
     out = _summarise_delta(reps.withColumn("n", F.when(F.col("b") == 0, F.col("n"))), [], alpha, n_comparisons)
     return out.withColumn("n_groups", F.lit(total))
 
