@@ -14,6 +14,7 @@ from runlens.operators.cascade import compose_probabilities
 from runlens.operators.folds import assign_folds, leaked
 from runlens.operators.metrics import confusion_cells, summary
 from runlens.operators.stacking import META_FEATURES, meta_features
+from runlens.session import cut_lineage
 from runlens.vocab import CLASSES, DATA, FAULTY, OPTGEN, STAGE1, STAGE2, STAGE3_DATA, STAGE3_OPT, to_stage1, to_stage2
 
 STAGES = {"stage1": STAGE1, "stage2": STAGE2, "stage3_data": STAGE3_DATA, "stage3_opt": STAGE3_OPT}
@@ -91,14 +92,19 @@ def oof_predictions(df: DataFrame, *, k: int = 5, kind: str = "logistic", label:
 
     ``gate`` applies the stage-1 gate as batch scoring does; without it all stages are composed.
     """
-    folded = assign_folds(df, label, k, seed)
-    out = None
-    for i in range(k):
+    folded = cut_lineage(assign_folds(df, label, k, seed))
+
+    def one(i: int) -> DataFrame:
         train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
         flat = zoo.fit(train, CLASSES, kind=kind, label=label, features=features, seed=seed, **options)
         casc = train_cascade(train, kind=kind, label=label, features=features, seed=seed, **options)
-        scored = casc.score(flat.probabilities(test, "flat", features), features)
-        out = scored if out is None else out.unionByName(scored)
+        return casc.score(flat.probabilities(test, "flat", features), features)
+
+    with ThreadPoolExecutor(zoo.PARALLEL_FITS) as pool:
+        parts = list(pool.map(one, range(k)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     gate_col = (F.get("stage_probs", F.lit(0)) < 0.5) if gate else None
     return out.withColumn("cascade", compose_probabilities(F.col("stage_probs"), gate_col))
 
@@ -152,7 +158,7 @@ def with_no_arbitrator(df: DataFrame) -> DataFrame:
 
 def train_meta(oof: DataFrame, *, kind: str = "logistic", k: int = 5, seed: int = 0, label: str = "y", drop: tuple[str, ...] = (), **options) -> MetaModel:
     """Meta model on out-of-fold meta features; ``drop`` removes features (ablation)."""
-    feats = meta_features(oof, ("run_id", label))
+    feats = cut_lineage(meta_features(oof, ("run_id", label)))
     used = tuple(c for c in META_FEATURES if c not in drop)
     x = feats.withColumn("x", F.array(*[F.col(c) if c in used else F.lit(0.0) for c in META_FEATURES])).select("run_id", label, "x")
     _, means = zoo.select_model(x, CLASSES, (kind,), k=k, label=label, seed=seed, options={kind: options})
@@ -163,7 +169,7 @@ def train_meta(oof: DataFrame, *, kind: str = "logistic", k: int = 5, seed: int
 
 def meta_oof(oof: DataFrame, *, kind: str = "logistic", k: int = 5, seed: int = 0, label: str = "y", **options) -> DataFrame:
     """run_id, y, p[6]: stacked probabilities from meta models that did not see the row (for calibration)."""
-    x = meta_features(oof, ("run_id", label)).withColumn("x", F.array(*META_FEATURES)).select("run_id", label, "x")
+    x = cut_lineage(meta_features(oof, ("run_id", label)).select("run_id", label, F.array(*META_FEATURES).alias("x")))
     return zoo.out_of_fold(x, CLASSES, k=k, kind=kind, label=label, seed=seed, **options).drop("x", "fold")
 
 

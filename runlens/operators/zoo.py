@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from runlens.functions.probs import normalise, top_label
 from runlens.operators.folds import assign_folds, class_weights
 from runlens.operators.metrics import confusion_cells, summary
+from runlens.session import cut_lineage
 
 PARALLEL_FITS = 4
 SCORE_DIGITS = 5
@@ -38,9 +39,9 @@ def random_forest(seed: int, n_classes: int, trees: int = 300, depth: int = 12)
     return Pipeline(stages=[rf])
 
 
-def entropy_tree(seed: int, n_classes: int) -> Pipeline:
+def entropy_tree(seed: int, n_classes: int, depth: int = 10) -> Pipeline:
     dt = DecisionTreeClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", impurity="entropy", maxDepth=10, minInstancesPerNode=2, seed=seed
+        featuresCol="features", labelCol="label", weightCol="weight", impurity="entropy", maxDepth=depth, minInstancesPerNode=2, seed=seed
     )
     return Pipeline(stages=[dt])
 
@@ -127,11 +128,15 @@ def fit(
 
 def out_of_fold(df: DataFrame, classes: tuple[str, ...], *, k: int = 3, kind: str = "logistic", label: str = "y", features: str = "x", seed: int = 0, **options) -> DataFrame:
     """``df`` + fold + p: every row scored by a model that did not see its fold."""
-    folded = df if "fold" in df.columns else assign_folds(df, label, k, seed)
-    parts = []
-    for i in range(k):
+    # Training reads its rows many times: fold membership is computed once and stored.
+    folded = df if "fold" in df.columns else cut_lineage(assign_folds(df, label, k, seed))
+
+    def one(i: int) -> DataFrame:
         model = fit(folded.where(F.col("fold") != i), classes, kind=kind, label=label, features=features, seed=seed, **options)
-        parts.append(model.probabilities(folded.where(F.col("fold") == i), "p", features))
+        return model.probabilities(folded.where(F.col("fold") == i), "p", features)
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        parts = list(pool.map(one, range(k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -177,7 +182,7 @@ def _apply_calibration(df: DataFrame, p: str, calibrators: list[Model]) -> DataF
 def fit_calibrated(df: DataFrame, classes: tuple[str, ...], *, method: str = "isotonic", k: int = 3, **settings) -> Scorer:
     """A classifier fitted on all rows, with per-class calibration curves from out-of-fold scores."""
     label = settings.get("label", "y")
-    scored = out_of_fold(df, classes, k=k, **settings)
+    scored = cut_lineage(out_of_fold(df, classes, k=k, **settings).select(label, "p"))
     model = fit(df, classes, **settings)
     model.calibrators = (_isotonic if method == "isotonic" else _sigmoid)(scored, model.classes, label)
     return model
@@ -188,7 +193,7 @@ def fit_calibrated(df: DataFrame, classes: tuple[str, ...], *, method: str = "is
 
 def cv_scores(df: DataFrame, classes: tuple[str, ...], kinds: tuple[str, ...], *, k: int = 5, label: str = "y", features: str = "x", seed: int = 0, options: dict | None = None) -> DataFrame:
     """(kind, fold, accuracy, macro_f1) of every candidate on the same folds."""
-    folded = assign_folds(df, label, k, seed)
+    folded = cut_lineage(assign_folds(df, label, k, seed))
     out = None
     for kind in kinds:
         scored = out_of_fold(folded, classes, k=k, kind=kind, label=label, features=features, seed=seed, **(options or {}).get(kind, {}))

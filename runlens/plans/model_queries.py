@@ -93,7 +93,7 @@ def _register_calibration(method: str) -> None:
     @query(f"calibrated_{method}", "M7")
     def _(t):
         train, test = (cut_lineage(p) for p in holdout(_x(t), "y"))
-        model = zoo.fit_calibrated(train, CLASSES, method=method, k=3, iterations=20)
+        model = zoo.fit_calibrated(train, CLASSES, method=method, k=3, kind="entropy_tree", depth=4)
         out = model.probabilities(test.select("run_id", "y", "x"))
         return rounded(out.select("run_id", "y", *[v.alias(n) for n, v in zip(P, items(F.col("p"), 6))]))
 
@@ -125,7 +125,7 @@ def _(t):
 
 
 def _oof(t, k=3):
-    return cut_lineage(training.with_no_arbitrator(training.oof_predictions(_x(t, separable=True), k=k, kind="entropy_tree")).drop("x"))
+    return cut_lineage(training.with_no_arbitrator(training.oof_predictions(_x(t, separable=True), k=k, kind="entropy_tree", depth=4)).drop("x"))
 
 
 @query("oof_predictions", "M8")
@@ -181,7 +181,7 @@ def _(t):
 @query("feature_ablation", "M11 P5")
 def _(t):
     train, test = (cut_lineage(p) for p in holdout(_x(t), "y"))
-    reps = training.ablation(train, test, {"base": list(range(20)), "block": list(range(20, 26)), "both": list(range(26))}, kind="entropy_tree")
+    reps = training.ablation(train, test, {"base": list(range(20)), "block": list(range(20, 26)), "both": list(range(26))}, kind="entropy_tree", depth=5)
     v = training.ablation_verdict(cut_lineage(reps), "base", "both")
     return rounded(reps.select("variant", "n_features", "n_samples", "accuracy", "macro_f1").withColumn("verdict", v.select("verdict").scalar()))
 
