@@ -85,7 +85,8 @@ def exact_order_statistics(
     x = F.col(value)
     base = values.where(x.isNotNull()).select(*keys, value)
     counted = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    eps = 3.0 / accuracy
+    # The sketch's own error, and at least two ranks in the smallest group that is bracketed.
+    eps = 3.0 / accuracy + 2.0 / SMALL_GROUP
     probes: list[float] = []
     for frac, _ in ranks.values():
         probes += [max(0.0, frac - eps), min(1.0, frac + eps)]
@@ -122,9 +123,16 @@ def exact_order_statistics(
     wide = hits.groupBy(*keys).agg(
         *[F.min(F.when(F.col("name") == name, x)).alias(name) for name in ranks]
     )
+    checked = [_found(F.col(name), n).alias(name) for name in ranks]
     if not keys:
-        return _attach(wide, wanted.select("n_values"), [])
-    return wide.join(wanted.select(*keys, "n_values"), keys)
+        return _attach(wide, wanted.select("n_values"), []).select(*checked, "n_values")
+    return wanted.select(*keys, "n_values").join(wide, keys, "left").select(*keys, *checked, "n_values")
+
+
+def _found(v: Column, n: Column) -> Column:
+    """A rank that its bracket missed must fail the query rather than go unnoticed."""
+    missed = F.raise_error(F.lit("order statistic outside its bracket")).cast("double")
+    return F.when((n > 0) & v.isNull(), missed).otherwise(v)
 
 
 def _interpolated(stats: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:

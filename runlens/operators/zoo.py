@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.probs import normalise, top_label
-from runlens.operators.folds import assign_folds, class_weights
+from runlens.operators.folds import assign_folds
 from runlens.operators.metrics import confusion_cells, summary
 from runlens.session import cut_lineage
 
@@ -99,9 +99,24 @@ class Scorer:
         return {c: float(v) for c, v in zip(self.columns, values)}
 
 
-def _indexed(df: DataFrame, label: str, classes: tuple[str, ...], features: str) -> DataFrame:
-    pos = F.array_position(F.array(*map(F.lit, classes)), F.col(label))
-    return df.where(pos > 0).withColumns({"label": (pos - 1).cast("double"), "features": array_to_vector(features)})
+def _training_rows(df: DataFrame, classes: tuple[str, ...], label: str, features: str) -> tuple[DataFrame, int]:
+    """(label index, balanced weight, feature vector) and the vector width.
+
+    Class counts are a few numbers, so the weights enter as literals: MLlib scans its input many
+    times and every scan stays a plain projection of the stored table.
+    """
+    known = df.where(F.col(label).isin(*classes))
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("w")).collect()
+    if not counts:
+        raise ValueError("no labelled training rows")
+    total = sum(r["n"] for r in counts)
+    index, weight = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for r in counts:
+        mine = F.col(label) == r[label]
+        index = F.when(mine, float(classes.index(r[label]))).otherwise(index)
+        weight = F.when(mine, total / (len(counts) * r["n"])).otherwise(weight)
+    rows = known.select(index.alias("label"), weight.alias("weight"), array_to_vector(features).alias("features"))
+    return rows, counts[0]["w"]
 
 
 def fit(
@@ -109,8 +124,8 @@ def fit(
     columns: tuple[str, ...] | None = None, seed: int = 0, **options,
 ) -> Scorer:
     """Fit one classifier on rows (label, features ARRAY<DOUBLE>) with balanced class weights."""
-    width = columns or tuple(f"f{i}" for i in range(len(df.select(features).first()[0])))
-    t = class_weights(_indexed(df, label, classes, features), label)
+    t, size = _training_rows(df, tuple(classes), label, features)
+    width = columns or tuple(f"f{i}" for i in range(size))
     if kind != "boosted":
         return Scorer(kind, tuple(classes), width, [ZOO[kind](seed, len(classes), **options).fit(t)])
     targets = [1] if len(classes) == 2 else range(len(classes))
