@@ -23,7 +23,7 @@ def _rank(alpha: float):
     """0-based rank of the finite-sample quantile: the level min(1, ceil((n+1)(1-a))/n), rounded up."""
 
     def rank(n: Column) -> Column:
-        level = F.least(F.ceil((n + 1) * F.lit(1.0 - alpha)) / n, F.lit(1.0))
+        level = F.least(F.try_divide(F.ceil((n + 1) * F.lit(1.0 - alpha)), n), F.lit(1.0))
         return F.ceil(level * (n - 1))
 
     return rank
