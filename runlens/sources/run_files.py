@@ -93,57 +93,71 @@ def parse_history(lines: DataFrame) -> DataFrame:
     )
 
 
-def _label_block(meta: Column) -> tuple[Column, Column]:
-    """Labels under the first key that gives any, and whether a label value has an unsupported type."""
-    v = F.try_parse_json(meta)
-    picked, bad = [], F.lit(False)
+def _label_block(v: Column) -> tuple[Column, Column]:
+    """Labels under the first key that gives any, and whether a label value has an unsupported type.
+
+    ``v`` is the parsed document (VARIANT).
+    """
+    picked: list[Column] = []
+    bad = F.lit(False)
     for key in LABEL_KEYS:
         item = F.try_variant_get(v, f"$.{key}", "variant")
         kind = F.schema_of_variant(item)
-        values = F.when(kind.startswith("ARRAY"), F.filter(F.try_variant_get(v, f"$.{key}", "array<string>"), lambda x: x.isNotNull())).when(
-            kind == "STRING", F.array(F.try_variant_get(v, f"$.{key}", "string"))
-        )
-        found = F.when(F.size(values) > 0, values)
-        unsupported = item.isNotNull() & ~(kind.startswith("ARRAY") | kind.isin("STRING", "VOID"))
-        bad = bad | (F.coalesce(unsupported, F.lit(False)) & F.coalesce(*picked, F.lit(None)).isNull() if picked else F.coalesce(unsupported, F.lit(False)))
-        picked.append(found)
+        is_list, is_text = kind.startswith("ARRAY"), kind == "STRING"
+        many = F.filter(F.try_variant_get(v, f"$.{key}", "array<string>"), lambda x: x.isNotNull())
+        values = F.when(is_list, many).when(is_text, F.array(F.try_variant_get(v, f"$.{key}", "string")))
+        unsupported = F.coalesce(item.isNotNull() & ~(is_list | is_text | (kind == "VOID")), F.lit(False))
+        earlier = F.coalesce(*picked, F.lit(None)).isNull() if picked else F.lit(True)
+        bad = bad | (unsupported & earlier)
+        picked.append(F.when(F.size(values) > 0, values))
     return F.coalesce(*picked, F.array().cast("array<string>")), bad
 
 
-def _text_at(meta: Column, path: str) -> Column:
-    """A JSON string at ``path``; other types give null."""
-    v = F.try_parse_json(meta)
+def _text_at(v: Column, path: str) -> Column:
+    """A JSON string at ``path`` of a parsed document; other types give null."""
     kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     return F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def dataset_of(meta: Column) -> Column:
-    """dataset, dataset_name, config[task].dataset, or the first config.*.dataset."""
-    config = F.from_json(F.get_json_object(meta, "$.config"), "map<string, string>")
-    by_task = _text_at(F.try_element_at(config, F.get_json_object(meta, "$.task")), "$.dataset")
-    anywhere = F.get(
-        F.filter(F.transform(F.map_values(config), lambda x: _text_at(x, "$.dataset")), lambda d: d.isNotNull()), 0
-    )
-    return F.coalesce(_text_at(meta, "$.dataset"), _text_at(meta, "$.dataset_name"), by_task, anywhere)
+def dataset_of(v: Column, config: Column) -> Column:
+    """dataset, dataset_name, config[task].dataset, or the first config.*.dataset.
+
+    ``config`` maps the sections of the document to their JSON text, in document order.
+    """
+    def inside(section: Column) -> Column:
+        return _text_at(F.try_parse_json(section), "$.dataset")
+
+    by_task = inside(F.try_element_at(config, F.try_variant_get(v, "$.task", "string")))
+    anywhere = F.get(F.filter(F.transform(F.map_values(config), inside), lambda d: d.isNotNull()), 0)
+    return F.coalesce(_text_at(v, "$.dataset"), _text_at(v, "$.dataset_name"), by_task, anywhere)
 
 
 def promote_meta(meta: DataFrame) -> DataFrame:
-    """Run columns found in the metadata alone: run_dir, run_id, labels, dataset, severity, is_multi_label, entry_id."""
-    m = F.col("meta_json")
-    labels, bad = _label_block(m)
-    declared = F.coalesce(F.lower(F.get_json_object(m, "$.multi_label")), F.lit("false"))
-    truthy = ~declared.isin("false", "null", "0", "0.0", "", "[]", "{}")
-    severity = F.coalesce(*[F.nullif(F.get_json_object(m, f"$.{k}"), F.lit("")) for k in ("severity", "fault_severity")])
-    return meta.select(
+    """Run columns found in the metadata alone: run_dir, run_id, labels, dataset, severity, is_multi_label, entry_id.
+
+    Each document is parsed once into a VARIANT; all fields are read from that.
+    """
+    sections = F.from_json(F.get_json_object("meta_json", "$.config"), "map<string, string>")
+    m = meta.withColumns({"_v": F.try_parse_json("meta_json"), "_config": sections})
+    v = F.col("_v")
+
+    def text(key: str) -> Column:
+        return F.nullif(F.try_variant_get(v, f"$.{key}", "string"), F.lit(""))
+
+    labels, bad = _label_block(v)
+    m = m.withColumns({"_labels": labels, "_bad": bad})
+    declared = F.coalesce(F.lower(text("multi_label")), F.lit("false"))
+    truthy = ~declared.isin("false", "null", "0", "0.0", "[]", "{}")
+    return m.select(
         "run_dir",
         "meta_json",
-        F.coalesce(F.nullif(F.get_json_object(m, "$.run_id"), F.lit("")), name_of(F.col("run_dir"))).alias("run_id"),
-        labels.alias("labels"),
-        dataset_of(m).alias("dataset"),
-        F.lower(F.trim(severity)).alias("severity"),
-        (truthy | (F.size(labels) > 1)).alias("is_multi_label"),
-        F.get_json_object(m, "$.entry_id").alias("entry_id"),
-        F.when(bad, F.lit("unsupported label value")).alias("error"),
+        F.coalesce(text("run_id"), name_of(F.col("run_dir"))).alias("run_id"),
+        F.col("_labels").alias("labels"),
+        dataset_of(v, F.col("_config")).alias("dataset"),
+        F.lower(F.trim(F.coalesce(text("severity"), text("fault_severity")))).alias("severity"),
+        (truthy | (F.size("_labels") > 1)).alias("is_multi_label"),
+        text("entry_id").alias("entry_id"),
+        F.when(F.col("_bad"), F.lit("unsupported label value")).alias("error"),
     )
 
 
