@@ -18,8 +18,10 @@ def marginal_counts(runs: DataFrame) -> DataFrame:
     """(dimension, value, n) for label, severity and dataset in one aggregation."""
     dims = ("primary_label", "severity", "dataset")
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])
-    long = filled(runs).select(F.explode(pairs).alias("p")).select("p.dimension", "p.value")
-    return long.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Count the combinations first, so that each row is shuffled (and spread) as part of a count.
+    cells = cross_tab(runs, *dims)
+    long = cells.select("n", F.explode(pairs).alias("p")).select("n", "p.dimension", "p.value")
+    return long.groupBy("dimension", "value").agg(F.sum("n").alias("n"))
 
 
 def cross_tab(runs: DataFrame, *columns: str) -> DataFrame:

@@ -219,16 +219,19 @@ def grouped_delta_interval(
 
 def class_f1_intervals(df: DataFrame, classes: tuple[str, ...] = CLASSES, *, pred: str = "pred", n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(class, n, point_estimate, ci_low, ci_high) of each class's F1 from tp / fp / fn / tn counts."""
-    y, p = F.col("y_true"), F.col(pred)
-    spread = df.select(
+    # Rows become at most 49 counts before they are spread over the classes.
+    counts = kinds(df.select("y_true", F.col(pred).alias("pred")), [], ["y_true", "pred"])
+    y, p = F.col("y_true"), F.col("pred")
+    spread = counts.select(
+        "n",
         F.explode(
             F.array(*[
                 F.struct(F.lit(c).alias("class"), F.when(y == c, "pos").otherwise("neg").alias("y_true"), F.when(p == c, "pos").otherwise("neg").alias("pred"))
                 for c in classes
             ])
-        ).alias("s")
-    ).select("s.*")
-    cells = spread.groupBy("class", "y_true", "pred").agg(F.count(F.lit(1)).alias("n"))
+        ).alias("s"),
+    ).select("n", "s.*")
+    cells = spread.groupBy("class", "y_true", "pred").agg(F.sum("n").alias("n"))
 
     def fn(a, n, b):
         return (_scores(a["y_true"], a["pred"], _draw(n, seed, b), "f1:pos", ("pos",)), int(n.sum()))
