@@ -108,27 +108,35 @@ def batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.Recor
     )
 
 
-def key_ranges(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> list[int]:
-    """Up to ``n - 1`` increasing splitters of an integer key, from a mergeable quantile sketch of all rows."""
-    probs = [i / n for i in range(1, n)]
-    if not probs:
+#: At most so many ranges of ids; each is read as a stream, so their size does not matter for memory.
+MAX_RANGES = 2_048
+
+
+def key_ranges(keys: DataFrame, n: int, accuracy: int = 10_000) -> list[int]:
+    """Up to ``n - 1`` increasing splitters of the only, integer column, from a mergeable quantile sketch of all rows."""
+    if n < 2:
         return []
-    got = df.agg(F.percentile_approx(key, F.array(*[F.lit(p) for p in probs]), F.lit(accuracy)).alias("q")).first()["q"]
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    got = keys.agg(F.percentile_approx(keys.columns[0], probs, F.lit(accuracy)).alias("q")).first()["q"]
     return sorted(set(got or []))
 
 
 def range_of(key: Column, splitters: list[int]) -> Column:
-    """How many splitters are at most the key (binary search over a constant array); null counts as lowest."""
+    """How many splitters are at most the key, by binary search over a constant array."""
     if not splitters:
         return F.lit(0)
-    cuts = F.lit(splitters) if len(splitters) == 1 else F.array(*[F.lit(int(s)) for s in splitters])
-    cuts = F.array(F.lit(int(splitters[0]))) if len(splitters) == 1 else cuts
+    cuts = F.array(*[F.lit(int(x)) for x in splitters])
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(splitters).bit_length()))])
-    at = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda pos, step: F.when(
-            (pos + step <= len(splitters)) & (F.get(cuts, pos + step - 1) <= key), pos + step
-        ).otherwise(pos),
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: F.when((at + step <= len(splitters)) & (F.get(cuts, at + step - 1) <= key), at + step).otherwise(at),
     )
-    return F.when(key.isNull(), F.lit(0)).otherwise(at)
+
+
+def with_id_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(range, key, doc_id, text): ``key`` is the id with null lowest, ``range`` grows with it. Also the number of ranges."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    n = min(MAX_RANGES, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = key_ranges(docs.select(key.alias("key")), n)
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.select(range_of(F.col("key"), cuts).alias("range"), "key", "doc_id", "text"), len(cuts) + 1

@@ -9,8 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import harmonic_packing, minhash_dedup, quality_classifier, quality_rules, secret_scan
-from runlens.llm.common import crc_mod, documents
+from runlens.llm import (
+    bpe_codec, elias_fano, harmonic_packing, hmm_lm, minhash_dedup, quality_classifier, quality_rules, range_sharding, secret_scan, simhash,
+)
+from runlens.llm.common import crc_mod, documents, stored
+from runlens.session import new_table_path
 
 QUALITY_LIMIT = 0.7
 
@@ -32,14 +35,36 @@ def packing() -> harmonic_packing.Packing:
     return harmonic_packing.Packing(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir), scanner()))
 
 
+def op3_range_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_sharding.shard(documents(spark, sf_dir))
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.pack(documents(spark, sf_dir), packing())
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe_codec.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_codec.round_trip(documents(spark, sf_dir), vocabulary)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_within: rows within the search radius of a query row's fingerprint (itself included); null for other rows."""
+    search = simhash.Search()
+    rows = stored(simhash.compare_successors(documents(spark, sf_dir)))
+    asked = (F.col("doc_id") % search.every == 0) & F.col("doc_id").isNotNull()
+    near = simhash.within_radius(rows.select("fingerprint"), rows.where(asked).select("fingerprint"), search)
+    return rows.join(near, "fingerprint", "left").select(*rows.columns, F.when(asked, F.col("n_within")).alias("n_within"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir), minhash_dedup.NearDup(words=4))
 
@@ -59,7 +84,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark)
+    elias_fano.write_ids(documents(spark, sf_dir), path, elias_fano.Format(public_tokenizers.path("word_bpe_49k.json")))
+    return elias_fano.read_documents(spark, path)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_secret_scan, op4_harmonic_packing, op7_minhash_dedup, op8_quality_rules, op9_quality_classifier)
+    for f in (
+        op1_hidden_markov_lm, op2_secret_scan, op3_range_sharding, op4_harmonic_packing, op5_byte_bpe, op6_simhash, op7_minhash_dedup,
+        op8_quality_rules, op9_quality_classifier, op10_elias_fano,
+    )
 }
