@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import as_bytes, batch, map_arrow, mix64, shingles, slices, WordHashes
+from runlens.llm.common import WordHashes, as_bytes, batch, map_arrow, shingles, slices
 
 SYMBOLS = b"#*$%&|<>"  # fixed values of the base rule
 SPACES = b" \t\n\r\x0b\x0c"
@@ -78,14 +78,13 @@ def count_ngrams(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             texts = as_bytes(b.column(0))
             trusted = np.array(b.column(1).to_pylist(), dtype=bool)
             for s in slices(texts):
-                for of, good in ((texts[s], trusted[s]),):
-                    for flag, into in ((True, target), (False, None)):
-                        own = [t for t, g in zip(of, good) if g == flag]
-                        if own:
-                            got = np.bincount(joined_ngrams(own, rules.n, rules.bits)[0], minlength=size)
-                            raw += got
-                            if into is not None:
-                                into += got
+                for flag in (True, False):
+                    own = [t for t, g in zip(texts[s], trusted[s]) if g == flag]
+                    if own:
+                        got = np.bincount(joined_ngrams(own, rules.n, rules.bits)[0], minlength=size)
+                        raw += got
+                        if flag:
+                            target += got
         at = np.flatnonzero(raw)
         yield batch(
             {"bucket": at, "raw": raw[at], "target": target[at]}, {"bucket": pa.int64(), "raw": pa.int64(), "target": pa.int64()}
@@ -101,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> np.ndarra
     The counts that reach the driver are one row for each bucket, 2**bits at most.
     """
     good = labels.groupBy("doc_id").agg((F.min("quality") == 1).alias("trusted"))
-    flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", "trusted")
+    # Always the same join, so that a small label table does not make another plan than a large one.
+    flagged = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", "trusted")
     got = count_ngrams(flagged, rules).toPandas()
     raw, target = np.zeros(1 << rules.bits), np.zeros(1 << rules.bits)
     raw[got["bucket"]], target[got["bucket"]] = got["raw"], got["target"]
