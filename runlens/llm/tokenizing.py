@@ -103,7 +103,7 @@ class SpacePieces:
 class WordPieces:
     """Vocabularies that drop white space: texts are cut at ASCII white space, which belongs to no token."""
 
-    def __init__(self, path: str, mark: str = "¶", limit: int = LIMIT):
+    def __init__(self, path: str, mark: str = "™", limit: int = LIMIT):
         self.tokenizer, self.limit, self.mark = load(path), limit, mark
         (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
         self.mark_bytes = mark.encode()
