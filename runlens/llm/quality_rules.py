@@ -3,7 +3,9 @@
 Every document gives its byte n-grams to the raw multinomial, and the trusted ones give theirs to the target
 multinomial as well. Both are vectors of ``buckets`` counts: each task sums its own, and one small aggregation sums the
 tasks', so the model is bounded whatever the corpus. A document's score is the mean of log(p_target / p_raw) over its
-n-grams; it passes at ``threshold`` or more, a fixed number, so equal texts always get the same verdict.
+n-grams, and one threshold holds for all documents, so equal texts always get the same verdict. It is -0.1, or lower where
+that would cost more than one in a thousand trusted documents (as when one language has few labels); all trusted documents are scored
+to find it.
 
 Byte n-grams, not word n-grams: in the corpora at hand a tenth of all words occur once, so that a word table learns
 little about the next document, while spelling, case and markup show in any few bytes.
@@ -35,12 +37,21 @@ class Rules:
     bits: int = 17
     #: Counts added to both multinomials in each bucket.
     smoothing: float = 2.0
-    #: Least mean log-likelihood ratio (nats for each n-gram) of a kept document.
+    #: Least mean log-likelihood ratio (nats for each n-gram) of a kept document: this, or ``margin`` less than the score that
+    #: all but a share ``spared`` of the trusted documents reach.
     threshold: float = -0.1
+    spared: float = 0.001
+    margin: float = 0.05
     min_words: int = 50
     max_repeated_percent: int = 50
 
 
+@dataclass(frozen=True)
+class Fitted:
+    log_ratio: np.ndarray
+    threshold: float
+
+
 def ngram_buckets(text: bytes, n: int, bits: int) -> np.ndarray:
     a = np.frombuffer(text, np.uint8).astype(np.uint64)
     if len(a) < n:
@@ -94,21 +105,54 @@ def count_ngrams(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> np.ndarray:
-    """Log ratio for each bucket. docs: doc_id, text; labels: doc_id, quality (1 in all of a document's rows: trusted).
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, trusted): whether all of a document's labels are 1."""
+    return labels.groupBy("doc_id").agg((F.min("quality") == 1).alias("trusted"))
 
-    The counts that reach the driver are one row for each bucket, 2**bits at most.
+
+def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Fitted:
+    """The model from docs(doc_id, text) and labels(doc_id, quality).
+
+    The counts that reach the driver are one row for each bucket, 2**bits at most, and one for each thousandth of a nat.
     """
-    good = labels.groupBy("doc_id").agg((F.min("quality") == 1).alias("trusted"))
     # Always the same join, so that a small label table does not make another plan than a large one.
-    flagged = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", "trusted")
+    flagged = docs.select("doc_id", "text").join(trusted_ids(labels).hint("merge"), "doc_id", "left").select("text", "trusted")
     got = count_ngrams(flagged, rules).toPandas()
     raw, target = np.zeros(1 << rules.bits), np.zeros(1 << rules.bits)
     raw[got["bucket"]], target[got["bucket"]] = got["raw"], got["target"]
     if not target.sum():
-        return np.zeros(len(raw), np.float32)
+        return Fitted(np.zeros(len(raw), np.float32), rules.threshold)
     expected = raw * (target.sum() / raw.sum())
-    return np.log((target + rules.smoothing) / (expected + rules.smoothing)).astype(np.float32)
+    table = np.log((target + rules.smoothing) / (expected + rules.smoothing)).astype(np.float32)
+    scored = log_ratios(docs, table, rules).join(trusted_ids(labels).where("trusted"), "doc_id")
+    counts = sorted(scored.groupBy(F.floor(F.col("log_ratio") * 1000).alias("at")).count().collect())
+    below, spared = 0, rules.spared * sum(r["count"] for r in counts)
+    for r in counts:
+        below += r["count"]
+        if below > spared:
+            return Fitted(table, min(rules.threshold, r["at"] / 1000 - rules.margin))
+    return Fitted(table, rules.threshold)
+
+
+def mean_ratios(texts: list[bytes], table: np.ndarray, rules: Rules) -> list[float]:
+    grams, counts = joined_ngrams(texts, rules.n, rules.bits)
+    sums = np.concatenate([[0.0], np.cumsum(table[grams], dtype=np.float64)])
+    ends = np.cumsum(counts)
+    return np.round((sums[ends] - sums[ends - counts]) / np.maximum(counts, 1), 9).tolist()
+
+
+def log_ratios(docs: DataFrame, table: np.ndarray, rules: Rules) -> DataFrame:
+    """(doc_id, log_ratio) of each row of docs(doc_id, text)."""
+    model = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = as_bytes(b.column(1))
+            got = [x for s in slices(texts) for x in mean_ratios(texts[s], model.value, rules)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "log_ratio"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, log_ratio double")
 
 
 def base_counts(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, int]:
@@ -141,12 +185,12 @@ TYPES = {
 }
 
 
-def apply_rules(docs: DataFrame, log_ratio: np.ndarray, rules: Rules = Rules(), keep_text: bool = False) -> DataFrame:
+def apply_rules(docs: DataFrame, fitted: Fitted, rules: Rules = Rules(), keep_text: bool = False) -> DataFrame:
     """Every row of docs(doc_id, ...) with its counts, log_ratio, base_failed and kept.
 
     With ``keep_text`` all columns of ``docs`` are returned before the new ones; their names must not clash.
     """
-    model = docs.sparkSession.sparkContext.broadcast(log_ratio)
+    model = docs.sparkSession.sparkContext.broadcast(fitted.log_ratio)
     carried = docs.columns if keep_text else ["doc_id"]
     narrow = docs.select(*carried, F.col("text").alias("_text"))
 
@@ -156,10 +200,7 @@ def apply_rules(docs: DataFrame, log_ratio: np.ndarray, rules: Rules = Rules(),
             texts = as_bytes(b.column(len(carried)))
             rows: dict[str, list] = {k: [] for k in TYPES}
             for s in slices(texts):
-                grams, counts = joined_ngrams(texts[s], rules.n, rules.bits)
-                sums = np.concatenate([[0.0], np.cumsum(table[grams], dtype=np.float64)])
-                ends = np.cumsum(counts)
-                rows["log_ratio"] += np.round((sums[ends] - sums[ends - counts]) / np.maximum(counts, 1), 9).tolist()
+                rows["log_ratio"] += mean_ratios(texts[s], table, rules)
                 for t in texts[s]:
                     for k, v in zip(TYPES, base_counts(t, hashes)):
                         rows[k].append(v)
@@ -175,5 +216,5 @@ def apply_rules(docs: DataFrame, log_ratio: np.ndarray, rules: Rules = Rules(),
     return (
         map_arrow(narrow, score, schema)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("log_ratio") >= rules.threshold))
+        .withColumn("kept", ~failed & (F.col("log_ratio") >= fitted.threshold))
     )

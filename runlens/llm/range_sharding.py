@@ -90,7 +90,8 @@ def in_ranges(rows: DataFrame, s: Sharding) -> DataFrame:
     totals = whole.select(F.struct("bytes", "n").alias("t"))
     share = F.lit(float(s.sample)) / totals.scalar()["bytes"]
     cuts = splitters(weighted_sample(rows, F.col("size"), share).withColumn("all", F.lit(1)), ["all"], F.lit(s.ranges)).select("cuts")
-    first = stored(rows.withColumn("range", find_place(F.coalesce(cuts.scalar(), F.array().cast(rows.select(F.array(key())).schema[0].dataType)), key(), s.ranges)))
+    placed = rows.withColumn("cuts", cuts.scalar()).withColumn("range", find_place(F.col("cuts"), key(), s.ranges))
+    first = stored(placed.drop("cuts"))
     # Overfull ranges are few: each holds more than the limit.
     limit = F.least(F.lit(float(s.range_rows)), F.greatest(F.lit(1.0), s.overfull * totals.scalar()["n"] / F.lit(float(s.ranges))))
     counts = first.groupBy("range").agg(F.count("*").alias("rows"))

@@ -286,18 +286,19 @@ def test_quality_rules(spark, frame, odd_pairs, corpus):
         assert sorted(counts, key=str) == sorted([(i, *plain_rules(t)) for i, t in pairs], key=str)
         for r in got:
             assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
-            assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= -0.1)
+            assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= model.threshold)
     quality = dict(labels)
+    assert model.threshold <= -0.1
     verdict = [(quality[r["doc_id"]], r["kept"]) for r in quality_rules.apply_rules(table, model).collect() if r["doc_id"] in quality and not r["base_failed"]]
     assert np.mean([q == k for q, k in verdict]) > 0.95
     # The scores follow from counts over every document, by the formula.
     n, bits = 4, quality_rules.Rules().bits
     raw = sum(np.bincount(quality_rules.ngram_buckets((t or "").encode(), n, bits), minlength=1 << bits) for _, t in docs)
     good = sum(np.bincount(quality_rules.ngram_buckets((t or "").encode(), n, bits), minlength=1 << bits) for i, t in docs if quality.get(i) == 1)
-    assert np.allclose(model, np.log((good + 2) / (raw * (good.sum() / raw.sum()) + 2)), atol=1e-6)
+    assert np.allclose(model.log_ratio, np.log((good + 2) / (raw * (good.sum() / raw.sum()) + 2)), atol=1e-6)
     for i, t in docs[:20]:
         r = quality_rules.apply_rules(frame([(i, t)]), model).first()
-        assert r["log_ratio"] == pytest.approx(model[quality_rules.ngram_buckets(t.encode(), n, bits)].mean(), abs=1e-5)
+        assert r["log_ratio"] == pytest.approx(model.log_ratio[quality_rules.ngram_buckets(t.encode(), n, bits)].mean(), abs=1e-5)
         break
     nothing = quality_rules.fit(frame([]), spark.createDataFrame([], "doc_id long, quality int"))
     assert quality_rules.apply_rules(frame([]), nothing).count() == 0
