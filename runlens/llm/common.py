@@ -108,6 +108,21 @@ def batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.Recor
     )
 
 
+def sql_schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def keep_where(docs: DataFrame, good: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose texts are good, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(good(as_bytes(b.column(at))), pa.bool_()))
+
+    return map_arrow(docs, run, sql_schema(docs))
+
+
 #: At most so many ranges of ids; each is read as a stream, so their size does not matter for memory.
 MAX_RANGES = 2_048
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, as_bytes, batch, map_arrow, mix64, slices
+from runlens.llm.common import WordHashes, as_bytes, batch, keep_where, map_arrow, mix64, slices
 
 
 @dataclass(frozen=True)
@@ -229,20 +229,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, s: Settings = Settings()
     return vectors, train(x[order], y[order], s)
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, s: Settings = Settings(), keep_text: bool = False) -> DataFrame:
-    """Every row of docs(doc_id, text, ...) with ``score``; with ``keep_text`` all its columns come before it."""
+def score(docs: DataFrame, vectors: np.ndarray, net: Network, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, score) of each row of docs(doc_id, text)."""
     model = docs.sparkSession.sparkContext.broadcast((vectors, net))
-    carried = docs.columns if keep_text else ["doc_id"]
-    narrow = docs.select(*carried, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        table, network = model.value
         for b in batches:
-            texts = as_bytes(b.column(len(carried)))
-            got = [network.probabilities(pooled(texts[part], table, hashes, s)) for part in slices(texts)]
-            values = np.concatenate(got) if got else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(values, pa.float64())], names=[*carried, "score"])
+            values = scores_of(as_bytes(b.column(1)), *model.value, hashes, s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text"] + ["score double"])
-    return map_arrow(narrow, run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def scores_of(texts: list[bytes], vectors: np.ndarray, net: Network, hashes: WordHashes, s: Settings) -> np.ndarray:
+    got = [net.probabilities(pooled(texts[part], vectors, hashes, s)) for part in slices(texts)]
+    return np.concatenate(got) if got else np.empty(0)
+
+
+def keep_good(docs: DataFrame, vectors: np.ndarray, net: Network, limit: float, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that score ``limit`` or more, with all their columns, whatever their names."""
+    model = docs.sparkSession.sparkContext.broadcast((vectors, net))
+    return keep_where(docs, lambda texts: (scores_of(texts, *model.value, WordHashes(), s) >= limit).tolist())

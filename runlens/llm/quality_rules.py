@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, as_bytes, batch, map_arrow, shingles, slices
+from runlens.llm.common import WordHashes, as_bytes, batch, keep_where, map_arrow, shingles, slices
 
 SYMBOLS = b"#*$%&|<>"  # fixed values of the base rule
 SPACES = b" \t\n\r\x0b\x0c"
@@ -185,36 +185,44 @@ TYPES = {
 }
 
 
-def apply_rules(docs: DataFrame, fitted: Fitted, rules: Rules = Rules(), keep_text: bool = False) -> DataFrame:
-    """Every row of docs(doc_id, ...) with its counts, log_ratio, base_failed and kept.
-
-    With ``keep_text`` all columns of ``docs`` are returned before the new ones; their names must not clash.
-    """
+def apply_rules(docs: DataFrame, fitted: Fitted, rules: Rules = Rules()) -> DataFrame:
+    """Each row of docs(doc_id, text): its counts, log_ratio, base_failed and kept."""
     model = docs.sparkSession.sparkContext.broadcast(fitted.log_ratio)
-    carried = docs.columns if keep_text else ["doc_id"]
-    narrow = docs.select(*carried, F.col("text").alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = model.value, WordHashes()
+        hashes = WordHashes()
         for b in batches:
-            texts = as_bytes(b.column(len(carried)))
+            texts = as_bytes(b.column(1))
             rows: dict[str, list] = {k: [] for k in TYPES}
             for s in slices(texts):
-                rows["log_ratio"] += mean_ratios(texts[s], table, rules)
+                rows["log_ratio"] += mean_ratios(texts[s], model.value, rules)
                 for t in texts[s]:
                     for k, v in zip(TYPES, base_counts(t, hashes)):
                         rows[k].append(v)
             own = [pa.array(rows[k], t) for k, t in TYPES.items()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *own], names=[*carried, *TYPES])
+            yield pa.RecordBatch.from_arrays([b.column(0), *own], names=["doc_id", *TYPES])
 
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text"]
-        + [f"{k} {'double' if pa.types.is_floating(t) else 'long'}" for k, t in TYPES.items()]
-    )
+    kinds = ", ".join(f"{k} {'double' if pa.types.is_floating(t) else 'long'}" for k, t in TYPES.items())
     n = F.col("n_words")
     failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeated_percent * n)
     return (
-        map_arrow(narrow, score, schema)
+        map_arrow(docs.select("doc_id", "text"), score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("log_ratio") >= fitted.threshold))
     )
+
+
+def keep_good(docs: DataFrame, fitted: Fitted, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that ``apply_rules`` keeps, with all their columns, whatever their names."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted.log_ratio)
+
+    def good(texts: list[bytes]) -> list[bool]:
+        hashes = WordHashes()
+        out = []
+        for s in slices(texts):
+            for t, ratio in zip(texts[s], mean_ratios(texts[s], model.value, rules)):
+                n, _, _, _, repeated = base_counts(t, hashes)
+                out.append(n >= rules.min_words and 100 * repeated <= rules.max_repeated_percent * n and ratio >= fitted.threshold)
+        return out
+
+    return keep_where(docs, good)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import as_bytes, map_arrow
+from runlens.llm.common import as_bytes, map_arrow, sql_schema
 
 # Fixed patterns of the contract.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -201,8 +201,6 @@ def redacted(data: bytes, s: Scanner, mark: bytes = b"[REDACTED]") -> bytes:
 
 def redact(docs: DataFrame, s: Scanner) -> DataFrame:
     """All rows and columns of ``docs``, with secret values in ``text`` replaced; a null text stays null."""
-    types = docs.schema
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             at = rows.schema.get_field_index("text")
@@ -210,7 +208,7 @@ def redact(docs: DataFrame, s: Scanner) -> DataFrame:
             columns = [pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(rows.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
 
-    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types))
+    return map_arrow(docs, run, sql_schema(docs))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
