@@ -16,15 +16,13 @@ from runlens.session import cut_lineage
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose n-grams look like those of trusted documents."""
-    model = quality_rules.fit(docs, queries.labels(spark, sf_dir))
-    return quality_rules.apply_rules(docs, model, keep_text=True).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs, quality_rules.fit(docs, queries.labels(spark, sf_dir)))
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds good."""
     vectors, net = quality_classifier.fit(docs, queries.labels(spark, sf_dir), queries.learns)
-    scored = quality_classifier.score(docs, vectors, net, keep_text=True)
-    return scored.where(F.col("score") >= queries.QUALITY_LIMIT).select(*docs.columns)
+    return quality_classifier.keep_good(docs, vectors, net, queries.QUALITY_LIMIT)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
