@@ -4,11 +4,13 @@
 key to one task, so a key holding a third of all rows would run there alone. Here the key is cut
 by a *monotone* bucket expression (a time bucket, a hash prefix): ranks are taken inside
 (key, bucket) and shifted by the number of rows in earlier buckets. The bucket is a
-deterministic expression of the row, so a recomputed task gives the same result.
+deterministic expression of the row, so a recomputed task gives the same result. Null keys and
+null buckets are values like any other (a null bucket comes first).
 
-``exact_quantiles`` gives the same values as a sort per key. A mergeable quantile sketch brackets each wanted
-rank; only the values inside the bracket are sorted, after equal values were merged into
-(value, count) pairs.
+``exact_quantiles`` gives the same values as a sort per key, by the same steps for every size. Equal values are merged to
+(value, count) pairs. Twice, a mergeable sketch cuts each range of values that holds a wanted rank into ``PARTS`` parts, and counts
+tell which part the rank lies in; only the values of that part, about one in ``PARTS`` squared, are sorted. The sketch
+decides how even the parts are, never the result.
 """
 
 from __future__ import annotations
@@ -20,24 +22,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def packed_key(keys: list[str]) -> Column:
+    """The keys as one struct, which joins null-safely."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
 def ordered_index(
     df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str = "pos"
 ) -> DataFrame:
     """Add 0-based ``out``: the row's place within ``keys`` by ``order``.
 
-    ``bucket`` must not decrease along ``order`` within a key and must not be null.
+    ``bucket`` must not decrease along ``order`` within a key.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    tagged = df.withColumn("_bucket", bucket).withColumn("_place", packed_key([*keys, "_bucket"]))
+    sizes = tagged.groupBy(*keys, "_bucket", "_place").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    offsets = sizes.select("_place", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("_place").orderBy(*order)
     return (
-        tagged.join(offsets, [*keys, "_bucket"])
+        tagged.join(offsets, "_place")
         .withColumn(out, F.row_number().over(inside) - 1 + F.col("_offset"))
-        .drop("_bucket", "_offset")
+        .drop("_bucket", "_place", "_offset")
     )
 
 
@@ -51,88 +56,85 @@ def hash_bucket(h: Column, bits: int = 12) -> Column:
     return F.shiftright(h, 64 - bits)
 
 
-SMALL_GROUP = 100_000
-SALTS = 64
+PARTS = 256
 
 
-def _attach(big: DataFrame, one_per_key: DataFrame, keys: list[str], salt: Column | None = None) -> DataFrame:
-    """Join a one-row-per-key table; without keys it is a single row, read as a scalar subquery."""
-    if not keys:
-        packed = one_per_key.select(F.struct(*one_per_key.columns).alias("_one"))
-        out = big.withColumn("_one", packed.scalar())
-        return out.select(*big.columns, *[F.col(f"_one.{c}").alias(c) for c in one_per_key.columns])
-    if salt is None:
-        return big.join(one_per_key, keys)
-    # A key may hold a third of the rows: spread it over SALTS join keys.
-    spread = one_per_key.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return big.withColumn("_salt", salt).join(spread, [*keys, "_salt"]).drop("_salt")
+def _part_of(x: Column, cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` are below ``x``, by binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(PARTS.bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: F.when((at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) < x), at + step).otherwise(at),
+    )
+
+
+def _attached(big: DataFrame, small: DataFrame, on: str | None) -> DataFrame:
+    """Join one row per key (adaptive execution splits a hot key); without a key, ``small`` is one row and read as a scalar."""
+    if on is not None:
+        return big.join(small, on)
+    one = small.select(F.struct(*small.columns).alias("_one")).scalar()
+    out = big.withColumn("_one", one)
+    return out.select(*big.columns, *[F.col(f"_one.{c}").alias(c) for c in small.columns])
+
+
+def _narrowed(counted: DataFrame, wanted: DataFrame, on: str | None) -> tuple[DataFrame, DataFrame]:
+    """Only the parts of each range that hold wanted ranks, and the ranks within these parts.
+
+    counted: [on], x, n (values of each range); wanted: [on], name, rank (0-based, within the range). Both get the
+    part's id as their new key ``range``.
+    """
+    keys = [on] if on is not None else []
+    probs = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    sketch = counted.groupBy(*keys).agg(F.percentile_approx("x", probs, F.lit(10 * PARTS)).alias("_cuts"))
+    # Equal neighbours among the cuts leave parts empty, which does no harm.
+    placed = _attached(counted, sketch, on).withColumn("_part", _part_of(F.col("x"), F.col("_cuts"))).drop("_cuts")
+    sizes = placed.groupBy(*keys, "_part").agg(F.sum("n").alias("_size"))
+    upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # At most PARTS rows for each range.
+    tops = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(upto), F.lit(0)))
+    if on is None:
+        tops, wanted = tops.withColumn("_all", F.lit(0)), wanted.withColumn("_all", F.lit(0))
+    name = on or "_all"
+    hit = wanted.join(tops, name).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_size")))
+    within = F.struct(*keys, "_part").alias("range")
+    targets = hit.select(within, "name", (F.col("rank") - F.col("_before")).alias("rank"))
+    inside = placed.select(within, "x", "n").join(targets.select("range").distinct(), "range", "left_semi")
+    return inside, targets
 
 
 def exact_order_statistics(
-    values: DataFrame,
-    keys: list[str],
-    value: str,
-    ranks: dict[str, tuple[float, Callable[[Column], Column]]],
-    accuracy: int = 10_000,
+    values: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
     """Values at chosen ranks per key, one DOUBLE column per name, plus ``n_values``.
 
-    ``ranks`` maps a name to (about which fraction, exact 0-based rank as a function of the group's size).
-    Groups up to SMALL_GROUP rows are ranked whole. In larger ones the sketch keeps only values within
-    a few ten-thousandths of the wanted fraction; the rank itself stays exact because the rows below
-    the bracket are counted.
+    ``ranks`` maps a name to the exact 0-based rank as a function of the group's size. Without ``keys`` there is one row
+    always, of nulls and size 0 if there are no values.
     """
     x = F.col(value)
-    base = values.where(x.isNotNull()).select(*keys, value)
-    counted = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    # The sketch's own error, and at least two ranks in the smallest group that is bracketed.
-    eps = 3.0 / accuracy + 2.0 / SMALL_GROUP
-    probes: list[float] = []
-    for frac, _ in ranks.values():
-        probes += [max(0.0, frac - eps), min(1.0, frac + eps)]
-    sketch = base.groupBy(*keys).agg(
-        F.percentile_approx(x, F.array(*[F.lit(p) for p in probes]), F.lit(accuracy)).alias("_q"),
-        F.count(x).alias("n_values"),
-        F.min(x).alias("_min"),
-        F.max(x).alias("_max"),
+    key = [packed_key(keys).alias("_key")] if keys else []
+    base = values.where(x.isNotNull()).select(*key, x.cast("double").alias("x"))
+    on = "_key" if keys else None
+    only = [on] if on else []
+    counted = base.groupBy(*only, "x").agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy(*only).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"))
+    each = F.array(
+        *[F.struct(F.lit(name).alias("name"), rank(F.col("n_values")).cast("long").alias("rank")) for name, rank in ranks.items()]
     )
-    n = F.col("n_values")
-    spans = []
-    for i, (name, (frac, rank)) in enumerate(ranks.items()):
-        whole = n <= SMALL_GROUP
-        lo = F.when(whole | F.lit(frac - eps <= 0), F.col("_min")).otherwise(F.get("_q", F.lit(2 * i)))
-        hi = F.when(whole | F.lit(frac + eps >= 1), F.col("_max")).otherwise(F.get("_q", F.lit(2 * i + 1)))
-        spans.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                rank(n).cast("long").alias("rank"),
-                lo.alias("lo"),
-                hi.alias("hi"),
-            )
-        )
-    wanted = sketch.select(*keys, "n_values", F.array(*spans).alias("_spans"))
-    salt = F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")
-    placed = _attach(counted, wanted.select(*keys, "_spans"), keys, salt)
-    placed = placed.select(*keys, value, "_n", F.explode("_spans").alias("s"))
-    placed = placed.select(*keys, value, "_n", "s.name", "s.rank", "s.lo", "s.hi").where(x <= F.col("hi"))
-    below = placed.where(x < F.col("lo")).groupBy(*keys, "name").agg(F.sum("_n").alias("_below"))
-    inside = placed.where(x >= F.col("lo"))
-    upto = W.partitionBy(*keys, "name").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = inside.withColumn("_cum", F.sum("_n").over(upto)).join(below, [*keys, "name"], "left")
-    hits = ranked.where(F.col("_cum") + F.coalesce(F.col("_below"), F.lit(0)) > F.col("rank"))
-    wide = hits.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("name") == name, x)).alias(name) for name in ranks]
+    wanted = totals.select(*only, F.explode(each).alias("_w")).select(*only, "_w.name", "_w.rank")
+    inside, targets = _narrowed(counted, wanted, on)
+    inside, targets = _narrowed(inside, targets, "range")
+    upto = W.partitionBy("range").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.sum("n").over(upto))
+    found = ranked.join(targets, "range").where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("n")))
+    owner = [F.col("range.range._key").alias("_key")] if keys else []
+    hits = found.select(*owner, "name", "x").groupBy(*only).agg(
+        *[F.min(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks]
     )
-    checked = [_found(F.col(name), n).alias(name) for name in ranks]
     if not keys:
-        return _attach(wide, wanted.select("n_values"), []).select(*checked, "n_values")
-    return wanted.select(*keys, "n_values").join(wide, keys, "left").select(*keys, *checked, "n_values")
-
-
-def _found(v: Column, n: Column) -> Column:
-    """A rank that its bracket missed must fail the query rather than go unnoticed."""
-    missed = F.raise_error(F.lit("order statistic outside its bracket")).cast("double")
-    return F.when((n > 0) & v.isNull(), missed).otherwise(v)
+        return _attached(totals, hits, None).select(*ranks, "n_values")
+    return totals.join(hits, "_key", "left").select(
+        *[F.col(f"_key.k{i}").alias(k) for i, k in enumerate(keys)], *ranks, "n_values"
+    )
 
 
 def _interpolated(stats: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
@@ -144,29 +146,10 @@ def _interpolated(stats: DataFrame, keys: list[str], probs: dict[str, float]) ->
     return stats.select(*keys, *cols)
 
 
-def _exact_by_sketch(values, keys, value, probs):
+def exact_quantiles(values: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per key, one DOUBLE column per entry of ``probs``."""
     ranks = {}
     for name, p in probs.items():
-        ranks[f"{name}_lo"] = (p, lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1)))
-        ranks[f"{name}_hi"] = (p, lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1)))
+        ranks[f"{name}_lo"] = lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1))
+        ranks[f"{name}_hi"] = lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1))
     return _interpolated(exact_order_statistics(values, keys, value, ranks), keys, probs)
-
-
-def exact_quantiles(
-    values: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot_rows: int = SMALL_GROUP
-) -> DataFrame:
-    """Linearly interpolated quantiles per key, one DOUBLE column per entry of ``probs``.
-
-    Keys of at most ``hot_rows`` rows use the built-in exact aggregate (its buffer is bounded by
-    the key's size); larger keys go through the sketch-bracketed path. Group sizes are counted first,
-    so ``values`` should be a stored table rather than a long chain of transformations.
-    """
-    if not keys:
-        return _exact_by_sketch(values, keys, value, probs)
-    base = values.where(F.col(value).isNotNull()).select(*keys, value)
-    hot = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    plain = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]
-    if hot.isEmpty():
-        return base.groupBy(*keys).agg(*plain)
-    small = base.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain)
-    return small.unionByName(_exact_by_sketch(base.join(hot, keys, "left_semi"), keys, value, probs))

@@ -32,12 +32,12 @@ def _rank(alpha: float):
 def calibrate(scored: DataFrame, alphas: tuple[float, ...] = (0.05,)) -> DataFrame:
     """(alpha, quantile, n_calibration), one row per alpha; quantile 1.0 without calibration rows.
 
-    The exact order statistic comes from sketch-bracketed ranking, so the scores are never
-    sorted in one task.
+    The exact order statistic comes from narrowing ranges of scores by counts, so the scores are
+    never sorted in one task.
     """
     names = {f"a{i}": a for i, a in enumerate(alphas)}
     stats = exact_order_statistics(
-        scored, [], "score", {k: (min(1.0, 1.0 - a), _rank(a)) for k, a in names.items()}
+        scored, [], "score", {k: _rank(a) for k, a in names.items()}
     )
     packed = stats.agg(
         *[F.coalesce(F.max(k), F.lit(1.0)).alias(k) for k in names], F.coalesce(F.max("n_values"), F.lit(0)).alias("n")
