@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from runlens.functions.probs import items, top_label
 from runlens.operators import zoo
 from runlens.operators.cascade import compose_probabilities
-from runlens.operators.folds import assign_folds, leaked
+from runlens.operators.folds import assign_folds
 from runlens.operators.metrics import confusion_cells, summary
 from runlens.operators.stacking import META_FEATURES, meta_features
 from runlens.session import cut_lineage
@@ -120,13 +120,9 @@ def check_oof(df: DataFrame, oof: DataFrame) -> DataFrame:
     )
 
 
-def fold_leaks(folded: DataFrame, k: int) -> DataFrame:
-    """(fold, n) of keys found on both sides of a fold; empty when folds are sound."""
-    out = None
-    for i in range(k):
-        bad = leaked(folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)).select(F.lit(i).alias("fold"), "run_id")
-        out = bad if out is None else out.unionByName(bad)
-    return out
+def fold_leaks(folded: DataFrame, key: str) -> DataFrame:
+    """(key, n_folds) of values of ``key`` (an entry, a run) that lie in more than one fold, in one aggregation."""
+    return folded.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct("fold").alias("n_folds")).where("n_folds > 1")
 
 
 # --- stacking ------------------------------------------------------------------------------------
