@@ -192,10 +192,16 @@ def snap(df: DataFrame) -> DataFrame:
 
 
 def resolve_with_responses(df: DataFrame, responses: DataFrame, low_confidence: float = TRIGGER_CONFIDENCE) -> DataFrame:
-    """Join usable external decisions; triggered rows without one fall back to the flat contour."""
+    """Join usable external decisions; triggered rows without one fall back to the flat contour.
+
+    Responses belong to ``request_key`` where both tables have it, else to ``run_id``; one for each key is used, the smallest of
+    several usable ones.
+    """
     base = with_labels(df).withColumn("trigger", trigger(low_confidence))
-    good = responses.where("error is null").select("run_id", "chosen_label", "chosen_source", "confidence")
-    j = base.join(good, "run_id", "left")
+    key = "request_key" if "request_key" in df.columns and "request_key" in responses.columns else "run_id"
+    chosen = F.min(F.struct("chosen_label", "chosen_source", "confidence")).alias("r")
+    good = responses.where("error is null").groupBy(key).agg(chosen).select(key, "r.*")
+    j = base.join(good, key, "left")
     j = snap(j)
     need, answered = F.col("trigger").isNotNull(), F.col("chosen_label").isNotNull()
     return j.withColumns(

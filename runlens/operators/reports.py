@@ -78,6 +78,7 @@ def cross_corpus(df: DataFrame, corpus: str, min_coverage: float = 0.92, toleran
     return t.select(
         "corpus", "n_test", "flat", "cascade", "coverage", (F.col("coverage") >= min_coverage).alias("coverage_holds"),
         F.when(F.col("cascade") > F.col("flat"), "cascade").otherwise("flat").alias("best_policy"),
-        (F.greatest("flat", "cascade") >= F.col("flat") - tolerance).alias("best_beats_flat"),
+        # The best policy other than flat; only the cascade is one here.
+        (F.col("cascade") >= F.col("flat") - tolerance).alias("best_beats_flat"),
         "leakage_healthy_share", (F.col("leakage_healthy_share") >= main_share).alias("leakage_healthy_is_main"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens.operators import curves
 from runlens.operators.actions import recommendations
 from runlens.operators.cascade import diagnose
-from runlens.operators.cleaning import impute_medians
+from runlens.operators.cleaning import column_medians, impute_medians
 from runlens.operators.curves import BASE_FEATURES, KEPT_PROXIES, PROXY_FEATURES
 from runlens.operators.evidence import build_evidence
 from runlens.operators.integrity import integrity_meta_features
@@ -29,7 +29,7 @@ def model_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
     """(run_id, y, x): imputed feature arrays; medians are fitted on the labelled rows."""
     columns = list(MODEL_COLUMNS)
     t = features.select("run_id", *columns).join(labels.select("run_id", F.col("primary_label").alias("y")), "run_id", "left")
-    filled = impute_medians(t, columns)
+    filled = impute_medians(t, columns, column_medians(t.where("y is not null"), columns))
     return cut_lineage(filled.select("run_id", "y", F.array(*columns).alias("x")))
 
 

@@ -424,7 +424,7 @@ def _(t):
       count_if(l_linenumber % 6 = 3 AND l_suppkey % 6 = 0) + count_if(l_linenumber % 6 = 0 AND l_suppkey % 6 = 3) AS lh, count_if(l_linenumber % 6 <> l_suppkey % 6) AS err,
       avg((l_discount < 9e-2)::INT) AS coverage FROM lineitem GROUP BY 1)
     SELECT corpus, n AS n_test, {rcols(['flat', 'cascade', 'coverage'])}, coverage >= 92e-2 AS coverage_holds, CASE WHEN cascade > flat THEN 'cascade' ELSE 'flat' END AS best_policy,
-      greatest(flat, cascade) >= flat - 5e-4 AS best_beats_flat, {r('lh / err::DOUBLE', 'leakage_healthy_share')}, lh / err::DOUBLE >= 4e-1 AS leakage_healthy_is_main FROM acc""")
+      cascade >= flat - 5e-4 AS best_beats_flat, {r('lh / err::DOUBLE', 'leakage_healthy_share')}, lh / err::DOUBLE >= 4e-1 AS leakage_healthy_is_main FROM acc""")
 def _(t):
     b = D.bulk_predictions(t).withColumn("covered", F.col("confidence") > 0.91)
     return rounded(reports.cross_corpus(b, "slice"))

@@ -63,6 +63,14 @@ def _cell(cells: Column, header: Column, names: tuple[str, ...]) -> Column:
     return F.when(index.isNotNull(), F.coalesce(text.try_cast("double"), F.lit(float("nan"))))
 
 
+def split_cells(line: Column) -> Column:
+    """Cells of a CSV line; a quoted cell may hold commas and doubled quotes."""
+    # With a comma in front every cell begins with one, so that no match is empty.
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',[ \t]*("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    quoted = lambda c: F.replace(F.regexp_replace(c, r'^"|"[ \t]*$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.trim(F.when(F.startswith(c, F.lit('"')), quoted(c)).otherwise(c)))
+
+
 def parse_history(lines: DataFrame) -> DataFrame:
     """run_dir, pos, epoch, curves and optional columns; the choice of columns is made per file."""
     rows = lines.where(F.trim("line") != "")
@@ -74,15 +82,13 @@ def parse_history(lines: DataFrame) -> DataFrame:
         "run_dir",
         "block",
         F.coalesce(F.sum("n").over(per_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        F.transform(
-            F.split(F.first("first_line").over(per_file), ","), lambda h: F.trim(F.regexp_replace(h, '"', ""))
-        ).alias("header"),
+        split_cells(F.first("first_line").over(per_file)).alias("header"),
     )
     inside = W.partitionBy("run_dir", "block").orderBy("ord")
     placed = rows.join(blocks, ["run_dir", "block"]).withColumn(
         "index", F.row_number().over(inside) - 1 + F.col("offset")
     )
-    cells, header = F.split("line", ","), F.col("header")
+    cells, header = split_cells(F.col("line")), F.col("header")
     body = placed.where("index > 0")
     return body.select(
         "run_dir",

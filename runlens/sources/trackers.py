@@ -63,7 +63,8 @@ def resolve_metrics(
 ) -> DataFrame:
     """(run_id, column, metric): which metric feeds which history column, per run.
 
-    The user's map comes first; otherwise the first listed name that the run has.
+    The user's map comes first; otherwise the first listed name that the run has. A run that lacks a metric of the user's
+    map stops the query.
     """
     user_map = user_map or {}
     rows = [(c, m, -1) for c, m in user_map.items()]
@@ -72,6 +73,13 @@ def resolve_metrics(
     have = metrics.select("run_id", "metric").distinct()
     # The alias list is a fixed vocabulary of a few dozen rows.
     matched = have.join(F.broadcast(alias), "metric")
+    if user_map:
+        mapped = sorted(set(user_map.values()))
+        seen = have.groupBy("run_id").agg(*[F.max(F.col("metric") == m).alias(f"has{i}") for i, m in enumerate(mapped)])
+        lacking = F.concat_ws(", ", *[F.when(~F.col(f"has{i}"), F.lit(m)) for i, m in enumerate(mapped)])
+        stop = F.raise_error(F.concat(F.lit("run "), F.col("run_id"), F.lit(" lacks the mapped metric "), lacking)).cast("boolean")
+        complete = seen.select("run_id", F.when(lacking == "", F.lit(True)).otherwise(stop).alias("_complete"))
+        matched = matched.join(complete, "run_id").where("_complete").drop("_complete")
     return matched.groupBy("run_id", "column").agg(F.min_by("metric", "prio").alias("metric"))
 
 
