@@ -3,7 +3,7 @@
 Resampling n rows with replacement only changes how often each kind of row is drawn, and metrics only
 depend on those counts. So Spark reduces the rows to counts per kind, and each replicate is one
 multinomial draw over the kinds: the same distribution as drawing rows, at a cost that does
-not grow with n. Replicates are spread over tasks and seeded by their number.
+not grow with n. Replicates are drawn in chunks, which are spread over tasks and seeded by their number.
 """
 
 from __future__ import annotations
@@ -24,29 +24,29 @@ def in_vocabulary(label: Column, labels=CLASSES) -> Column:
     return F.when(label.isin(*labels), label).otherwise(OTHER)
 
 
-def _scores(y: np.ndarray, p: np.ndarray, n: np.ndarray, metric: str, labels: tuple[str, ...]) -> float:
-    total = n.sum()
-    if total == 0:
-        return float("nan")
-    if metric == "accuracy":
-        return float(n[y == p].sum() / total)
-    f1, support = [], []
-    for c in labels:
-        tp = n[(y == c) & (p == c)].sum()
-        den = n[y == c].sum() + n[p == c].sum()
-        f1.append(0.0 if den == 0 else 2.0 * tp / den)
-        support.append(n[y == c].sum())
-    if metric == "macro_f1":
-        return float(np.mean(f1))
-    if metric == "weighted_f1":
-        return 0.0 if sum(support) == 0 else float(np.average(f1, weights=support))
-    if metric.startswith("f1:"):
-        return f1[labels.index(metric[3:])]
-    raise ValueError(f"unsupported metric {metric!r}")
+def _scores(y: np.ndarray, p: np.ndarray, w: np.ndarray, metric: str, labels: tuple[str, ...]) -> np.ndarray:
+    """The metric for each row of ``w`` (replicates x kinds); NaN without any drawn row."""
+    total = w.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "accuracy":
+            return np.where(total > 0, w[:, y == p].sum(axis=1) / total, np.nan)
+        support = np.stack([w[:, y == c].sum(axis=1) for c in labels], axis=1)
+        hits = np.stack([w[:, (y == c) & (p == c)].sum(axis=1) for c in labels], axis=1)
+        den = support + np.stack([w[:, p == c].sum(axis=1) for c in labels], axis=1)
+        f1 = np.where(den > 0, 2.0 * hits / den, 0.0)
+        if metric == "macro_f1":
+            out = f1.mean(axis=1)
+        elif metric == "weighted_f1":
+            out = np.where(support.sum(axis=1) > 0, (f1 * support).sum(axis=1) / support.sum(axis=1), 0.0)
+        elif metric.startswith("f1:"):
+            out = f1[:, labels.index(metric[3:])]
+        else:
+            raise ValueError(f"unsupported metric {metric!r}")
+    return np.where(total > 0, out, np.nan)
 
 
-def _cohen_h(pa: float, pb: float) -> float:
-    return float(2.0 * (np.arcsin(np.sqrt(np.clip(pb, 0, 1))) - np.arcsin(np.sqrt(np.clip(pa, 0, 1)))))
+def _cohen_h(pa: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    return 2.0 * (np.arcsin(np.sqrt(np.clip(pb, 0, 1))) - np.arcsin(np.sqrt(np.clip(pa, 0, 1))))
 
 
 def cohen_h(pa: Column, pb: Column) -> Column:
@@ -66,31 +66,40 @@ def kinds(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*by, *[in_vocabulary(F.col(c)).alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Replicates drawn at once.
+CHUNK = 128
+
+
 def _replicates(cells: DataFrame, by: list[str], columns: list[str], n_bootstrap: int, fn, schema: str) -> DataFrame:
-    """Rows (by, b, result) with ``fn(columns, counts, seed part) -> tuple`` per replicate; b = 0 is the point."""
+    """Rows (by, b, result) with ``fn(columns, counts, chunk, size) -> arrays``; b = 0, alone in chunk 0, is the point."""
     rows = F.collect_list(F.struct(*columns, "n")).alias("cells")
     per = cells.groupBy(*by).agg(rows) if by else cells.agg(rows)
-    work = per.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap))))
-    # One group may be all there is: spread the replicates over tasks.
-    work = work.repartition(*by, "b")
+    work = per.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-n_bootstrap // CHUNK)))))
+    # One group may be all there is: spread the chunks over tasks.
+    work = work.repartition(*by, "chunk")
+    names = [part.split()[0] for part in schema.split(", ")]
 
-    @F.pandas_udf(schema)
-    def run(cells_: pd.Series, b: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(f"array<struct<b: long, {schema.replace(' ', ': ').replace(',: ', ', ')}>>")
+    def run(cells_: pd.Series, chunk: pd.Series) -> pd.Series:
         out = []
-        for cs, i in zip(cells_, b):
-            cs = sorted(cs, key=lambda r: tuple(r[c] for c in columns))
-            arrays = {c: np.array([r[c] for r in cs], dtype=object) for c in columns}
-            out.append(fn(arrays, np.array([r["n"] for r in cs], dtype=np.int64), int(i)))
-        return pd.DataFrame(out)
+        for cs, c in zip(cells_, chunk):
+            cs = sorted(cs, key=lambda r: tuple(r[k] for k in columns))
+            arrays = {k: np.array([r[k] for r in cs], dtype=object) for k in columns}
+            size = 1 if c == 0 else min(CHUNK, n_bootstrap - (c - 1) * CHUNK)
+            first = 0 if c == 0 else (c - 1) * CHUNK + 1
+            values = fn(arrays, np.array([r["n"] for r in cs], dtype=np.int64), int(c), int(size))
+            out.append([{"b": first + i, **{k: v[i] for k, v in zip(names, values)}} for i in range(size)])
+        return pd.Series(out)
 
-    return work.select(*by, "b", run("cells", "b").alias("r")).select(*by, "b", "r.*")
+    return work.select(*by, F.explode(run("cells", "chunk")).alias("r")).select(*by, "r.*")
 
 
-def _draw(n: np.ndarray, seed: int, b: int) -> np.ndarray:
-    if b == 0:
-        return n
+def _draw(n: np.ndarray, seed: int, chunk: int, size: int) -> np.ndarray:
+    """``size`` replicates of the counts; chunk 0 has the counts themselves."""
     total = int(n.sum())
-    return np.random.default_rng([seed, b]).multinomial(total, n / total)
+    if chunk == 0 or total == 0:
+        return np.repeat(n[None, :], size, axis=0)
+    return np.random.default_rng([seed, chunk]).multinomial(total, n / total, size=size)
 
 
 def _interval(v: str, alpha: float) -> list[Column]:
@@ -106,8 +115,8 @@ def metric_interval(
     by = by or []
     cells = kinds(df.withColumnRenamed(pred, "pred") if pred != "pred" else df, by, ["y_true", "pred"])
 
-    def fn(a, n, b):
-        return (_scores(a["y_true"], a["pred"], _draw(n, seed, b), metric, labels), int(n.sum()))
+    def fn(a, n, chunk, size):
+        return _scores(a["y_true"], a["pred"], _draw(n, seed, chunk, size), metric, labels), [int(n.sum())] * size
 
     reps = _replicates(cells, by, ["y_true", "pred"], n_bootstrap, fn, "v double, n long")
     return reps.groupBy(*by).agg(
@@ -136,14 +145,14 @@ def delta_interval(
     by = by or []
     cells = kinds(df.select(*by, "y_true", F.col(a).alias("pred_a"), F.col(b).alias("pred_b")), by, ["y_true", "pred_a", "pred_b"])
 
-    def fn(c, n, i):
-        w = _draw(n, seed, i)
+    def fn(c, n, chunk, size):
+        w = _draw(n, seed, chunk, size)
         d = _scores(c["y_true"], c["pred_b"], w, metric, labels) - _scores(c["y_true"], c["pred_a"], w, metric, labels)
-        v = _draw(n, seed + 1, i)
+        v = _draw(n, seed + 1, chunk, size)
         h = _cohen_h(
             _scores(c["y_true"], c["pred_a"], v, "accuracy", labels), _scores(c["y_true"], c["pred_b"], v, "accuracy", labels)
         )
-        return (d, h, int(n.sum()))
+        return d, h, [int(n.sum())] * size
 
     reps = _replicates(cells, by, ["y_true", "pred_a", "pred_b"], n_bootstrap, fn, "d double, h double, n long")
     return _summarise_delta(reps, by, alpha, n_comparisons)
@@ -158,10 +167,11 @@ def grouped_delta_interval(
 ) -> DataFrame:
     """Cluster bootstrap: whole groups are drawn with replacement, as many as there are groups.
 
-    Groups are hashed into buckets. How many draws a bucket gets is a multinomial over bucket sizes that every
-    task recomputes from the replicate's seed; inside the bucket the draws are uniform. Together
-    this is exactly the multinomial over all groups. A group contributes its few counts per kind, so a
-    group holding most rows costs no more than any other.
+    Groups are hashed into buckets, the leaves of a binary tree over hash prefixes. How many draws a bucket gets is found on its
+    way down: at each node a binomial, seeded by replicate and node, splits the node's draws by the group counts of its two
+    sides. Inside the bucket the draws are uniform. Together this is exactly the multinomial over all groups, and no
+    task looks at other buckets than its own. A group contributes its few counts per kind, so a group holding most rows costs no
+    more than any other; rows without a group are one group.
     """
     known = (*labels, OTHER)
 
@@ -172,18 +182,22 @@ def grouped_delta_interval(
     size = len(known)
     kind = code("y_true") * (size * size) + code(a) * size + code(b)
     profile = df.select(F.col(group).alias("g"), kind.alias("kind")).groupBy("g", "kind").agg(F.count(F.lit(1)).alias("n"))
-    n_groups = df.agg(F.approx_count_distinct(group)).first()[0]
-    n_buckets = max(8, int(n_groups // GROUPS_PER_BUCKET) + 1)
-    tagged = profile.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int"))
-    # One number per bucket, so groups / GROUPS_PER_BUCKET numbers reach the driver and the tasks.
-    sizes = sorted((r["bucket"], r["k"]) for r in tagged.groupBy("bucket").agg(F.count_distinct("g").alias("k")).collect())
-    order, ks = [k for k, _ in sizes], np.array([k for _, k in sizes])
-    total = int(ks.sum())
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(key[0])
-        mine = order.index(bucket)
-        codes, _ = pd.factorize(pdf["g"], sort=True)
+    total = profile.select("g").distinct().count()
+    depth = max(3, int(np.ceil(np.log2(max(total, 1) / GROUPS_PER_BUCKET))))
+    tagged = profile.withColumn("bucket", F.shiftrightunsigned(F.xxhash64("g"), 64 - depth).cast("long"))
+    leaves = tagged.select("g", "bucket").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level")
+    shift = lambda by: F.call_function("shiftright", F.col("bucket"), (F.lit(depth) - F.col("level") - by).cast("int"))
+    ways = leaves.select("bucket", "k", levels).withColumns({"node": shift(0), "right": shift(1) % 2})
+    nodes = ways.groupBy("level", "node").agg(
+        F.sum("k").alias("n_node"), F.sum(F.when(F.col("right") == 0, F.col("k")).otherwise(0)).alias("n_left")
+    )
+    paths = ways.join(nodes, ["level", "node"]).select(F.col("bucket").alias("leaf"), "level", "node", "right", "n_node", "n_left")
+
+    def draw(pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        steps = path.sort_values("level")[["level", "node", "right", "n_node", "n_left"]].to_numpy(np.int64).tolist()
+        codes, _ = pd.factorize(pdf["g"], sort=True, use_na_sentinel=False)
         kind_codes, kind_ids = pd.factorize(pdf["kind"], sort=True)
         n, g = pdf["n"].to_numpy(np.int64), codes.max() + 1
         sums = np.empty((n_bootstrap + 1, len(kind_ids)), dtype=np.int64)
@@ -191,13 +205,16 @@ def grouped_delta_interval(
             if i == 0:
                 w = np.ones(g, dtype=np.int64)
             else:
-                share = np.random.default_rng([seed, i]).multinomial(total, ks / total)[mine]
-                w = np.random.default_rng([seed, i, bucket + 1]).multinomial(share, np.full(g, 1.0 / g))
+                share = total
+                for level, node, right, n_node, n_left in steps:
+                    left = int(np.random.default_rng([seed, i, level, node]).binomial(share, n_left / n_node))
+                    share = share - left if right else left
+                w = np.random.default_rng([seed, i, depth, bucket]).multinomial(share, np.full(g, 1.0 / g))
             sums[i] = np.bincount(kind_codes, weights=n * w[codes], minlength=len(kind_ids))
         reps = np.repeat(np.arange(n_bootstrap + 1), len(kind_ids))
         return pd.DataFrame({"b": reps, "kind": np.tile(kind_ids, n_bootstrap + 1), "n": sums.ravel()})
 
-    drawn = tagged.groupBy("bucket").applyInPandas(draw, "b long, kind int, n long")
+    drawn = tagged.groupBy("bucket").cogroup(paths.groupBy("leaf")).applyInPandas(draw, "b long, kind int, n long")
     cells = drawn.groupBy("b", "kind").agg(F.sum("n").alias("n"))
     per = cells.groupBy("b").agg(F.collect_list("kind").alias("kinds"), F.collect_list("n").alias("ns"))
 
@@ -205,11 +222,11 @@ def grouped_delta_interval(
     def score(kinds_: pd.Series, ns: pd.Series) -> pd.DataFrame:
         names, out = np.array(known, dtype=object), []
         for k, w in zip(kinds_, ns):
-            k, w = np.asarray(k), np.asarray(w)
+            k, w = np.asarray(k), np.asarray(w)[None, :]
             y, pa, pb = names[k // (size * size)], names[k // size % size], names[k % size]
             d = _scores(y, pb, w, metric, labels) - _scores(y, pa, w, metric, labels)
             h = _cohen_h(_scores(y, pa, w, "accuracy", labels), _scores(y, pb, w, "accuracy", labels))
-            out.append((d, h, int(w.sum())))
+            out.append((float(d[0]), float(h[0]), int(w.sum())))
         return pd.DataFrame(out)
 
     reps = per.select("b", score("kinds", "ns").alias("r")).select("b", "r.*")
@@ -233,8 +250,8 @@ def class_f1_intervals(df: DataFrame, classes: tuple[str, ...] = CLASSES, *, pre
     ).select("n", "s.*")
     cells = spread.groupBy("class", "y_true", "pred").agg(F.sum("n").alias("n"))
 
-    def fn(a, n, b):
-        return (_scores(a["y_true"], a["pred"], _draw(n, seed, b), "f1:pos", ("pos",)), int(n.sum()))
+    def fn(a, n, chunk, size):
+        return _scores(a["y_true"], a["pred"], _draw(n, seed, chunk, size), "f1:pos", ("pos",)), [int(n.sum())] * size
 
     reps = _replicates(cells, ["class"], ["y_true", "pred"], n_bootstrap, fn, "v double, n long")
     return reps.groupBy("class").agg(
@@ -246,9 +263,9 @@ def proportion_interval(df: DataFrame, by: list[str], flag: str, *, n_bootstrap:
     """(by, n, point, ci_low, ci_high) of a share; a replicate is one binomial draw."""
     cells = df.groupBy(*by, F.when(F.col(flag), "1").otherwise("0").alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
-    def fn(a, n, b):
-        w = _draw(n, seed, b)
-        return (float(w[a["s"] == "1"].sum() / w.sum()), int(n.sum()))
+    def fn(a, n, chunk, size):
+        w = _draw(n, seed, chunk, size)
+        return w[:, a["s"] == "1"].sum(axis=1) / w.sum(axis=1), [int(n.sum())] * size
 
     reps = _replicates(cells, by, ["s"], n_bootstrap, fn, "v double, n long")
     return reps.groupBy(*by).agg(

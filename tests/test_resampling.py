@@ -41,6 +41,25 @@ def test_grouped(rows):
     assert r == again
 
 
+def test_rows_without_group_are_one_group(rows):
+    from pyspark.sql import functions as F
+
+    some = rows.withColumn("g", F.when(F.col("g") != 3, F.col("g")))
+    r = resample.grouped_delta_interval(some, "g", n_bootstrap=60).first()
+    assert r["n_groups"] == 40 and r["n"] == 400 and r["delta_ci_low"] <= r["delta_point"] <= r["delta_ci_high"]
+    none = resample.grouped_delta_interval(rows.withColumn("g", F.lit(None).cast("int")), "g", n_bootstrap=20).first()
+    assert none["n_groups"] == 1 and none["delta_ci_low"] == pytest.approx(none["delta_point"])
+
+
+def test_draws_are_the_multinomial_over_groups(spark):
+    """Each of 64 groups is one row; drawn rows have the mean and spread of draws with replacement."""
+    df = spark.createDataFrame([(i, CLASSES[0], CLASSES[0], CLASSES[i % 2]) for i in range(64)], "g int, y_true string, pred_a string, pred_b string")
+    r = resample.grouped_delta_interval(df, "g", metric="accuracy", n_bootstrap=800).first()
+    assert r["delta_point"] == pytest.approx(-0.5)
+    half = 1.96 * np.sqrt(0.25 / 64)
+    assert r["delta_ci_low"] == pytest.approx(-0.5 - half, abs=0.04) and r["delta_ci_high"] == pytest.approx(-0.5 + half, abs=0.04)
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("a", 0.999), ("b", 0.98), ("c", 0.90), ("d", 0.995)], "comparison string, p_b_better double")
     got = {r["comparison"]: r for r in resample.holm(df).collect()}
