@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.numeric import finite
 from runlens.functions.ordering import exact_quantiles
-from runlens.session import cut_lineage
+from runlens.session import ship_package
 from runlens.vocab import CLASSES
 
 EPS = 1e-9
@@ -119,88 +121,67 @@ def _advance(state: np.ndarray, curve: np.ndarray, proto: np.ndarray) -> np.ndar
     return state
 
 
-def _min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.min(a[:, :, None] + b[None, :, :], axis=1)
+def _warped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Costs per (run, class) from rows sorted by run, class and block; block -1 holds the prototype.
+
+    Only one frontier of costs, as long as the prototype, is kept, however long the run.
+    """
+    key = proto = state = None
+
+    def closed() -> tuple[list, list, list, list]:
+        done = key is not None and state is not None
+        return ([key[0]], [key[1]], [len(proto)], [float(state[0, -1])]) if done else ([], [], [], [])
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [sum(c, []) for c in zip(*rows)] if rows else [[], [], [], []]
+        types = (pa.string(), pa.string(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["run_id", "class", "m", "cost"])
+
+    for rows in batches:
+        out = []
+        runs, classes, blocks = (rows.column(i).to_pylist() for i in range(3))
+        for i, own in enumerate(zip(runs, classes)):
+            values = np.asarray(rows.column(3)[i].values.to_numpy(zero_copy_only=False), float)
+            if own != key:
+                out.append(closed())
+                key, proto, state = own, None, None
+            if blocks[i] < 0:
+                proto, state = values, np.full((1, len(values) + 1), np.inf)
+                state[0, 0] = 0.0
+            elif state is not None:
+                state = _advance(state, values, proto)
+        yield packed(out)
+    yield packed([closed()])
 
 
 def dtw_distances(history: DataFrame, prototypes: DataFrame, column: str = "val_loss", block: int = BLOCK) -> DataFrame:
     """run_id + proto_dtw_<class>: warping distance over (curve length + prototype length).
 
-    A curve is cut into blocks. A one-block run is solved directly. For a longer run each block
-    becomes a cost matrix (every start column to every end column), independent of the other
-    blocks; matrices of neighbouring blocks combine by min-plus products in rounds, so no
-    task ever sees more than a bounded piece of one run.
+    A run's blocks of at most ``block`` points pass through one task in order, behind the prototype, as a sorted stream.
     """
+    ship_package(history.sparkSession)
     pts = history.select("run_id", "pos", finite(F.col(column)).alias("x"), F.floor(F.col("pos") / block).alias("b"))
     pieces = (
         pts.groupBy("run_id", "b")
         .agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("pos", "x")))).alias("p"))
         .select("run_id", "b", F.transform("p", lambda s: s["x"]).alias("xs"))
     )
-    shape = pts.groupBy("run_id").agg(F.count("x").alias("n"), F.max("b").alias("last"))
+    shape = pts.groupBy("run_id").agg(F.count("x").alias("n"))
     # Prototypes: one array per class, as long as the class's shortest curve.
     protos = prototypes.where("value is not null").groupBy("class").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("proto")
-    )
-    grid = protos.agg(F.collect_list(F.struct("class", "proto")).alias("g")).scalar()
-    work = pieces.join(shape, "run_id").withColumn("g", grid).select(
-        "run_id", "b", "xs", "n", "last", F.explode("g").alias("c")
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("xs")
     )
-    work = work.select("run_id", "b", "xs", "n", "last", "c.class", "c.proto")
-
-    @F.pandas_udf("array<double>")
-    def solve(xs: pd.Series, proto: pd.Series, last: pd.Series) -> pd.Series:
-        out = []
-        for x, p, k in zip(xs, proto, last):
-            m = len(p)
-            start = np.full((1, m + 1), np.inf) if k == 0 else np.full((m + 1, m + 1), np.inf)
-            if k == 0:
-                start[0, 0] = 0.0
-            else:
-                np.fill_diagonal(start, 0.0)
-            out.append(_advance(start, np.asarray(x, float), np.asarray(p, float)).ravel())
-        return pd.Series(out)
-
-    solved = work.select("run_id", "class", "b", "n", "last", F.size("proto").alias("m"), solve("xs", "proto", "last").alias("t"))
-    single = solved.where("last = 0").select("run_id", "class", "n", "m", F.element_at("t", -1).alias("cost"))
-    many = solved.where("last > 0")
-    final = single.unionByName(_fold_blocks(many))
+    each = F.explode(F.array(*map(F.lit, CLASSES))).alias("class")
+    heads = shape.select("run_id", each).join(protos, "class").select("run_id", "class", F.lit(-1).cast("long").alias("b"), "xs")
+    stream = heads.union(pieces.select("run_id", each, "b", "xs")).repartition("run_id", "class").sortWithinPartitions("run_id", "class", "b")
+    costs = stream.mapInArrow(_warped, "run_id string, class string, m long, cost double").join(shape, "run_id")
     dist = F.when((F.col("n") > 0) & (F.col("m") > 0), F.col("cost") / (F.col("n") + F.col("m")))
-    wide = final.groupBy("run_id").agg(
+    wide = costs.groupBy("run_id").agg(
         *[F.max(F.when(F.col("class") == c, dist)).alias(f"proto_dtw_{c}") for c in CLASSES]
     )
     return history.select("run_id").distinct().join(wide, "run_id", "left")
 
 
-def _fold_blocks(many: DataFrame, fan: int = 16) -> DataFrame:
-    """Combine per-block cost matrices in order, ``fan`` neighbours per round."""
-    rounds, longest = 0, many.agg(F.max("last").alias("k")).first()["k"]
-    while longest is not None and longest > 0:
-        longest //= fan
-        rounds += 1
-
-    @F.pandas_udf("array<double>")
-    def product(parts: pd.Series, m: pd.Series) -> pd.Series:
-        out = []
-        for ts, k in zip(parts, m):
-            acc = None
-            for t in ts:
-                mat = np.asarray(t, float).reshape(k + 1, k + 1)
-                acc = mat if acc is None else _min_plus(acc, mat)
-            out.append(acc.ravel())
-        return pd.Series(out)
-
-    for _ in range(rounds):
-        many = (
-            many.groupBy("run_id", "class", "n", "m", F.floor(F.col("b") / fan).alias("b"))
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("b").alias("o"), "t"))), lambda s: s["t"]).alias("ts"))
-            .select("run_id", "class", "b", "n", "m", product("ts", "m").alias("t"))
-        )
-        many = cut_lineage(many)
-    # Start in column 0, end in the last column.
-    return many.select("run_id", "class", "n", "m", F.element_at("t", F.col("m").cast("int") + 1).alias("cost"))
-
-
 def assemble(base: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     """Join feature blocks on run_id."""
     out = base

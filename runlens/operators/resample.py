@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runlens.session import ship_package
 from runlens.vocab import CLASSES
 
 OTHER = "<other>"
@@ -72,6 +73,7 @@ CHUNK = 128
 
 def _replicates(cells: DataFrame, by: list[str], columns: list[str], n_bootstrap: int, fn, schema: str) -> DataFrame:
     """Rows (by, b, result) with ``fn(columns, counts, chunk, size) -> arrays``; b = 0, alone in chunk 0, is the point."""
+    ship_package(cells.sparkSession)
     rows = F.collect_list(F.struct(*columns, "n")).alias("cells")
     per = cells.groupBy(*by).agg(rows) if by else cells.agg(rows)
     work = per.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-n_bootstrap // CHUNK)))))
@@ -173,6 +175,7 @@ def grouped_delta_interval(
     task looks at other buckets than its own. A group contributes its few counts per kind, so a group holding most rows costs no
     more than any other; rows without a group are one group.
     """
+    ship_package(df.sparkSession)
     known = (*labels, OTHER)
 
     def code(c: str) -> Column:

@@ -30,3 +30,14 @@ def test_dtw_matches_brute_force(spark, block):
         for c, p in protos.items():
             got = r[f"proto_dtw_{c}"]
             assert got is None if a.size == 0 else got == pytest.approx(brute(a, p))
+
+
+def test_dtw_memory_follows_the_prototype(spark):
+    """A long run against a long prototype: the frontier is as long as the prototype."""
+    history = spark.range(6000).selectExpr("'long' AS run_id", "id AS pos", "sin(id / 50.0D) AS val_loss")
+    table = spark.range(2000).selectExpr("'healthy' AS class", "id AS pos", "sin(id / 17.0D) AS value")
+    r = prototypes.dtw_distances(history, table, block=256).first()
+    a, b = np.sin(np.arange(6000) / 50.0), np.sin(np.arange(2000) / 17.0)
+    state = np.full((1, 2001), np.inf)
+    state[0, 0] = 0.0
+    assert r["proto_dtw_healthy"] == pytest.approx(prototypes._advance(state, a, b)[0, -1] / 8000)
