@@ -36,13 +36,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         links.where(a.isNotNull() & b.isNotNull() & (a != b))
         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     )
-    mark = None
-    while True:
-        got = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if (got["n"], got["h"]) == mark or not got["n"]:
-            break
-        mark = (got["n"], got["h"])
+    while not edges.isEmpty():
         edges = stored(_small_star(_large_star(edges)))
+        # Done when every vertex is linked to one other, which is linked to none.
+        split = edges.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi")
+        inner = edges.join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi").select("hi")
+        if split.union(inner).isEmpty():
+            break
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
         edges.select("lo", "lo").distinct()
     )

@@ -5,8 +5,9 @@
 2. ``bands * rows`` minima are taken for each class. A band's minima are hashed to a key; the lowest ``bits`` bits of all minima
    are packed into a signature of a few longs.
 3. Candidates come from equal band keys, but never as all pairs of a bucket: a bucket's members are compared with a
-   pivot. Members that a pivot does not bring into one component ("outsiders") are the pivots of the next rounds, until each
-   pair of a bucket was either compared or lies in one component. So a bucket of thousands of near copies takes one pass.
+   pivot, the one that meets most others. Members that it does not bring into one component ("outsiders") are the pivots of the
+   next rounds, until each pair of a bucket was compared, lies in one component or cannot be similar enough. For the last,
+   shingles that only one text of the crowded buckets has are counted: they are in nobody's intersection.
 4. Packed signatures are compared bit by bit. The share of equal minima, corrected for chance collisions of low bits,
    estimates the similarity; pairs five standard deviations under the limit are dropped.
 5. The rest is confirmed on the full sets, and confirmed links are joined to components.
@@ -44,6 +45,12 @@ class NearDup:
     #: Standard deviations of the estimate below the limit at which a candidate is dropped.
     margin: float = 5.0
     seed: int = 11
+    #: The bitmap that tells tasks which texts to look at again has 2**filter_bits bits (8 MB).
+    filter_bits: int = 26
+    #: Buckets with more outsiders than this are first cleared of texts that cannot have a partner.
+    few: int = 4
+    #: Outsiders of such buckets are first compared with so many central members.
+    probes: int = 8
 
     @property
     def minima(self) -> int:
@@ -136,25 +143,36 @@ def estimate(left: Column, right: Column, s: NearDup) -> Column:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
-    """(id, items) with the sorted shingles of the classes in ids(id, doc_id), from one of each class's texts."""
+    """(id, items) with the sorted shingles of the classes in ids(id, doc_id), from one of each class's texts; a stored table.
+
+    Texts are not shuffled: tasks get a bitmap of hashed doc_ids, of a fixed size, and make sets for the texts that it lets
+    pass. Only these sets are joined with the ids. A full bitmap lets all pass, which costs time and loses nothing.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << s.filter_bits))
+    words = ids.where("doc_id is not null").groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")
+    )
+    got = words.toArrow()
+    bitmap = np.zeros(1 << (s.filter_bits - 6), np.int64)
+    bitmap[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows in batches:
+            at = rows.column(0).to_numpy()
+            # Rows without doc_id may belong to any class.
+            some = ((shared.value[at >> 6] >> (at & 63)) & 1 == 1) | np.array(rows.column(1).to_pylist(), bool)
             own, items = [], []
-            for want, text in zip(rows.column(0).to_pylist(), as_bytes(rows.column(1))):
-                got = shingle_set(text, s.words, hashes)
-                i = set_id(got) if len(got) else None
-                # Rows that share a doc_id may have other texts.
-                if i is not None and want in (i, None):
-                    own.append(i), items.append(got.tobytes())
+            for text in as_bytes(rows.column(2).filter(pa.array(some))):
+                found = shingle_set(text, s.words, hashes)
+                if len(found):
+                    own.append(set_id(found)), items.append(found.tobytes())
             yield batch({"id": own, "items": items}, {"id": pa.int64(), "items": pa.binary()})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = texts.join(ids.where("doc_id is not null"), "doc_id").select("id", "text")
-    nameless = texts.where("doc_id is null").select(F.lit(None).cast("long").alias("id"), "text")
-    found = map_arrow(known.union(nameless), run, "id long, items binary")
-    return found.groupBy("id").agg(F.first("items").alias("items"))
+    marked = docs.select(place.alias("place"), F.col("doc_id").isNull().alias("nameless"), "text")
+    found = map_arrow(marked, run, "id long, items binary").join(ids.select("id"), "id", "left_semi")
+    return stored(found.groupBy("id").agg(F.first("items").alias("items")))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup) -> DataFrame:
@@ -168,7 +186,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup
     )
     likely = stored(both)
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    sets = stored(_sets(docs, classes.select("id", "doc_id").join(wanted, "id", "left_semi"), s))
+    sets = _sets(docs, classes.select("id", "doc_id").join(wanted, "id", "left_semi"), s)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -181,7 +199,100 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["a", "b"])
 
     met = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return map_arrow(met, compare, "a long, b long")
+    return stored(map_arrow(met, compare, "a long, b long"))
+
+
+FIRST_FAN = 64
+
+
+def _may_link(common: Column, n: Column, m: Column, s: NearDup) -> Column:
+    """Whether sets of sizes n and m with at most ``common`` shingles in common can be similar enough."""
+    return 100 * common >= s.percent * (n + m - common)
+
+
+def _without_loners(placed: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup) -> DataFrame:
+    """Mark as done, in buckets of many outsiders, those that cannot be linked with any member.
+
+    ``most`` becomes the number of an id's shingles that occur in another text of such buckets too: it can have no more in
+    common with anyone. Of edited copies, those with many edits of their own fall out here, one by one, not pair by pair.
+    """
+    ids = placed.where(F.col("waiting") > s.few).select("id").distinct()
+    sets = _sets(docs, classes.select("id", "doc_id").join(ids, "id", "left_semi"), s)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i, data in zip(rows.column(0).to_pylist(), rows.column(1)):
+                items = np.frombuffer(data.as_py(), np.int64)
+                yield batch({"id": np.full(len(items), i), "item": items}, {"id": pa.int64(), "item": pa.int64()})
+
+    items = map_arrow(sets, spread, "id long, item long")
+    lone = items.groupBy("item").agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1")
+    alone = lone.groupBy("id").agg(F.count("*").alias("alone"))
+    least = placed.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    known = placed.join(alone, "id", "left").withColumn(
+        "most", F.when(F.col("waiting") > s.few, F.col("n_shingles") - F.coalesce("alone", F.lit(0))).otherwise(F.col("most"))
+    )
+    smallest = F.greatest(F.col("least").cast("double"), F.col("n_shingles") * (s.percent / 100))
+    hopeless = ~_may_link(F.col("most"), F.col("n_shingles"), smallest, s)
+    marked = known.join(least, "key").withColumn("used", F.col("used") | hopeless)
+    # Whether outsiders are left is counted anew.
+    left = F.count_if(_outside()).alias("waiting")
+    still = marked.groupBy("key").agg(left).where("waiting > 0")
+    return marked.drop("waiting", "alone", "least").join(still, "key")
+
+
+STATE = ("key", "id", "first", "used", "n_shingles", "most", "weight")
+
+
+def _outside() -> Column:
+    """Members still to be compared with the others: not pivots yet, and not in the component of the bucket's first pivot."""
+    return ~F.col("used") & (F.col("part") != F.col("main"))
+
+
+def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of buckets that still have outsiders, with components and the number waiting; a stored table."""
+    label = parts.toDF("id", "component")
+    placed = (
+        rows.select(*STATE).join(label, "id", "left").join(label.toDF("first", "first_component"), "first", "left")
+        .select(*STATE, F.coalesce("component", "id").alias("part"), F.coalesce("first_component", "first").alias("main"))
+    )
+    still = placed.groupBy("key").agg(F.count_if(_outside()).alias("waiting")).where("waiting > 0")
+    return stored(placed.join(still, "key"))
+
+
+def _one_of_each(rows: DataFrame, salt: Column, order: str) -> DataFrame:
+    """(key, p_id, p_part, p_n, p_most): from each bucket and salt the row of the highest ``order``."""
+    best = F.max(F.struct(order, "id", "part", "n_shingles", "most")).alias("p")
+    return rows.groupBy("key", salt.alias("salt")).agg(best).select(
+        "key", F.col("p.id").alias("p_id"), F.col("p.part").alias("p_part"), F.col("p.n_shingles").alias("p_n"), F.col("p.most").alias("p_most")
+    )
+
+
+def _pairs(rows: DataFrame, pivots: DataFrame, classes: DataFrame, s: NearDup) -> DataFrame:
+    """Distinct (a, b) of rows and pivots that meet in a bucket, are in different components and may be similar enough.
+
+    A pair that meets in many buckets comes from the first of them only.
+    """
+    bands = classes.select("id", "bands")
+    with_bands = rows.join(bands, "id")
+    pivots = pivots.join(bands.toDF("p_id", "p_bands"), "p_id")
+    met = with_bands.join(pivots, "key").where("id <> p_id and part <> p_part and id <> first and p_id <> first").where(
+        _may_link(F.least("most", "p_most"), F.col("n_shingles"), F.col("p_n"), s)
+    ).where(F.array_min(F.array_intersect("bands", "p_bands")) == F.col("key"))
+    return met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+
+
+def _joined(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """The components with new links, which join whole components; so only these are looked at."""
+    if found.isEmpty():
+        return parts
+    of = parts.toDF("id", "c")
+    ends = found.join(of.toDF("a", "x"), "a", "left").join(of.toDF("b", "y"), "b", "left")
+    merged = connected_components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    named = merged.toDF("c", "whole")
+    moved = of.join(named, "c", "left").select("id", F.coalesce("whole", "c").alias("component"))
+    alone = named.select(F.col("c").alias("id"), F.col("whole").alias("component")).join(of, "id", "left_anti")
+    return stored(moved.union(alone))
 
 
 def near_duplicates(docs: DataFrame, s: NearDup = NearDup()) -> DataFrame:
@@ -194,44 +305,39 @@ def near_duplicates(docs: DataFrame, s: NearDup = NearDup()) -> DataFrame:
         )
     )
     buckets = classes.select("id", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    members = stored(buckets.join(shared, "key").select("key", "id", "pivot", "n"))
-
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_confirmed(pairs, classes, docs, s))
-    parts = stored(connected_components(links))
-
-    open_rows = members.where("n > 2").select("key", "id", F.col("pivot").alias("first"), (F.col("id") == F.col("pivot")).alias("used"))
-    fan = 16
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(buckets.join(shared, "key").select("key", "id", "n"))
+    # The pivot is the member that meets most others in all its buckets: of edited copies, the least edited one.
+    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    members = members.join(weights, "id")
+    pivots = members.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("p")).select("key", F.col("p.id").alias("first"))
+    members = stored(members.join(pivots, "key"))
+    pairs = members.where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
+    parts = stored(connected_components(_confirmed(pairs, classes, docs, s)))
+
+    begun = (
+        members.where("n > 2").join(classes.select("id", "n_shingles"), "id")
+        .withColumns({"used": F.col("id") == F.col("first"), "most": F.col("n_shingles")})
+    )
+    state = _placed(begun, parts)
+    if not state.isEmpty():
+        # Crowded buckets: drop who can have no partner, then compare outsiders with a few more central members.
+        state = stored(_without_loners(state, classes, docs, s))
+        crowded = state.where(F.col("waiting") > s.few)
+        probes = _one_of_each(crowded, F.pmod(F.xxhash64("id"), F.lit(s.probes)), "weight")
+        pairs = _pairs(crowded.where(_outside()), probes, classes, s)
+        parts = _joined(parts, _confirmed(pairs, classes, docs, s))
+    fan = FIRST_FAN
     while True:
-        label = parts.toDF("id", "component")
-        placed = (
-            open_rows.join(label, "id", "left")
-            .join(label.toDF("first", "first_component"), "first", "left")
-            .select(
-                "key", "id", "first", "used", F.coalesce("component", "id").alias("part"),
-                F.coalesce("first_component", "first").alias("main"),
-            )
-        )
-        outside = ~F.col("used") & (F.col("part") != F.col("main"))
-        still = placed.groupBy("key").agg(F.max(outside).alias("go")).where("go").select("key")
-        placed = stored(placed.join(still, "key", "left_semi"))
-        if placed.isEmpty():
+        state = _placed(state, parts)
+        if state.isEmpty():
             break
-        salt = F.pmod(F.xxhash64("id"), F.lit(fan))
-        pivots = stored(
-            placed.where(outside).groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "part")).alias("p"))
-            .select("key", F.col("p.id").alias("p_id"), F.col("p.part").alias("p_part"))
-        )
-        met = placed.join(pivots, "key").where("not (id = p_id) and part <> p_part and id <> first")
-        pairs = met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        found = stored(_confirmed(pairs, classes, docs, s))
-        if not found.isEmpty():
-            parts = stored(connected_components(found.union(parts.toDF("a", "b"))))
+        # All outsiders of a bucket are pivots at once where they are few; else one for each of ``fan`` hash values.
+        salt = F.when(F.col("waiting") <= fan, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(fan)))
+        pivots = _one_of_each(state.where(_outside()), salt, "weight")
+        parts = _joined(parts, _confirmed(_pairs(state, pivots, classes, s), classes, docs, s))
         done = pivots.select("key", F.col("p_id").alias("id"), F.lit(True).alias("_now"))
-        open_rows = placed.select("key", "id", "first", "used").join(done, ["key", "id"], "left").select(
-            "key", "id", "first", (F.col("used") | F.coalesce("_now", F.lit(False))).alias("used")
-        )
+        state = state.join(done, ["key", "id"], "left").withColumn("used", F.col("used") | F.coalesce("_now", F.lit(False)))
         fan *= 4
 
     label = parts.toDF("id", "part")
