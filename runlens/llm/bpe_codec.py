@@ -5,8 +5,8 @@ inner node the least below it, and among equal ranks the leftmost; so the root n
 (the pair itself, its left neighbour, the vanished position), each in logarithmic time, so a piece of n bytes takes
 O(n log n) whatever it looks like.
 
-Texts are cut by the vocabulary's pattern. Pieces between blanks are met again and again, so a task remembers the ids of up to
-``limit`` of them; forgetting does not change results.
+Texts are cut by the vocabulary's pattern. Pieces between blanks are met again and again, so a worker process remembers the ids of up
+to ``limit`` of them; forgetting does not change results.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Extra columns of the input are ignored; repeated rows are coded
 alike.
@@ -157,6 +157,12 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def codec_of(v: Vocabulary) -> Codec:
+    """One codec, and what it remembers, for all tasks of a worker process."""
+    return Codec(v)
+
+
 ROUND_TRIP = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
@@ -164,7 +170,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(v)
+        codec = codec_of(v)
         for rows in batches:
             texts, keys = [t or "" for t in rows.column(1).to_pylist()], rows.column(0)
             for s in slices(texts):
@@ -179,7 +185,7 @@ def decode(encoded: DataFrame, v: Vocabulary) -> DataFrame:
     """(doc_id, data binary) for each row of encoded(doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(v)
+        codec = codec_of(v)
         for rows in batches:
             data = [codec.decode(ids or []) for ids in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
@@ -193,7 +199,7 @@ def round_trip(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """Digests of the ids and of the bytes they decode to, for each row; ids stay in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(v)
+        codec = codec_of(v)
         names = list(map(str, range(len(codec.tokens))))
         for rows in batches:
             out: dict[str, list] = {k: [] for k in ROUND_TRIP}

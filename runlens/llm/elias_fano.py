@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlens.llm.common import as_bytes, batch, map_arrow, slices, with_id_ranges
-from runlens.llm.tokenizing import WordPieces
+from runlens.llm.tokenizing import word_pieces
 
 STRETCH = 512
 
@@ -122,7 +122,7 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
     """Write the blocks of docs(doc_id, text) below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordPieces(f.tokenizer)
+        encoder = word_pieces(f.tokenizer)
         end = np.array([f.end_id], np.uint16).tobytes()
         where, number, names, ids, size = None, 0, [], [], 0
 

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlens.llm.common import batch, map_arrow, slices, stored
-from runlens.llm.tokenizing import SpacePieces
+from runlens.llm.tokenizing import space_pieces
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def cut_documents(docs: DataFrame, p: Packing) -> DataFrame:
     """One row for each piece, numbered within (class, worker)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, worker = SpacePieces(p.tokenizer), TaskContext.get().partitionId()
+        encoder, worker = space_pieces(p.tokenizer), TaskContext.get().partitionId()
         numbers: dict[int, int] = defaultdict(int)
         end = np.array([p.end_id], np.uint16).tobytes()
         for rows in batches:

@@ -1,20 +1,22 @@
 """Exact token ids from the tokenizers library, encoding each distinct piece of text once.
 
 Both vocabularies cut text before merging, and never across certain white space, so a text's ids are the ids of its pieces in a
-row. A task keeps the ids of pieces it has seen (two bytes each; up to ``limit`` pieces, then it starts anew), and hands new pieces
-to the library many at a time.
+row. A worker process keeps the ids of pieces it has seen (two bytes each; up to ``limit`` pieces, then it starts anew), and hands new
+pieces to the library many at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: New pieces are joined to texts of so many.
 GROUP = 2_000
-LIMIT = 500_000
+LIMIT = 800_000
 
 
 def load(path: str) -> Tokenizer:
@@ -77,7 +79,9 @@ class SpacePieces:
         """Little-endian 16-bit ids of each text."""
         parts = [t.split(" ") for t in texts]
         inner, alone = self.inner, self.alone
-        new = {p for row in parts for p in row[1:] if p not in inner}
+        new: set[str] = set()
+        for row in parts:
+            new.update(filterfalse(inner.__contains__, row[1:]))
         first = {row[0] for row in parts if row[0] not in alone}
         if new or first:
             if len(inner) + len(alone) + len(new) + len(first) > self.limit:
@@ -129,7 +133,9 @@ class WordPieces:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each UTF-8 text."""
         parts = [t.split() for t in texts]
-        new = {w for row in parts for w in row if w not in self.seen}
+        new: set[bytes] = set()
+        for row in parts:
+            new.update(filterfalse(self.seen.__contains__, row))
         if len(self.seen) + len(new) > self.limit and new:
             self.seen.clear()
             new = {w for row in parts for w in row}
@@ -137,3 +143,14 @@ class WordPieces:
             self._learn(new)
         get = self.seen.__getitem__
         return [b"".join(map(get, row)) for row in parts]
+
+
+@lru_cache(maxsize=1)
+def space_pieces(path: str) -> SpacePieces:
+    """One encoder for all tasks of a worker process."""
+    return SpacePieces(path)
+
+
+@lru_cache(maxsize=1)
+def word_pieces(path: str) -> WordPieces:
+    return WordPieces(path)
