@@ -99,7 +99,7 @@ class EliasFano:
 
 
 BLOCK = {
-    "range": pa.int32(), "block": pa.int64(), "tokens": pa.int64(), "docs": pa.int64(), "nameless": pa.int64(), "first_id": pa.int64(),
+    "range": pa.int32(), "before": pa.int64(), "tokens": pa.int64(), "docs": pa.int64(), "nameless": pa.int64(), "first_id": pa.int64(),
     "bounds_bits": pa.int32(), "bounds_low": pa.binary(), "bounds_high": pa.binary(), "bounds_directory": pa.binary(),
     "names_bits": pa.int32(), "names_low": pa.binary(), "names_high": pa.binary(), "names_directory": pa.binary(), "ids": pa.binary(),
 }
@@ -107,13 +107,13 @@ SQL_TYPES = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 BLOCK_SQL = ", ".join(f"{k} {SQL_TYPES[t]}" for k, t in BLOCK.items())
 
 
-def block_row(where: int, number: int, names: list[int | None], ids: list[bytes]) -> dict[str, object]:
+def block_row(where: int, before: int, names: list[int | None], ids: list[bytes]) -> dict[str, object]:
     known = np.array([x for x in names if x is not None], np.int64)
     first = int(known[0]) if len(known) else 0
     bounds = np.cumsum([0, *(len(x) // 2 for x in ids)])
     relative = known.view(np.uint64) - np.array([first], np.int64).view(np.uint64) if len(known) else np.empty(0, np.uint64)
     return {
-        "range": where, "block": number, "tokens": int(bounds[-1]), "docs": len(ids), "nameless": len(names) - len(known), "first_id": first,
+        "range": where, "before": before, "tokens": int(bounds[-1]), "docs": len(ids), "nameless": len(names) - len(known), "first_id": first,
         **EliasFano.of(bounds).cells("bounds"), **EliasFano.of(relative).cells("names"), "ids": b"".join(ids),
     }
 
@@ -124,10 +124,10 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_pieces(f.tokenizer)
         end = np.array([f.end_id], np.uint16).tobytes()
-        where, number, names, ids, size = None, 0, [], [], 0
+        where, before, names, ids, size = None, 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
-            row = block_row(where, number, names, ids)
+            row = block_row(where, before, names, ids)
             return batch({k: [row[k]] for k in BLOCK}, BLOCK)
 
         for rows in batches:
@@ -136,10 +136,8 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
                 for r, doc, data in zip(ranges[s], keys[s], encoder.encode(texts[s])):
                     if ids and (r != where or size >= f.block_tokens or len(ids) >= f.block_docs):
                         yield closed()
-                        number = number + 1 if r == where else 0
+                        before = before + size if r == where else 0
                         names, ids, size = [], [], 0
-                    elif r != where:
-                        number = 0
                     where = r
                     names.append(doc)
                     ids.append(data + end)
@@ -155,17 +153,11 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
 READ = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
 
 
-def block_starts(blocks: DataFrame) -> DataFrame:
-    """(range, block, base): ids before each block. Sums of ranges first; there are MAX_RANGES ranges at most."""
-    sizes = blocks.select("range", "block", "tokens")
-    whole = sizes.groupBy("range").agg(F.sum("tokens").alias("n"))
+def range_starts(blocks: DataFrame) -> DataFrame:
+    """(range, base): ids before each range, of which there are MAX_RANGES at most."""
+    whole = blocks.groupBy("range").agg(F.sum("tokens").alias("n"))
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = whole.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_base"))
-    inside = W.partitionBy("range").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        sizes.withColumn("own", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(F.broadcast(ranges), "range")
-        .select("range", "block", (F.col("own") + F.col("range_base")).alias("base"))
-    )
+    return whole.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -180,13 +172,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 view = memoryview(np.frombuffer(row["ids"], np.uint16).astype("<u4")).cast("B")
                 spans = zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist())
                 out = {
-                    "doc_id": [None] * row["nameless"] + known.tolist(), "start": bounds[:-1] + row["base"], "n_tokens": np.diff(bounds),
+                    "doc_id": [None] * row["nameless"] + known.tolist(), "start": bounds[:-1] + (row["base"] + row["before"]), "n_tokens": np.diff(bounds),
                     "ids_crc32": [zlib.crc32(view[a:b]) for a, b in spans],
                 }
                 yield batch(out, READ)
 
     blocks = spark.read.schema(BLOCK_SQL).parquet(path)
-    based = blocks.join(block_starts(blocks), ["range", "block"])
+    based = blocks.join(F.broadcast(range_starts(blocks)), "range")
     return map_arrow(based, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

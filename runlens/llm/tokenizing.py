@@ -1,8 +1,8 @@
 """Exact token ids from the tokenizers library, encoding each distinct piece of text once.
 
 Both vocabularies cut text before merging, and never across certain white space, so a text's ids are the ids of its pieces in a
-row. A worker process keeps the ids of pieces it has seen (two bytes each; up to ``limit`` pieces, then it starts anew), and hands new
-pieces to the library many at a time.
+row. A worker process keeps the ids of the pieces it has seen lately (two bytes each), and hands new pieces to the library many at a
+time. Forgetting pieces does not change results.
 """
 
 from __future__ import annotations
@@ -36,6 +36,25 @@ def two_bytes(ids: list[int]) -> bytes:
     return np.array(ids, np.uint16).tobytes()
 
 
+class Recent:
+    """A dictionary that keeps between half and all of ``limit`` entries: those used last."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, rows: list[list]) -> set:
+        """The items of ``rows`` without an entry; all others are in ``young`` afterwards."""
+        if len(self.young) > self.limit // 2:
+            self.old, self.young = self.young, {}
+        new: set = set()
+        for row in rows:
+            new.update(filterfalse(self.young.__contains__, row))
+        known = new & self.old.keys()
+        for x in known:
+            self.young[x] = self.old[x]
+        return new - known
+
+
 class SpacePieces:
     """Byte-level vocabularies whose pattern gives one blank to the word behind it.
 
@@ -44,24 +63,20 @@ class SpacePieces:
     """
 
     def __init__(self, path: str, limit: int = LIMIT):
-        self.tokenizer, self.limit = load(path), limit
-        self.inner: dict[str, bytes | None] = {}
-        self.alone: dict[str, bytes] = {}
+        self.tokenizer = load(path)
+        self.inner, self.alone = Recent(limit), Recent(limit // 4)
         # One character of a byte-level token's name stands for one byte.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [two_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str], alone: set[str]) -> None:
-        if len(self.inner) + len(self.alone) > self.limit:
-            self.inner.clear()
-            self.alone.clear()
+    def _learn(self, parts: set[str]) -> None:
+        entries = self.inner.young
         safe = []
         for p in parts:
             if not p or p[-1].isspace():
-                self.inner[p] = None
-                alone.add(" " + p)
+                entries[p] = None
             else:
                 safe.append(p)
         for group in groups(safe):
@@ -70,78 +85,69 @@ class SpacePieces:
             ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p.encode()) + 1 for p in group])) + 1
             data, at = ids.tobytes(), 0
             for p, end in zip(group, (2 * ends).tolist()):
-                self.inner[p] = data[at:end]
+                entries[p] = data[at:end]
                 at = end
-        for group in groups(sorted(alone)):
-            self.alone.update(zip(group, self._whole(group)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         parts = [t.split(" ") for t in texts]
-        inner, alone = self.inner, self.alone
-        new: set[str] = set()
-        for row in parts:
-            new.update(filterfalse(inner.__contains__, row[1:]))
-        first = {row[0] for row in parts if row[0] not in alone}
-        if new or first:
-            if len(inner) + len(alone) + len(new) + len(first) > self.limit:
-                inner.clear()
-                alone.clear()
-                new = {p for row in parts for p in row[1:]}
-                first = {row[0] for row in parts}
-            self._learn(new, first)
+        self._learn(self.inner.missing([row[1:] for row in parts]))
+        get = self.inner.young.__getitem__
+        inner = [list(map(get, row[1:])) for row in parts]
+        # The first piece of a text, and a last one that ends in white space.
+        ends = [" " + row[-1] if own and own[-1] is None else "" for row, own in zip(parts, inner)]
+        for group in groups(sorted(self.alone.missing([[row[0] for row in parts], ends]))):
+            self.alone.young.update(zip(group, self._whole(group)))
+        alone = self.alone.young
         out = []
-        for text, row in zip(texts, parts):
-            got = [alone[row[0]]]
-            got += map(inner.__getitem__, row[1:])
-            if len(row) > 1 and got[-1] is None:
-                tail = " " + row[-1]
-                if tail not in alone:
-                    alone.update(zip([tail], self._whole([tail])))
-                got[-1] = alone[tail]
-            unsafe = None in got or (len(row) > 1 and row[0][-1:].isspace())
-            out.append(self._whole([text])[0] if unsafe else b"".join(got))
+        for text, row, own, end in zip(texts, parts, inner, ends):
+            if end:
+                own[-1] = alone[end]
+            unsafe = None in own or (own and row[0][-1:].isspace())
+            out.append(self._whole([text])[0] if unsafe else alone[row[0]] + b"".join(own))
         return out
 
 
 class WordPieces:
-    """Vocabularies that drop white space: texts are cut at ASCII white space, which belongs to no token."""
+    """Vocabularies that drop white space and mark the last token of each word: texts are cut at ASCII white space."""
 
-    def __init__(self, path: str, mark: str = "™", limit: int = LIMIT):
-        self.tokenizer, self.limit, self.mark = load(path), limit, mark
-        (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        self.mark_bytes = mark.encode()
-        self.seen: dict[bytes, bytes] = {}
+    def __init__(self, path: str, suffix: str = "</w>", limit: int = LIMIT):
+        self.tokenizer, self.seen = load(path), Recent(limit)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.closes = np.array([n.endswith(suffix) for n in names])
 
     def _learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if self.mark_bytes not in w]
-        for group in groups(plain):
-            joined = f" {self.mark} ".join([w.decode() for w in group])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(group) - 1:
-                raise AssertionError("the mark occurs inside a word's ids")
+        """Pieces of letters are one word for the pattern, with one stop or comma behind them two; others are encoded one by one."""
+        entries = self.seen.young
+        plain, counts, rest = [], [], []
+        for w in words:
+            text = w.decode()
+            body = text[:-1] if text[-1] in ".,;:!?" else text
+            # Lower case may take letters apart.
+            if body.isalpha() and body.lower().isalpha():
+                plain.append(w)
+                counts.append(2 if len(body) < len(text) else 1)
+            else:
+                rest.append(w)
+        for at in range(0, len(plain), GROUP):
+            group, own = plain[at : at + GROUP], counts[at : at + GROUP]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, np.uint16)
+            closing = np.flatnonzero(self.closes[ids])
+            if len(closing) != sum(own):
+                raise AssertionError("a piece was cut in another way than its letters say")
             data, start = ids.tobytes(), 0
-            for w, end in zip(group, [*(2 * at).tolist(), len(data)]):
-                self.seen[w] = data[start:end]
-                start = end + 2
-        marked = [w for w in words if self.mark_bytes in w]
-        for group in groups(marked):
+            for w, end in zip(group, (2 * (closing[np.cumsum(own) - 1] + 1)).tolist()):
+                entries[w] = data[start:end]
+                start = end
+        for group in groups(rest):
             got = self.tokenizer.encode_batch_fast([w.decode() for w in group], add_special_tokens=False)
-            self.seen.update(zip(group, [two_bytes(e.ids) for e in got]))
+            entries.update(zip(group, [two_bytes(e.ids) for e in got]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each UTF-8 text."""
         parts = [t.split() for t in texts]
-        new: set[bytes] = set()
-        for row in parts:
-            new.update(filterfalse(self.seen.__contains__, row))
-        if len(self.seen) + len(new) > self.limit and new:
-            self.seen.clear()
-            new = {w for row in parts for w in row}
-        if new:
-            self._learn(new)
-        get = self.seen.__getitem__
+        self._learn(self.seen.missing(parts))
+        get = self.seen.young.__getitem__
         return [b"".join(map(get, row)) for row in parts]
 
 

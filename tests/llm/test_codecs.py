@@ -71,6 +71,15 @@ def test_remembered_pieces_equal_library(texts):
     assert got == [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_recent_entries():
+    r = tokenizing.Recent(4)
+    for row in ([1, 2, 3], [1, 4], [5, 1], [6, 7], [1, 2]):
+        for x in r.missing([row]):
+            r.young[x] = -x
+        assert all(r.young[x] == -x for x in row)
+        assert len(r.young) + len(r.old) <= 4 + 4
+
+
 def test_forgetting_pieces_changes_nothing(corpus):
     texts = [t for _, t in corpus[0]][:40]
     small = tokenizing.SpacePieces(public_tokenizers.path("byte_bpe_50k.json"), limit=50)
