@@ -501,3 +501,8 @@ def _(t):
     return rounded(q)
 
 
+@query("quantiles_one_key", "P3 J14", f"""
+    SELECT {r('quantile_cont(l_extendedprice, 0.25)', 'q25')}, {r('quantile_cont(l_extendedprice, 0.5)', 'q50')},
+      {r('quantile_cont(l_extendedprice, 0.95)', 'q95')} FROM lineitem""")
+def _(t):
+    return rounded(exact_quantiles(t.lineitem, [], "l_extendedprice", {"q25": 0.25, "q50": 0.5, "q95": 0.95}))

@@ -206,6 +206,18 @@ def _(t):
     return rounded(h.select("run_dir", "pos", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols]))
 
 
+@query("history_quoted", "S6", with_ctes(["history"], f"""
+    SELECT '/fleet/' || run_id AS run_dir, pos, (pos + 1)::DOUBLE AS epoch, {rcols(CURVES)},
+      CASE WHEN substr(run_id, 2)::BIGINT % 2 = 1 THEN {r('grad_norm')} END AS grad_norm FROM history"""))
+def _(t):
+    # Every cell in quotes, and a first column of quoted text with commas and doubled quotes.
+    line = F.regexp_replace(F.replace(F.col("line"), F.lit('"'), F.lit("")), "([^,]+)", '"$1"')
+    note = F.lit('"a ""b"", c",')
+    h = run_files.parse_history(history_lines(t).withColumn("line", F.when(F.trim("line") != "", F.concat(note, line)).otherwise(F.col("line"))))
+    cols = ("epoch", *CURVES, "grad_norm")
+    return rounded(h.select("run_dir", "pos", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols]))
+
+
 def tracker_export(t):
     """Metric rows under tracker names, with duplicates and series that lost their step numbers."""
     m = D.metrics(t)
@@ -255,6 +267,27 @@ def _(t):
     return trackers.resolve_metrics(tracker_export(t))
 
 
+@query("steps_without_timestamps", "S14", with_ctes(["metrics"], """
+    SELECT run_id, metric, row_number() OVER (PARTITION BY run_id, metric ORDER BY ts NULLS FIRST, seq) - 1 AS step, seq FROM (
+      SELECT run_id, metric, seq, CASE WHEN seq % 3 <> 0 THEN ts END AS ts FROM metrics)"""))
+def _(t):
+    m = D.metrics(t).withColumns({"ts": F.when(F.col("seq") % 3 != 0, F.col("ts")), "step": F.lit(None).cast("long")})
+    return trackers.repair_steps(cut_lineage(m)).select("run_id", "metric", F.col("step").cast("long").alias("step"), "seq")
+
+
+@query("event_file_history", "S13", with_ctes(["metrics"], f"""
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS pos, row_number() OVER (PARTITION BY run_id ORDER BY step) AS epoch,
+      {rcols([*CURVES, 'grad_norm'])} FROM (
+      SELECT run_id, step, max(value) FILTER (WHERE metric = 'train_loss') AS train_loss, max(value) FILTER (WHERE metric = 'val_loss') AS val_loss,
+        max(value) FILTER (WHERE metric = 'train_acc') AS train_acc, max(value) FILTER (WHERE metric = 'val_acc') AS val_acc,
+        max(value) FILTER (WHERE metric = 'grad_norm') AS grad_norm FROM metrics GROUP BY run_id, step)"""))
+def _(t):
+    tag = F.col("metric")
+    tags = F.when(tag == "train_loss", "Loss_train").when(tag == "val_loss", "epoch_val_loss").when(tag == "train_acc", "epoch_accuracy").otherwise(tag)
+    m = cut_lineage(D.metrics(t).withColumn("metric", tags))
+    return rounded(trackers.to_history(m, trackers.EVENT_TAGS).select("run_id", "pos", "epoch", *CURVES, "grad_norm"))
+
+
 @query("lifted_params", "S15", """
     SELECT 'o' || o_orderkey AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS dataset_name, o_orderstatus AS model_name,
       CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 1000) / 1e3 WHEN o_orderkey % 3 = 1 THEN NULL ELSE 5e-1 END AS learning_rate,
