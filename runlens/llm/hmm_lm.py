@@ -9,8 +9,8 @@ unknown word), so the likelihood of a text is the forward recursion over its sym
   to all tasks, a bounded table; counts of the rarer words of each text come by a join, which has no hot keys, as the frequent words
   are not in it.
 * Texts are stored once as 16-bit symbols. Every Baum-Welch step sums expected counts in each task and then over tasks: states x symbols
-  numbers, whatever the corpus. The first steps go through the corpus part by part (each text in one part) with a falling
-  step size; then ``full_passes`` steps use all texts.
+  numbers, whatever the corpus. The first steps go through different parts of the corpus with a falling step size, so that the states
+  settle early; then ``full_passes`` steps go through all texts, and the model is made of their counts.
 
 Defined results: null and empty texts consist of the end. Null ids are trained on (their text form is empty, remainder 0). Repeated rows
 count and are scored each. Without training texts, counts are 0 and the states are alike. Extra columns are ignored.
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,9 @@ class Model:
     groups: int = 4_096
     #: Bound of the table of frequent words and their counts.
     known: int = 262_144
-    parts: int = 8
+    #: The corpus is cut into ``parts``; each of the first ``warm_up`` steps goes through one of them.
+    parts: int = 16
+    warm_up: int = 8
     full_passes: int = 1
     #: Weight of the overall symbol shares in each state's emissions, and of each transition.
     prior: float = 20.0
@@ -86,6 +89,7 @@ class Vocabulary:
 
     words: np.ndarray
     counts: np.ndarray
+    groups: np.ndarray
     symbols: np.ndarray  # of words with one of their own, else -1
     group_logs: np.ndarray  # log10 of each group's denominator
     tokens: int
@@ -118,11 +122,39 @@ def vocabulary(counts: DataFrame, m: Model) -> Vocabulary:
     shares[m.own + 1 :] = size
     order = np.argsort(top["word"].to_numpy(np.int64))
     return Vocabulary(
-        top["word"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order], symbols[order], np.log10(size + 0.5 * (kinds + 1)),
+        top["word"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order], top["group"].to_numpy(np.int64)[order], symbols[order], np.log10(size + 0.5 * (kinds + 1)),
         int(totals[0] or 0), int(totals[1]), end_count, (shares + 0.5) / (shares + 0.5).sum(),
     )
 
 
+class Codes(dict):
+    """A number for each word, remembered up to ``limit`` words: its place among the frequent words, or -1 - group."""
+
+    def __init__(self, v: Vocabulary, m: Model, limit: int = 400_000):
+        super().__init__()
+        self.model, self.limit = m, limit
+        self.endings: dict[bytes, int] = {}
+        self.places = dict(zip(v.words.tolist(), range(len(v.words))))
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        code = self.places.get(signed_hash(word))
+        if code is None:
+            code = self.endings.get(word[-3:])
+            if code is None:
+                if len(self.endings) >= self.limit:
+                    self.endings.clear()
+                self.endings[word[-3:]] = code = -1 - int(group_of([word], WordHashes(), self.model)[0])
+        self[word] = code
+        return code
+
+
+def signed_hash(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word)
+    return h - 2**64 if h >= 2**63 else h
+
+
 CODED = {
     "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
     "count_logs": pa.float64(), "within": pa.float64(), "symbols": pa.binary(), "rare": pa.list_(pa.int64()), "times": pa.list_(pa.int32()),
@@ -134,10 +166,13 @@ def encode(docs: DataFrame, v: Vocabulary, m: Model) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, hashes, row = model.value, WordHashes(), TaskContext.get().partitionId() << 33
+        voc, row = model.value, TaskContext.get().partitionId() << 33
+        codes_of = Codes(voc, m).__getitem__
         logs = np.log10(voc.counts + 0.5)
         end_log = float(np.log10(voc.end_count + 0.5))
-        last = max(len(voc.words) - 1, 0)
+        shared = voc.symbols < 0
+        symbol_of = np.where(shared, m.own + 1 + voc.groups, voc.symbols)
+        within_of = np.where(shared, logs - voc.group_logs[voc.groups], 0.0)
         for rows in batches:
             texts = as_bytes(rows.column(1))
             ids, held = rows.column(0).to_pylist(), rows.column(2).to_pylist()
@@ -145,19 +180,17 @@ def encode(docs: DataFrame, v: Vocabulary, m: Model) -> DataFrame:
                 out: dict[str, list] = {k: [] for k in CODED}
                 for doc, flag, text in zip(ids[s], held[s], texts[s]):
                     words = text.lower().split()
-                    h = signed(hashes.of(words))
-                    at = np.minimum(np.searchsorted(voc.words, h), last)
-                    frequent = voc.words[at] == h if len(voc.words) else np.zeros(len(h), bool)
-                    symbols = np.where(frequent, voc.symbols[at], -1) if len(voc.words) else np.full(len(h), -1)
-                    shared = np.flatnonzero(symbols < 0)
-                    groups = group_of([words[i] for i in shared], hashes, m)
-                    symbols[shared] = m.own + 1 + groups
-                    own_logs = np.where(frequent, logs[at], 0.0) if len(voc.words) else np.zeros(len(h))
-                    rare, times = np.unique(h[~frequent], return_counts=True)
+                    codes = np.fromiter(map(codes_of, words), np.int64, len(words))
+                    scarce = np.flatnonzero(codes < 0)
+                    places, groups = codes[codes >= 0], -1 - codes[scarce]
+                    symbols = np.full(len(words) + 1, m.own, np.uint16)
+                    symbols[:-1][codes >= 0] = symbol_of[places]
+                    symbols[scarce] = m.own + 1 + groups
+                    hashes = np.array([signed_hash(words[i]) for i in scarce.tolist()], np.int64)
+                    rare, times = np.unique(hashes, return_counts=True)
                     values = (
-                        row, doc, flag, len(words) + 1, int(frequent.sum()) + (voc.end_count > 0), float(own_logs.sum()) + end_log,
-                        float(own_logs[shared].sum() - voc.group_logs[groups].sum()),
-                        np.append(symbols, m.own).astype(np.uint16).tobytes(), rare, times.astype(np.int32),
+                        row, doc, flag, len(words) + 1, len(places) + (voc.end_count > 0), float(logs[places].sum()) + end_log,
+                        float(within_of[places].sum() - voc.group_logs[groups].sum()), symbols.tobytes(), rare, times.astype(np.int32),
                     )
                     for k, x in zip(CODED, values):
                         out[k].append(x)
@@ -292,7 +325,7 @@ def train(coded: DataFrame, v: Vocabulary, m: Model) -> States:
     states = first_states(v, m)
     kept: States | None = None
     part = F.pmod(F.xxhash64("row"), F.lit(m.parts))
-    for i in range(m.parts):
+    for i in range(min(m.warm_up, m.parts)):
         got, _ = baum_welch_step(coded.where(part == i), states, m)
         rate = 1.0 if kept is None else (i + 1) ** -0.6
         mixed = States(*(m.parts * rate * x for x in (got.start, got.move, got.emit)))
