@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runlens.functions.numeric import ratio
+from runlens.functions.numeric import ratio, ratio0
 from runlens.operators.metrics import class_metrics, confusion_cells, summary
 from runlens.vocab import CLASSES, DATA, HEALTHY, LEAKAGE, OPTGEN, STAGE1, STAGE2, STAGE3_DATA, STAGE3_OPT, labels_array, to_stage1, to_stage2
 
@@ -80,12 +81,31 @@ def stage_reports(diagnoses: DataFrame) -> DataFrame:
         )
     )
     cells = confusion_cells(diagnoses.select(F.explode(parts).alias("p")).select("p.*"), ["stage"])
-    out = None
-    for stage, labels in (("stage1", STAGE1), ("stage2", STAGE2), (f"stage3_{DATA}", STAGE3_DATA), (f"stage3_{OPTGEN}", STAGE3_OPT)):
-        one = cells.where(F.col("stage") == stage)
-        rep = class_metrics(one, ["stage"], labels).join(summary(one, ["stage"], labels).select("stage", "accuracy", "macro_f1"), "stage")
-        out = rep if out is None else out.unionByName(rep)
-    return out
+    vocabulary = (("stage1", STAGE1), ("stage2", STAGE2), (f"stage3_{DATA}", STAGE3_DATA), (f"stage3_{OPTGEN}", STAGE3_OPT))
+    labels = F.lit(None).cast("array<string>")
+    for stage, names in vocabulary:
+        labels = F.when(F.col("stage") == stage, F.array(*map(F.lit, names))).otherwise(labels)
+
+    def total(chosen) -> Column:
+        return F.aggregate(F.filter("cells", chosen), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+
+    # One row per stage with its few cells; everything else is arithmetic on them.
+    per = cells.groupBy("stage").agg(F.collect_list(F.struct("y_true", "pred", "n")).alias("cells"))
+    hits = total(lambda c: c["y_true"].eqNullSafe(c["pred"]))
+    rows = per.select("stage", "cells", ratio0(hits, total(lambda c: F.lit(True))).alias("accuracy"), F.explode(labels).alias("class"))
+    name = F.col("class")
+    counted = rows.select(
+        "stage", "class", "accuracy", total(lambda c: c["y_true"].eqNullSafe(name)).alias("support"),
+        total(lambda c: c["pred"].eqNullSafe(name)).alias("predicted"),
+        total(lambda c: c["y_true"].eqNullSafe(name) & c["pred"].eqNullSafe(name)).alias("tp"),
+    )
+    f1 = ratio0(F.lit(2) * F.col("tp"), F.col("support") + F.col("predicted"))
+    scored = counted.select(
+        "stage", "class", ratio0(F.col("tp"), F.col("predicted")).alias("precision"), ratio0(F.col("tp"), F.col("support")).alias("recall"),
+        f1.alias("f1"), "support", "accuracy",
+    )
+    # A stage has six classes at most.
+    return scored.withColumn("macro_f1", F.avg("f1").over(W.partitionBy("stage")))
 
 
 def error_propagation(diagnoses: DataFrame) -> DataFrame:
