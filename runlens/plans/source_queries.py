@@ -138,7 +138,7 @@ def _(t):
 
 
 def _run_table(t):
-    meta = run_files.parse_meta(meta_documents(t)).where("error is null")
+    meta = run_files.parse_meta(meta_documents(t))
     b = D.runs_bulk(t)
     manifest = b.where("ord % 2 = 0").select(
         F.col("run_id").alias("run_key"), "entry_id",
@@ -166,8 +166,8 @@ def _(t):
 
 
 @query("run_table_quarantine", "S10", with_ctes(["runs_bulk"], """
-    SELECT '/fleet/' || run_id AS run_dir, 'history is empty or missing' AS error FROM runs_bulk
-    WHERE n_history_rows = 0 AND ord % 97 <> 0"""))
+    SELECT '/fleet/' || run_id AS run_dir, CASE WHEN ord % 97 = 0 THEN 'meta is not a JSON object' ELSE 'history is empty or missing' END AS error
+    FROM runs_bulk WHERE n_history_rows = 0 OR ord % 97 = 0"""))
 def _(t):
     return _run_table(t)[1]
 

@@ -141,7 +141,7 @@ def dataset_of(v: Column, config: Column) -> Column:
 def promote_meta(meta: DataFrame) -> DataFrame:
     """Run columns found in the metadata alone: run_dir, run_id, labels, dataset, severity, is_multi_label, entry_id.
 
-    Each document is parsed once into a VARIANT; all fields are read from that.
+    Each document is parsed once into a VARIANT; all fields are read from that. A broken document keeps its row and its error.
     """
     sections = F.from_json(F.get_json_object("meta_json", "$.config"), "map<string, string>")
     m = meta.withColumns({"_v": F.try_parse_json("meta_json"), "_config": sections})
@@ -163,7 +163,7 @@ def promote_meta(meta: DataFrame) -> DataFrame:
         F.lower(F.trim(F.coalesce(text("severity"), text("fault_severity")))).alias("severity"),
         (truthy | (F.size("_labels") > 1)).alias("is_multi_label"),
         text("entry_id").alias("entry_id"),
-        F.when(F.col("_bad"), F.lit("unsupported label value")).alias("error"),
+        F.coalesce(*[F.col(c) for c in meta.columns if c == "error"], F.when(F.col("_bad"), F.lit("unsupported label value"))).alias("error"),
     )
 
 
@@ -177,7 +177,8 @@ def load_runs(promoted: DataFrame, manifest: DataFrame, history_sizes: DataFrame
     """The run table; manifest values win over metadata.
 
     promoted: ``promote_meta``; manifest: run_key, entry_id, primary_label, severity, is_multi_label (one row per key);
-    history_sizes: run_dir, n_history_rows. A run without history rows or with bad labels carries ``error``.
+    history_sizes: run_dir, n_history_rows. A run with a broken or missing document, without history rows or with bad labels
+    carries ``error``; a run that only the manifest has goes by its key.
     """
     m = manifest.select(
         F.col("run_key"),
@@ -188,13 +189,15 @@ def load_runs(promoted: DataFrame, manifest: DataFrame, history_sizes: DataFrame
     )
     j = (
         promoted.withColumn("run_key", name_of(F.col("run_dir")))
-        .join(m, "run_key", "left")
+        .join(m, "run_key", "full")
+        .withColumn("lacks_meta", F.col("run_dir").isNull())
+        .withColumn("run_dir", F.coalesce("run_dir", "run_key"))
         .join(history_sizes, "run_dir", "left")
     )
     labels = F.when(F.col("m_label").isNotNull(), F.array("m_label")).otherwise(F.col("labels"))
     no_history = F.coalesce(F.col("n_history_rows"), F.lit(0)) == 0
     return j.select(
-        "run_id",
+        F.coalesce("run_id", "run_key").alias("run_id"),
         "run_dir",
         "dataset",
         F.get(labels, 0).alias("primary_label"),
@@ -204,7 +207,11 @@ def load_runs(promoted: DataFrame, manifest: DataFrame, history_sizes: DataFrame
         F.coalesce("m_severity", "severity").alias("severity"),
         F.coalesce(F.col("n_history_rows"), F.lit(0)).cast("long").alias("n_history_rows"),
         F.coalesce("entry_id", "m_entry").alias("entry_id"),
-        F.coalesce(F.when(no_history, F.lit("history is empty or missing")), "error").alias("error"),
+        F.coalesce(
+            F.when(F.col("lacks_meta"), F.lit("meta.json is missing")),
+            F.col("error"),
+            F.when(no_history, F.lit("history is empty or missing")),
+        ).alias("error"),
     )
 
 
