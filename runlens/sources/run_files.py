@@ -209,8 +209,9 @@ def load_runs(promoted: DataFrame, manifest: DataFrame, history_sizes: DataFrame
         F.coalesce("entry_id", "m_entry").alias("entry_id"),
         F.coalesce(
             F.when(F.col("lacks_meta"), F.lit("meta.json is missing")),
-            F.col("error"),
+            F.when(F.col("meta_json").isNull(), F.col("error")),
             F.when(no_history, F.lit("history is empty or missing")),
+            F.col("error"),
         ).alias("error"),
     )
 
