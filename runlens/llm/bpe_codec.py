@@ -5,8 +5,8 @@ inner node the least below it, and among equal ranks the leftmost; so the root n
 (the pair itself, its left neighbour, the vanished position), each in logarithmic time, so a piece of n bytes takes
 O(n log n) whatever it looks like.
 
-Texts are cut by the vocabulary's pattern. Pieces between blanks are met again and again, so a worker process remembers the ids of up
-to ``limit`` of them; forgetting does not change results.
+Texts are cut by the vocabulary's pattern. Pieces between blanks are met again and again, so a worker process remembers the ids of those
+met lately, up to ``limit``; forgetting does not change results.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Extra columns of the input are ignored; repeated rows are coded
 alike.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from runlens.llm.common import batch, map_arrow, slices
+from runlens.llm.tokenizing import Recent
 
 #: White space of the pattern's engine: the Unicode property, without the separators U+001C to U+001F.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -38,7 +40,7 @@ class Vocabulary:
     #: A rank file and the pattern that cuts texts.
     path: str
     pattern: str
-    limit: int = 500_000
+    limit: int = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -81,13 +83,16 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         k = after[j]
         after[i] = k
         before[k] = i
-        changes = [(j, NONE)] if j < n - 1 else []
         r = get(piece[i : after[k]]) if k < n else None
-        changes.append((i, NONE if r is None else r << bits | i))
+        changes = [(i, NONE if r is None else r << bits | i)]
+        if j < n - 1 and tree[size + j] != NONE:
+            changes.append((j, NONE))
         h = before[i]
         if h >= 0:
             r = get(piece[h:k])
-            changes.append((h, NONE if r is None else r << bits | h))
+            v = NONE if r is None else r << bits | h
+            if tree[size + h] != v:
+                changes.append((h, v))
         for p, v in changes:
             p += size
             tree[p] = v
@@ -106,13 +111,17 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Codec:
     def __init__(self, v: Vocabulary):
-        self.ranks, self.cut, self.limit = load_ranks(v.path), cutter(v.pattern), v.limit
+        self.ranks, self.cut = load_ranks(v.path), cutter(v.pattern)
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, tuple[int, ...] | None] = {}
+        self.known = Recent(v.limit)
 
     def encode_plain(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -125,33 +134,26 @@ class Codec:
                 ids += merge_pairs(data, self.ranks)
         return ids
 
-    def _learn(self, part: str) -> tuple[int, ...] | None:
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        # Behind white space a blank may belong to a longer run, so such a cut is not safe.
-        safe = part and not part[-1].isspace()
-        self.known[part] = got = tuple(self.encode_plain(" " + part)) if safe else None
-        return got
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text in 32 bits each; a text is cut before each blank, where no match of the pattern reaches over the cut."""
+        parts = [t.split(" ") for t in texts]
+        for p in self.known.missing([row[1:] for row in parts]):
+            # Behind white space a blank may belong to a longer run, so such a cut is not safe.
+            safe = p and not p[-1].isspace()
+            self.known.young[p] = packed(self.encode_plain(" " + p)) if safe else None
+        get, out = self.known.young.__getitem__, []
+        for text, row in zip(texts, parts):
+            own = list(map(get, row[1:]))
+            if own and own[-1] is None:
+                own[-1] = packed(self.encode_plain(" " + row[-1]))
+            if None in own or (own and row[0][-1:].isspace()):
+                out.append(packed(self.encode_plain(text)))
+            else:
+                out.append(packed(self.encode_plain(row[0])) + b"".join(own))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; it is cut before each blank, where no match of the pattern reaches over the cut."""
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.encode_plain(text)
-        if first[-1:].isspace():
-            return self.encode_plain(text)
-        ids = self.encode_plain(first)
-        known, last = self.known, len(rest) - 1
-        for i, part in enumerate(rest):
-            got = known.get(part)
-            if got is None:
-                got = self._learn(part)
-                if got is None:
-                    if i < last:
-                        return self.encode_plain(text)
-                    got = self.encode_plain(" " + part)
-            ids += got
-        return ids
+        return np.frombuffer(self.encode_many([text])[0], np.uint32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -174,7 +176,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
         for rows in batches:
             texts, keys = [t or "" for t in rows.column(1).to_pylist()], rows.column(0)
             for s in slices(texts):
-                ids = [np.array(codec.encode(t), np.int32) for t in texts[s]]
+                ids = [np.frombuffer(data, np.int32) for data in codec.encode_many(texts[s])]
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids))
                 yield pa.RecordBatch.from_arrays([keys.slice(s.start, s.stop - s.start), lists], names=["doc_id", "ids"])
 
@@ -203,12 +205,14 @@ def round_trip(docs: DataFrame, v: Vocabulary) -> DataFrame:
         names = list(map(str, range(len(codec.tokens))))
         for rows in batches:
             out: dict[str, list] = {k: [] for k in ROUND_TRIP}
-            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                ids = codec.encode(text or "")
-                spelled = " ".join(map(names.__getitem__, ids))
-                values = (doc, len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
-                for k, x in zip(ROUND_TRIP, values):
-                    out[k].append(x)
+            texts, keys = [t or "" for t in rows.column(1).to_pylist()], rows.column(0).to_pylist()
+            for s in slices(texts):
+                for doc, data in zip(keys[s], codec.encode_many(texts[s])):
+                    ids = np.frombuffer(data, np.uint32).tolist()
+                    spelled = " ".join(map(names.__getitem__, ids))
+                    values = (doc, len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
+                    for k, x in zip(ROUND_TRIP, values):
+                        out[k].append(x)
             yield batch(out, ROUND_TRIP)
 
     narrow = docs.selectExpr("cast(doc_id as long) doc_id", "text")
