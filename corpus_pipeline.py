@@ -20,8 +20,8 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds good."""
-    vectors, net = quality_classifier.fit(docs, queries.labels(spark, sf_dir), queries.learns)
+    """Documents that the classifier finds good. It learns from the whole table, since the rules leave little bad to learn from."""
+    vectors, net = quality_classifier.fit(documents(spark, sf_dir), queries.labels(spark, sf_dir), queries.learns)
     return quality_classifier.keep_good(docs, vectors, net, queries.QUALITY_LIMIT)
 
 
