@@ -57,12 +57,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_within: rows within the search radius of a query row's fingerprint (itself included); null for other rows."""
-    search = simhash.Search()
+    """n_within: rows within the search radius of a query row's fingerprint (itself included); within: the fingerprints of their classes,
+    whose members are the rows with that ``fingerprint``. Both are null for other rows."""
+    search = simhash.Search(radius=simhash.NEAR_COPIES)
     rows = stored(simhash.compare_successors(documents(spark, sf_dir)))
     asked = (F.col("doc_id") % search.every == 0) & F.col("doc_id").isNotNull()
     near = simhash.within_radius(rows.select("fingerprint"), rows.where(asked).select("fingerprint"), search)
-    return rows.join(near, "fingerprint", "left").select(*rows.columns, F.when(asked, F.col("n_within")).alias("n_within"))
+    found = rows.where(asked).join(near, "fingerprint", "left").select(*rows.columns, "n_within", "within")
+    others = rows.where(~asked).withColumns({"n_within": F.lit(None).cast("long"), "within": F.lit(None).cast("array<string>")})
+    return found.unionByName(others)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""SimHash fingerprints, and a search within a Hamming radius by permuted block tables.
+"""SimHash fingerprints, and an exact search within a Hamming radius.
 
 The terms of a text are its lower-cased word pairs (its only word, if it has one); a term's weight is 1 + ln(times it occurs).
 Each term's 128 hash bits vote with its weight, and the sign of each sum is a bit of the fingerprint. Two fingerprints that differ
 in h of b bits have an angle of about pi * h / b, whose cosine is the likeness (not below 0).
 
-Search: fingerprints within radius r agree in at least one of r + 1 blocks, so r + 1 tables, each led by another block, hold every
-pair in equal leading blocks. Equal fingerprints are one row with a count, whatever the number of copies.
+Search: equal fingerprints are one class with a count, whatever the number of copies. At a radius that holds near copies (a quarter of the
+bits) two fingerprints need not agree in any block, so tables led by blocks would lose pairs or meet nearly all. Instead each block of
+classes, of a bounded size, stays in a task while the blocks of queries pass by, and every pair's bits are counted: 128-bit words, no text.
+The pairs (query, class) come out as one list of classes for each query; the members of a class are the rows with its fingerprint.
 
 Documents are compared with their successor by id. Ids are cut into ranges; the first document of each range is also given to the range
 before it (the first of all to the last), so one sorted pass over each range sees every pair.
@@ -23,20 +25,27 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, batch, map_arrow, mix64, shingles, with_id_ranges
+from runlens.llm.common import WordHashes, batch, map_arrow, mix64, shingles, stored, with_id_ranges
 
 LANES = 2
 BITS = 64 * LANES
 
 
+#: A cosine of 0.8 is 26 bits in the mean; the others allow for the deviation of 4.5 bits (README: recall).
+NEAR_COPIES = 32
+
+
 @dataclass(frozen=True)
 class Search:
     radius: int = 3
     #: Rows whose id is divisible by this are the queries.
     every: int = 50
+    #: About so many classes and queries are in a block.
+    classes: int = 65_536
+    queries: int = 4_096
 
 
 def fingerprint(text: bytes, hashes: WordHashes) -> bytes:
@@ -124,39 +133,62 @@ def compare_successors(docs: DataFrame) -> DataFrame:
     )
 
 
-def lanes(column: str) -> list[Column]:
-    """A hexadecimal fingerprint as blocks of 32 bits."""
-    return [F.conv(F.substring(column, 8 * i + 1, 8), 16, 10).cast("long") for i in range(BITS // 32)]
-
+def words_of(cells: pa.Array) -> np.ndarray:
+    """Binary fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(cells.to_pylist()), np.uint64).reshape(-1, LANES)
 
-def blocks(column: str, n: int) -> list[Column]:
-    """``n`` blocks of whole hexadecimal digits that cover a fingerprint."""
-    digits = BITS // 4
-    edges = [round(i * digits / n) for i in range(n + 1)]
-    return [F.substring(column, a + 1, b - a) for a, b in pairwise(edges)]
 
-
-def distance(a: str, b: str) -> Column:
-    total = F.lit(0)
-    for x, y in zip(lanes(a), lanes(b)):
-        total = total + F.bit_count(x.bitwiseXOR(y))
-    return total
+def close_pairs(asked: np.ndarray, classes: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in asked, places in classes within the radius), for those that have any."""
+    step = max(1, 2**17 // max(1, len(classes)))
+    for at in range(0, len(asked), step):
+        q = asked[at : at + step]
+        bits = sum(np.bitwise_count(q[:, None, k] ^ classes[None, :, k]) for k in range(LANES))
+        which, met = np.nonzero(bits <= radius)
+        cuts = np.flatnonzero(np.diff(which)) + 1
+        for places, found in zip(np.split(which, cuts), np.split(met, cuts)):
+            if len(found):
+                yield at + int(places[0]), found
 
 
 def within_radius(prints: DataFrame, wanted: DataFrame, s: Search = Search()) -> DataFrame:
-    """(fingerprint, n_within): for each of wanted(fingerprint), how many rows of prints(fingerprint) lie within the radius."""
-    n = s.radius + 1
-    counted = prints.groupBy("fingerprint").agg(F.count("*").alias("copies"))
-
-    def tables(df: DataFrame, name: str, *more: str) -> DataFrame:
-        keyed = F.posexplode(F.array(*blocks(name, n))).alias("table", "block")
-        return df.select(F.col(name), *more, keyed)
-
-    asked = tables(wanted.select(F.col("fingerprint").alias("q")).distinct(), "q")
-    met = tables(counted, "fingerprint", "copies").join(asked, ["table", "block"])
-    # A pair that agrees in several blocks counts in the first table only.
-    earlier = F.lit(False)
-    for i, (x, y) in enumerate(zip(blocks("q", n), blocks("fingerprint", n))):
-        earlier = earlier | ((F.lit(i) < F.col("table")) & (x == y))
-    near = met.where(~earlier & (distance("q", "fingerprint") <= s.radius))
-    return near.groupBy("q").agg(F.sum("copies").alias("n_within")).withColumnRenamed("q", "fingerprint")
+    """(fingerprint, n_within, within): for each of wanted(fingerprint), how many rows of prints(fingerprint) lie within the radius,
+    and the fingerprints of their classes, sorted."""
+    counted = stored(prints.groupBy("fingerprint").agg(F.count("*").alias("copies")))
+    asked = stored(wanted.select("fingerprint").distinct())
+    least = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n, m = max(least, -(-counted.count() // s.classes)), max(8, -(-asked.count() // s.queries))
+    own = F.unhex("fingerprint").alias("own")
+    # A block of classes comes before the blocks of queries that are held against it.
+    classes = counted.groupBy(F.pmod(F.xxhash64("fingerprint"), F.lit(n)).alias("block")).agg(
+        F.collect_list(F.struct(own, "copies")).alias("members")
+    ).select("block", F.lit(0).alias("part"), "members")
+    parts = asked.groupBy(F.pmod(F.xxhash64("fingerprint"), F.lit(m)).alias("part")).agg(
+        F.collect_list(F.struct(own, F.lit(0).cast("long").alias("copies"))).alias("members")
+    )
+    everywhere = parts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), (F.col("part") + 1).cast("int").alias("part"), "members")
+    cells = classes.unionByName(everywhere).repartition(n, "block").sortWithinPartitions("block", "part")
+    types = {"fingerprint": pa.string(), "n": pa.int64(), "found": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, there, copies = None, np.empty((0, LANES), np.uint64), np.empty(0, np.int64)
+        for rows in batches:
+            for i in range(rows.num_rows):
+                where, members = rows.column(0)[i].as_py(), rows.column(2)[i].values
+                bits = words_of(members.field(0))
+                if rows.column(1)[i].as_py() == 0:
+                    block, there, copies = where, bits, members.field(1).to_numpy()
+                    continue
+                if where != block:  # no class fell into this block
+                    continue
+                out: dict[str, list] = {k: [] for k in types}
+                for q, found in close_pairs(bits, there, s.radius):
+                    out["fingerprint"].append(bits[q].tobytes().hex())
+                    out["n"].append(int(copies[found].sum()))
+                    out["found"].append([x.tobytes().hex() for x in there[found]])
+                yield batch(out, types)
+
+    near = map_arrow(cells, run, "fingerprint string, n long, found array<string>")
+    return near.groupBy("fingerprint").agg(
+        F.sum("n").alias("n_within"), F.array_sort(F.flatten(F.collect_list("found"))).alias("within")
+    )

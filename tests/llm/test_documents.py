@@ -195,6 +195,42 @@ def test_fingerprints_within_radius(spark):
     assert {r["fingerprint"]: r["n_within"] for r in got} == want
 
 
+def test_near_copies_are_found(spark, tmp_path):
+    rng = random.Random(21)
+    docs, twins = [], {}
+    for i in range(0, 600, 50):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(100)]
+        docs.append((i, " ".join(words)))
+        for k in (1, 2):  # two and four of 99 pairs changed
+            words[20 * k] = f"new{i}"
+            docs.append((i + k, " ".join(words)))
+        docs.append((i + 3, docs[-1][1]))
+        twins[i] = [i, i + 1, i + 2, i + 3]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op6_simhash(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    prints = {d: int(r["fingerprint"], 16) for d, r in got.items()}
+    for d, r in got.items():
+        if d % 50:
+            assert r["within"] is None and r["n_within"] is None
+            continue
+        close = [x for x in prints if (prints[d] ^ prints[x]).bit_count() <= 32]
+        assert r["within"] == sorted({got[x]["fingerprint"] for x in close}) and r["n_within"] == len(close)
+        assert set(twins[d]) <= {x for x in got if got[x]["fingerprint"] in r["within"]}
+
+
+def test_search_in_small_blocks(spark):
+    rng = random.Random(22)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    prints = [f"{x ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 30))):032x}" for x in base for _ in range(20)]
+    got = simhash.within_radius(
+        spark.createDataFrame([(p,) for p in prints], "fingerprint string"), spark.createDataFrame([(p,) for p in prints[::3]], "fingerprint string"),
+        simhash.Search(radius=32, classes=10, queries=5),
+    ).collect()
+    want = {q: sorted({p for p in prints if (int(q, 16) ^ int(p, 16)).bit_count() <= 32}) for q in prints[::3]}
+    assert {r["fingerprint"]: r["within"] for r in got} == want
+
+
 SECRETS = [
     'token = "2abc3ff2ca8fb1e4c565a0eb" and', "API_KEY: 'Zz9+/_=.-' PASSWORD:short", "passwd=abcde token:abcdef", "AKIA" + "B7" * 8 + " AKIAXX",
     "deadbeef" * 3, "é日 secret= x.y-z_w=1 🙂 token=token=abcdefg", "ſecret=abcdefgh toKen=abcdefgh", "token=token:abcdefg", None, "",
