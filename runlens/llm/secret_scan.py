@@ -3,7 +3,8 @@
 The guess cost of a value is the cheapest way to build it from segments: words (by rank), dates, repeats, keyboard walks and
 brute force, found by dynamic programming over its positions; costs are log10 of guesses and add up, with a charge for each
 segment. A value after words like "pwd:" or "passphrase is" counts as secret from ``least_cost`` on, so placeholders and
-ordinary words ("password is required") are left alone.
+ordinary words ("password is required") are left alone. Where a fixed pattern matches only part of such a value, the whole of
+it is a secret too, whatever its cost, and has a span beside the pattern's.
 
 Texts are scanned as UTF-8 bytes after a search for the literal words that every match must hold; places are given in code points.
 
@@ -157,9 +158,17 @@ def spans_of(data: bytes, s: Scanner) -> list[tuple[str, int, int, int, int, flo
             a, b = m.span(1)
             while b > a and data[b - 1] in b".:!?":
                 b -= 1
-            if b > a and not any(f[1] < b and a < f[2] for f in found):
+            if b <= a:
+                continue
+            # Values of fixed patterns that overlap this one, and how far they cover it.
+            inside = sorted((f[3], f[4]) for f in found if f[3] < b and a < f[4])
+            reach = a
+            for start, end in inside:
+                if start <= reach:
+                    reach = max(reach, end)
+            if reach < b:
                 cost = guess_cost(data[a:b].decode("utf-8", "replace"), s)
-                if cost >= s.least_cost:
+                if inside or cost >= s.least_cost:
                     out.append(("password", a, b, a, b, cost))
     return sorted(out, key=lambda f: (f[1], KINDS.index(f[0])))
 

@@ -274,6 +274,20 @@ def test_guess_costs_and_context():
     assert secret_scan.redacted("nothing à voir".encode(), s) == "nothing à voir".encode()
 
 
+def test_whole_values_are_secret():
+    s = queries.scanner()
+    run = b"0123456789abcdef01234567"
+    for text, value, clean in (
+        (b"my password: hunter2!$xyz, ok", b"hunter2!$xyz", b"my password: [REDACTED], ok"),
+        (b"password: hunter2!$ ok", b"hunter2!$", b"password: [REDACTED] ok"),  # cheap, yet half of it is a secret already
+        (b"pwd: xK9#vQ" + run + b"!mZ7w end", b"xK9#vQ" + run + b"!mZ7w", b"pwd: [REDACTED] end"),
+    ):
+        spans = secret_scan.spans_of(text, s)
+        assert len(spans) == 2 and [text[f[3] : f[4]] for f in spans if f[0] == "password"] == [value]
+        assert secret_scan.redacted(text, s) == clean
+    assert [f[0] for f in secret_scan.spans_of(b"password: abcdefgh. And token=" + run + b".", s)] == ["assign", "assign", "hex"]
+
+
 def plain_cost(value, s):
     """All segmentations of a short value into words and brute force."""
     ranks = secret_scan.word_ranks(s.words)
