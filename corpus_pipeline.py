@@ -1,7 +1,8 @@
 """A corpus from raw documents to packed sequences: rules, classifier, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), where ``docs`` is what the stage before it kept, written and read back. All but the last
-return the columns of ``documents``; rows with nulls and repeated rows pass through, extra columns are kept.
+return the columns of ``documents``; rows with nulls and repeated rows are rows like any other (of repeated rows the near-duplicate stage
+keeps one), extra columns are kept.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from runlens.llm import harmonic_packing, minhash_dedup, quality_classifier, qua
 from runlens.llm.common import documents
 from runlens.session import cut_lineage
 
+ROW = "_near_duplicates_row"
+
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose n-grams look like those of trusted documents."""
@@ -26,13 +29,15 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the smallest id.
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the smallest id, then the first such row.
 
-    Rows that repeat an id and a text stay or go together. A group without any id stays whole.
+    Verdicts are for rows, not ids, so a row with another text stays whatever becomes of the rows that share its id. Of a group
+    without any id one row stays too. Rows without words are alone.
     """
-    found = minhash_dedup.near_duplicates(docs, minhash_dedup.NearDup(words=5))
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Written once with a key of its own for each row, which must not change between the search and the join.
+    numbered = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = minhash_dedup.near_duplicates(numbered, minhash_dedup.NearDup(words=5), key=ROW)
+    return numbered.join(found.where("not kept").select(ROW), ROW, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

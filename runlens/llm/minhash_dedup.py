@@ -96,8 +96,8 @@ def pack(low: np.ndarray, bits: int, longs: int) -> np.ndarray:
     return np.bitwise_or.reduce(padded.reshape(longs, each) << shifts, axis=1)
 
 
-def signatures(docs: DataFrame, s: NearDup) -> DataFrame:
-    """(doc_id, n_shingles, id, bands, packed) for every row; id, a hash of the set, is null for the empty set."""
+def signatures(docs: DataFrame, s: NearDup, key: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, id, bands, packed, row) for every row; id, a hash of the set, is null for the empty set; row is the ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(s.seed)
@@ -120,11 +120,15 @@ def signatures(docs: DataFrame, s: NearDup) -> DataFrame:
                     key = mix64(key ^ column)
                 keys.append(signed(key))
                 packed.append(signed(pack(mix64(least) & np.uint64((1 << s.bits) - 1), s.bits, s.longs)))
-            types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "id": pa.int64(), "bands": pa.list_(pa.int64()), "packed": pa.list_(pa.int64())}
-            yield batch({"doc_id": rows.column(0), "n_shingles": counts, "id": ids, "bands": keys, "packed": packed}, types)
+            types = {
+                "doc_id": pa.int64(), "n_shingles": pa.int64(), "id": pa.int64(), "bands": pa.list_(pa.int64()), "packed": pa.list_(pa.int64()),
+                "row": pa.int64(),
+            }
+            yield batch({"doc_id": rows.column(0), "n_shingles": counts, "id": ids, "bands": keys, "packed": packed, "row": rows.column(2)}, types)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(narrow, run, "doc_id long, n_shingles long, id long, bands array<long>, packed array<long>")
+    row = (F.lit(None) if key is None else F.col(key)).cast("long").alias("row")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    return map_arrow(narrow, run, "doc_id long, n_shingles long, id long, bands array<long>, packed array<long>, row long")
 
 
 def estimate(left: Column, right: Column, s: NearDup) -> Column:
@@ -295,9 +299,13 @@ def _joined(parts: DataFrame, found: DataFrame) -> DataFrame:
     return stored(moved.union(alone))
 
 
-def near_duplicates(docs: DataFrame, s: NearDup = NearDup()) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
-    rows = stored(signatures(docs, s))
+def near_duplicates(docs: DataFrame, s: NearDup = NearDup(), key: str | None = None) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    With ``key``, a stored column that tells rows apart, the result has that column too, and ``kept`` holds for exactly one row of each
+    component: the smallest doc_id, then the smallest key; rows without doc_id come last.
+    """
+    rows = stored(signatures(docs, s, key))
     # All rows of a class have the same bands and signature, so any of them will do.
     classes = stored(
         rows.where("id is not null").groupBy("id").agg(
@@ -342,12 +350,16 @@ def near_duplicates(docs: DataFrame, s: NearDup = NearDup()) -> DataFrame:
 
     label = parts.toDF("id", "part")
     found = stored(
-        rows.select("doc_id", "n_shingles", "id").join(label, "id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("part", "id").alias("part"))
+        rows.select("doc_id", "n_shingles", "id", "row").join(label, "id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("part", "id").alias("part"), "row")
     )
-    smallest = found.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    smallest = found.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"), first)
     named = found.join(smallest, "part", "left")
     mine = F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return named.select("doc_id", "n_shingles", mine.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    verdicts = named.select("doc_id", "n_shingles", mine.alias("component_id"), "row", "part", F.col("first.row").alias("first"))
+    if key is None:
+        return verdicts.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return verdicts.select(
+        F.col("row").alias(key), "doc_id", "n_shingles", "component_id", (F.col("part").isNull() | (F.col("row") == F.col("first"))).alias("kept")
     )

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -215,6 +216,23 @@ def test_stages_take_odd_rows(spark, odd_pairs):
             assert got.columns == docs.columns
 
 
+def test_one_row_of_each_group_stays(frame):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    t, u, v, w = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(4))
+    near = t.rsplit(" ", 2)[0]  # shares 54 of 56 shingles
+    pairs = [
+        (7, t), (8, t), (8, u), (7, t), (9, near), (None, t),  # t once, of id 7; u stays
+        (3, v), (3, v), (None, v), (None, w), (None, w), (1, ""), (2, None), (2, None),
+    ]
+    docs = frame(pairs)
+    got = corpus_pipeline.keep_one_of_each_group(docs.sparkSession, docs, "")
+    assert got.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert left == sorted([(7, t), (8, u), (3, v), (None, w), (1, ""), (2, None), (2, None)], key=str)
+
+
 def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", crc_mod(F.col("doc_id"), 5).alias("r"))
     assert all(r["r"] == remainder(r["doc_id"], 5) for r in df.collect())
