@@ -9,8 +9,8 @@ unknown word), so the likelihood of a text is the forward recursion over its sym
   to all tasks, a bounded table; counts of the rarer words of each text come by a join, which has no hot keys, as the frequent words
   are not in it.
 * Texts are stored once as 16-bit symbols. Every Baum-Welch step sums expected counts in each task and then over tasks: states x symbols
-  numbers, whatever the corpus. The first steps go through different parts of the corpus with a falling step size, so that the states
-  settle early; then ``full_passes`` steps go through all texts, and the model is made of their counts.
+  numbers, whatever the corpus. The first steps go through the corpus part by part (each text in one part) with a falling step size;
+  then steps go through all texts until the likelihood settles, and the model is made of the counts of the last.
 
 Defined results: null and empty texts consist of the end. Null ids are trained on (their text form is empty, remainder 0). Repeated rows
 count and are scored each. Without training texts, counts are 0 and the states are alike. Extra columns are ignored.
@@ -40,10 +40,10 @@ class Model:
     groups: int = 4_096
     #: Bound of the table of frequent words and their counts.
     known: int = 262_144
-    #: The corpus is cut into ``parts``; each of the first ``warm_up`` steps goes through one of them.
-    parts: int = 16
-    warm_up: int = 8
-    full_passes: int = 1
+    #: The first steps go through so many parts, which are all of the corpus.
+    parts: int = 8
+    #: Steps through all texts end when one raises the log likelihood by no more than this share.
+    settled: float = 1e-3
     #: Weight of the overall symbol shares in each state's emissions, and of each transition.
     prior: float = 20.0
     seed: int = 5
@@ -325,7 +325,7 @@ def train(coded: DataFrame, v: Vocabulary, m: Model) -> States:
     states = first_states(v, m)
     kept: States | None = None
     part = F.pmod(F.xxhash64("row"), F.lit(m.parts))
-    for i in range(min(m.warm_up, m.parts)):
+    for i in range(m.parts):
         got, _ = baum_welch_step(coded.where(part == i), states, m)
         rate = 1.0 if kept is None else (i + 1) ** -0.6
         mixed = States(*(m.parts * rate * x for x in (got.start, got.move, got.emit)))
@@ -333,9 +333,13 @@ def train(coded: DataFrame, v: Vocabulary, m: Model) -> States:
             mixed = States(*(x + (1 - rate) * y for x, y in zip((mixed.start, mixed.move, mixed.emit), (kept.start, kept.move, kept.emit))))
         kept = mixed
         states = maximised(kept, v, m)
-    for _ in range(m.full_passes):
-        states = maximised(baum_welch_step(coded, states, m)[0], v, m)
-    return states
+    before: float | None = None
+    while True:
+        got, now = baum_welch_step(coded, states, m)
+        states = maximised(got, v, m)
+        if before is not None and now - before <= m.settled * abs(before):
+            return states
+        before = now
 
 
 def likelihoods(coded: DataFrame, states: States) -> DataFrame:

@@ -117,6 +117,29 @@ def test_steps_raise_the_likelihood(frame, corpus):
     assert sum(got.values()) * math.log(10) >= seen[-1]
 
 
+def test_training_takes_every_text_and_settles(frame, corpus, monkeypatch):
+    from runlens.llm.common import stored
+
+    docs = frame(corpus[0]).select("doc_id", "text", F.lit(False).alias("held_out"))
+    m = hmm_lm.Model(states=3, own=40, groups=16, known=60)
+    v = hmm_lm.vocabulary(hmm_lm.count_words(docs, m), m)
+    coded = stored(hmm_lm.encode(docs, v, m))
+    step, seen, logs = hmm_lm.baum_welch_step, [], []
+
+    def watched(part, *args):
+        seen.append({r["row"] for r in part.select("row").collect()})
+        out = step(part, *args)
+        logs.append(out[1])
+        return out
+
+    monkeypatch.setattr(hmm_lm, "baum_welch_step", watched)
+    hmm_lm.train(coded.select("row", "symbols"), v, m)
+    every = {r["row"] for r in coded.select("row").collect()}
+    full = [log for rows, log in zip(seen, logs) if rows == every]
+    assert sorted(x for rows in seen[: -len(full)] for x in rows) == sorted(every)
+    assert len(full) >= 2 and full[-1] - full[-2] <= 1e-3 * abs(full[-2])
+
+
 def test_model_is_a_distribution():
     """Probabilities of all known words and one unknown word in each group add up to 1 in each state."""
     s = some_states(symbols=4)
