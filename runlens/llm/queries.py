@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import (
-    bpe_codec, elias_fano, harmonic_packing, hmm_lm, minhash_dedup, quality_classifier, quality_rules, range_sharding, secret_scan, simhash,
+    bpe_codec, conversation_repair, elias_fano, harmonic_packing, hmm_lm, minhash_dedup, quality_classifier, quality_rules, range_sharding, secret_scan, simhash,
 )
 from runlens.llm.common import crc_mod, documents, stored
 from runlens.session import new_table_path
@@ -93,10 +93,14 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read_documents(spark, path)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hidden_markov_lm, op2_secret_scan, op3_range_sharding, op4_harmonic_packing, op5_byte_bpe, op6_simhash, op7_minhash_dedup,
-        op8_quality_rules, op9_quality_classifier, op10_elias_fano,
+        op8_quality_rules, op9_quality_classifier, op10_elias_fano, op11_conversation_repair,
     )
 }
