@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import (
-    bpe_codec, conversation_repair, elias_fano, harmonic_packing, hmm_lm, minhash_dedup, periodic_runs, quality_classifier, quality_rules, range_sharding, secret_scan, simhash,
+    bpe_codec, byte_index_dedup, conversation_repair, elias_fano, harmonic_packing, hmm_lm, minhash_dedup, periodic_runs, quality_classifier, quality_rules, range_sharding, secret_scan, simhash,
 )
 from runlens.llm.common import crc_mod, documents, stored
 from runlens.session import new_table_path
@@ -101,10 +101,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.plant_repeats(documents(spark, sf_dir))))
 
 
+def op13_byte_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_index_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hidden_markov_lm, op2_secret_scan, op3_range_sharding, op4_harmonic_packing, op5_byte_bpe, op6_simhash, op7_minhash_dedup,
-        op8_quality_rules, op9_quality_classifier, op10_elias_fano, op11_conversation_repair, op12_periodic_runs,
+        op8_quality_rules, op9_quality_classifier, op10_elias_fano, op11_conversation_repair, op12_periodic_runs, op13_byte_index_dedup,
     )
 }
