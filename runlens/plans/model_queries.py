@@ -289,16 +289,7 @@ def _(t):
     return rows.select("run_id", "n_epochs_logged", "duration_us", F.unix_micros("started_at").alias("started_us"), "status")
 
 
-@query("live_running_features", "T3", f"""
-    SELECT run_id, n AS n_finite, {rcols(['minimum', 'maximum', 'mean', 'std', 'slope'])}, best_epoch FROM (
-      SELECT 'u' || user_id AS run_id, count(*) AS n, min(value) AS minimum, max(value) AS maximum, avg(value) AS mean, stddev_pop(value) AS std,
-        regr_slope(value, (event_id // 2)::DOUBLE) AS slope, arg_min(event_id // 2, (value, event_id // 2)) AS best_epoch FROM events WHERE event_type <> 'error' GROUP BY user_id)""")
-def _(t):
-    rows = live.run_update(live.running_features(_epochs(t).where("epoch is not null")), ["run_id"], "running")
-    return rounded(rows.select("run_id", "n_finite", "minimum", "maximum", "mean", "std", "slope", "best_epoch"))
-
-
-@query("live_diagnoses", "T4", _SINK_SQL)
+@query("live_scored_diagnoses", "T4", _SINK_SQL)
 def _(t):
     s = live.read_epochs(t.spark, t.root, t.embeddings.schema, "embeddings.parquet")
 
