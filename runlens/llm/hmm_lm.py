@@ -102,11 +102,37 @@ class Vocabulary:
         return float(np.log10(self.tokens + 0.5 * (self.types + 1)))
 
 
+def most_frequent(counts: DataFrame, most: int):
+    """The ``most`` rows of counts(word, group, n) with the largest n (ties: smallest word), as a pandas table.
+
+    Two histograms find the last row that belongs to them, first over steps of n, then over (n, first bits of the word) within one
+    step, so little more than ``most`` rows leave the executors, however many tasks hold the table.
+    """
+    step, lead = F.floor(F.log2("n") * 64).cast("int"), F.shiftright("word", 52).cast("int")
+
+    def cut(sizes: list, left: int):
+        """The first of the sorted (key, size) whose rows no longer all fit, and what is left for it."""
+        for key, size in sizes:
+            if size > left:
+                return key, left
+            left -= size
+        return None, left
+
+    steps = [(r[0], r[1]) for r in counts.groupBy(step.alias("s")).agg(F.count("*")).collect()]
+    last, left = cut(sorted(steps, reverse=True), most)
+    if last is None:
+        return counts.toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    fine = counts.where(step == last).groupBy("n", lead.alias("l")).agg(F.count("*")).collect()
+    (n, at), _ = cut(sorted((((r[0], r[1]), r[2]) for r in fine), key=lambda x: (-x[0][0], x[0][1])), left)
+    inside = (step > last) | (step == last) & ((F.col("n") > n) | (F.col("n") == n) & (lead <= at))
+    return counts.where(inside).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable").head(most).reset_index(drop=True)
+
+
 def vocabulary(counts: DataFrame, m: Model) -> Vocabulary:
     end = int(signed(np.array([WordHashes().__missing__(END)], np.uint64))[0])
     totals = counts.agg(F.sum("n"), F.count("*")).first()
     per_group = counts.where(F.col("word") != end).groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    top = counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(m.known).toPandas()
+    top = most_frequent(counts.where(F.col("word") != end), m.known)
     ends = counts.where(F.col("word") == end).first()
     size, kinds = np.zeros(m.groups), np.zeros(m.groups)
     size[per_group["group"]], kinds[per_group["group"]] = per_group["n"], per_group["v"]
@@ -307,6 +333,7 @@ def baum_welch_step(coded: DataFrame, s: States, m: Model) -> tuple[States, floa
 
     parts = map_arrow(coded.select("symbols"), run, "cell long, v array<float>")
     sums = parts.groupBy("cell").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(m.states)]).toPandas()
+    model.destroy()
     numbers = np.zeros((m.symbols + m.states + 2, m.states))
     numbers[sums["cell"]] = sums[[f"v{i}" for i in range(m.states)]].to_numpy()
     after = m.symbols
