@@ -164,16 +164,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_pieces.cache_clear()  # this worker may have written before
         for rows in batches:
-            for row in rows.to_pylist():
+            for i in range(rows.num_rows):
+                # One block at a time becomes Python objects.
+                row = rows.slice(i, 1).to_pylist()[0]
                 n = row["docs"]
                 bounds = EliasFano.from_cells(n + 1, row, "bounds").select(np.arange(n + 1)).astype(np.int64)
                 known = EliasFano.from_cells(n - row["nameless"], row, "names").all().view(np.int64) + row["first_id"]
-                view = memoryview(np.frombuffer(row["ids"], np.uint16).astype("<u4")).cast("B")
-                spans = zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist())
+                ids = np.frombuffer(row["ids"], np.uint16)
+                spans = zip(bounds[:-1].tolist(), bounds[1:].tolist())
                 out = {
                     "doc_id": [None] * row["nameless"] + known.tolist(), "start": bounds[:-1] + (row["base"] + row["before"]), "n_tokens": np.diff(bounds),
-                    "ids_crc32": [zlib.crc32(view[a:b]) for a, b in spans],
+                    "ids_crc32": [zlib.crc32(ids[a:b].astype("<u4")) for a, b in spans],
                 }
                 yield batch(out, READ)
 
