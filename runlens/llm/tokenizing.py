@@ -21,12 +21,16 @@ LIMIT = 800_000
 
 def load(path: str) -> Tokenizer:
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     if t.get_vocab_size() > 65_536:
         raise ValueError("ids do not fit in two bytes")
     return t
 
 
+def special_strings(t: Tokenizer) -> tuple[str, ...]:
+    """Strings that the library turns into one id wherever they stand; texts that hold one are encoded whole."""
+    return tuple(x.content for x in t.get_added_tokens_decoder().values())
+
+
 def groups(items: list, size: int = GROUP) -> Iterator[list]:
     for i in range(0, len(items), size):
         yield items[i : i + size]
@@ -37,18 +41,19 @@ def two_bytes(ids: list[int]) -> bytes:
 
 
 class Recent:
-    """A dictionary that keeps between half and all of ``limit`` entries: those used last."""
+    """A dictionary that keeps between half and all of ``limit`` entries, or of ``most`` characters: those used last."""
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int, most: int = 64_000_000):
+        self.limit, self.most, self.held, self.young, self.old = limit, most, 0, {}, {}
 
     def missing(self, rows: list[list]) -> set:
         """The items of ``rows`` without an entry; all others are in ``young`` afterwards."""
-        if len(self.young) > self.limit // 2:
-            self.old, self.young = self.young, {}
+        if len(self.young) > self.limit // 2 or self.held > self.most // 2:
+            self.old, self.young, self.held = self.young, {}, 0
         new: set = set()
         for row in rows:
             new.update(filterfalse(self.young.__contains__, row))
+        self.held += sum(map(len, new))
         known = new & self.old.keys()
         for x in known:
             self.young[x] = self.old[x]
@@ -64,7 +69,7 @@ class SpacePieces:
 
     def __init__(self, path: str, limit: int = LIMIT):
         self.tokenizer = load(path)
-        self.inner, self.alone = Recent(limit), Recent(limit // 4)
+        self.inner, self.alone, self.special = Recent(limit), Recent(limit // 4), special_strings(self.tokenizer)
         # One character of a byte-level token's name stands for one byte.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
@@ -90,6 +95,10 @@ class SpacePieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        if whole:
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [self._whole([t])[0] if i in whole else next(rest) for i, t in enumerate(texts)]
         parts = [t.split(" ") for t in texts]
         self._learn(self.inner.missing([row[1:] for row in parts]))
         get = self.inner.young.__getitem__
@@ -113,6 +122,7 @@ class WordPieces:
 
     def __init__(self, path: str, suffix: str = "</w>", limit: int = LIMIT):
         self.tokenizer, self.seen = load(path), Recent(limit)
+        self.special = [x.encode() for x in special_strings(self.tokenizer)]
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.closes = np.array([n.endswith(suffix) for n in names])
 
@@ -145,6 +155,12 @@ class WordPieces:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each UTF-8 text."""
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        if whole:
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            made = self.tokenizer.encode_batch_fast([texts[i].decode() for i in sorted(whole)], add_special_tokens=False)
+            ready = iter([two_bytes(e.ids) for e in made])
+            return [next(ready) if i in whole else next(rest) for i in range(len(texts))]
         parts = [t.split() for t in texts]
         self._learn(self.seen.missing(parts))
         get = self.seen.young.__getitem__

@@ -25,9 +25,7 @@ TEXT = st.text(alphabet=list("aAbéB \n\t\x1c\x85\xa0’'s12!?-日́🙂¶ ſ"
 
 
 def library(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 BYTE_LIBRARY, WORD_LIBRARY = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
@@ -71,12 +69,29 @@ def test_remembered_pieces_equal_library(texts):
     assert got == [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|END", " ", "ab", "a\n", "é"]), max_size=8).map("".join), max_size=5))
+def test_special_strings_become_what_the_library_makes_of_them(texts):
+    got = [np.frombuffer(x, np.uint16).tolist() for x in SPACES.encode(texts)]
+    assert got == [BYTE_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(x, np.uint16).tolist() for x in WORDS.encode([t.encode() for t in texts])]
+    assert got == [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_pieces_are_forgotten_by_size():
+    r = tokenizing.Recent(1_000, most=100)
+    for k in range(50):
+        for x in r.missing([[f"{k:02d}" * 20]]):
+            r.young[x] = b""
+    assert len(r.young) + len(r.old) <= 4
+
+
 def test_recent_entries():
     r = tokenizing.Recent(4)
-    for row in ([1, 2, 3], [1, 4], [5, 1], [6, 7], [1, 2]):
-        for x in r.missing([row]):
-            r.young[x] = -x
-        assert all(r.young[x] == -x for x in row)
+    for row in ("abc", "ad", "ea", "fg", "ab"):
+        for x in r.missing([list(row)]):
+            r.young[x] = x.upper()
+        assert all(r.young[x] == x.upper() for x in row)
         assert len(r.young) + len(r.old) <= 4 + 4
 
 
