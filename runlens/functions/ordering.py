@@ -8,7 +8,7 @@ deterministic expression of the row, so a recomputed task gives the same result.
 null buckets are values like any other (a null bucket comes first).
 
 ``exact_quantiles`` gives the same values as a sort per key, by the same steps for every size. Equal values are merged to
-(value, count) pairs. Twice, a mergeable sketch cuts each range of values that holds a wanted rank into ``PARTS`` parts, and counts
+(value, count) pairs, which are stored. Twice, a mergeable sketch cuts each range of values that holds a wanted rank into ``PARTS`` parts, and counts
 tell which part the rank lies in; only the values of that part, about one in ``PARTS`` squared, are sorted. The sketch
 decides how even the parts are, never the result.
 """
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runlens.session import cut_lineage
+
 
 def packed_key(keys: list[str]) -> Column:
     """The keys as one struct, which joins null-safely."""
@@ -115,7 +117,8 @@ def exact_order_statistics(
     base = values.where(x.isNotNull()).select(*key, x.cast("double").alias("x"))
     on = "_key" if keys else None
     only = [on] if on else []
-    counted = base.groupBy(*only, "x").agg(F.count(F.lit(1)).alias("n"))
+    # Read by every step below: written once, so the input is scanned and merged once.
+    counted = cut_lineage(base.groupBy(*only, "x").agg(F.count(F.lit(1)).alias("n")))
     totals = counted.groupBy(*only).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"))
     each = F.array(
         *[F.struct(F.lit(name).alias("name"), rank(F.col("n_values")).cast("long").alias("rank")) for name, rank in ranks.items()]

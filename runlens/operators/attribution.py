@@ -195,13 +195,14 @@ def disagreement_pool(df: DataFrame, by: list[str]) -> DataFrame:
 def noise_robustness(df: DataFrame, sigmas: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2), seed: int = 0) -> DataFrame:
     """(sigma, n_disagreement, pi, envelope) after softmax(p + sigma * normal noise) on both contours.
 
-    Noise comes from a hash of (run, contour, class, sigma), so a recomputed task repeats it.
+    Noise comes from a digest of (run, contour, class, sigma, seed), so a recomputed task, or another engine, repeats it.
     """
     from runlens.functions.probs import items, softmax, top_label
 
     def uniform(tag: str, i: int, salt: int):
-        h = F.xxhash64(F.col("run_id"), F.lit(tag), F.lit(i), F.col("sigma"), F.lit(seed), F.lit(salt))
-        return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        name = F.concat_ws("|", "run_id", F.lit(f"{tag}|{i}|{seed}|{salt}"), F.round(F.col("sigma") * 1e6).cast("long").cast("string"))
+        # 52 bits of the digest: a double holds them exactly.
+        return (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
     def noisy(col: str):
         z = [

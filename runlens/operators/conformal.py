@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.ordering import exact_order_statistics, exact_quantiles
 from runlens.functions.probs import let, prob_of, top_label, top_value
+from runlens.session import cut_lineage
 from runlens.vocab import CLASSES, labels_array
 
 TOL = 1e-12
@@ -125,12 +126,46 @@ def evaluate_by_class(predicted: DataFrame) -> DataFrame:
 
 
 def alpha_sweep(calibration: DataFrame, test: DataFrame, alphas: tuple[float, ...], prob: str = "p") -> DataFrame:
-    """Evaluation per alpha. The quantiles (one per alpha) are read as one small array."""
-    q = calibrate(scores(calibration, prob), alphas)
-    packed = q.agg(F.collect_list(F.struct("alpha", "quantile"))).scalar()
-    grid = test.select("y_true", F.col(prob).alias("p"), F.explode(packed).alias("g"))
-    pred = predict(grid.select("y_true", "p", "g.alpha", "g.quantile"), F.col("quantile"))
-    out = pred.groupBy("alpha").agg(*_rates())
+    """Evaluation per alpha, from one pass over the test rows, each read once.
+
+    A label enters the set where the quantile reaches 1 - p, so along the sorted quantiles a row is told by the places at which its
+    labels enter. Rows with equal places are counted together, and the grid meets these counts, not the rows.
+    """
+    q = cut_lineage(calibrate(scores(calibration, prob), alphas))
+    grid = q.agg(F.array_sort(F.collect_set("quantile"))).scalar()
+
+    def entry(p: Column, grid: Column) -> Column:
+        """How many quantiles are too small for a label of this probability."""
+        return F.size(F.filter(grid, lambda x: ~(p >= F.lit(1.0) - x - TOL)))
+
+    k = len(CLASSES)
+    p = F.col(prob)
+    rows = test.select("y_true", p.alias("p"), grid.alias("_grid"))
+    own = F.array_position(labels_array(), F.col("y_true"))
+    enter = F.transform("p", lambda x: entry(x, F.col("_grid")))
+    told = rows.select(
+        F.array_sort(enter).alias("enter"), F.coalesce(top_label(F.col("p")) == F.col("y_true"), F.lit(False)).alias("right"),
+        F.when(own > 0, F.get(enter, (own - 1).cast("int"))).alias("own"),
+    ).groupBy("enter", "right", "own").agg(F.count(F.lit(1)).alias("n"))
+    placed = q.select("alpha", F.array_position(grid, F.col("quantile")).alias("at"))
+    met = told.crossJoin(F.broadcast(placed))  # as many rows as alphas
+    inside = F.size(F.filter("enter", lambda e: e < F.col("at")))
+    # Nothing inside: the set is the first maximum.
+    size = F.greatest(inside, F.lit(1))
+    hit = F.when(inside == 0, F.col("right")).otherwise(F.coalesce(F.col("own") < F.col("at"), F.lit(False)))
+    n, abstains = F.col("n"), size > 1
+    total = F.sum("n")
+
+    def share(where: Column) -> Column:
+        return F.sum(F.when(where, n).otherwise(0)) / total
+
+    sure = F.sum(F.when(~abstains, n))
+    out = met.groupBy("alpha").agg(
+        total.alias("n_test"), share(hit).alias("empirical_coverage"), share(abstains).alias("abstain_rate"),
+        F.sum(F.when(abstains, n).otherwise(0)).alias("n_abstained"), F.sum(F.when(~abstains, n).otherwise(0)).alias("n_confident"),
+        (F.sum(F.when(~abstains & F.col("right"), n).otherwise(0)) / sure).alias("conditional_accuracy"),
+        (F.sum(n * size) / total).alias("average_set_size"),
+    )
     return out.withColumn("target_coverage", F.lit(1.0) - F.col("alpha")).withColumn(
         "coverage_gap", F.col("empirical_coverage") - F.col("target_coverage")
     )

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.probs import normalise, top_label
+from runlens.operators import isotonic
 from runlens.operators.folds import assign_folds
 from runlens.operators.metrics import confusion_cells, summary
 from runlens.session import cut_lineage
 
 PARALLEL_FITS = 4
-SCORE_DIGITS = 5
 
 
 def logistic(seed: int, n_classes: int, iterations: int = 100) -> Pipeline:
@@ -159,12 +159,16 @@ def out_of_fold(df: DataFrame, classes: tuple[str, ...], *, k: int = 3, kind: st
 
 
 def _isotonic(scored: DataFrame, classes: tuple[str, ...], label: str) -> list[Model]:
+    """One curve per class, fitted on all scores as they are; MLlib's model holds the finished blocks (their two ends each)."""
+    curves = F.explode(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("key"), F.get("p", F.lit(i)).alias("x"), (F.col(label) == c).cast("double").alias("y"))
+        for i, c in enumerate(classes)
+    ]))
+    blocks = cut_lineage(isotonic.fit_blocks(scored.select(curves.alias("c")).select("c.*")))
+    ends = F.explode(F.when(F.col("lo") < F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))).alias("features")
+
     def one(i: int) -> Model:
-        s = F.round(F.get("p", F.lit(i)), SCORE_DIGITS).alias("features")
-        # Merge equal scores first: at most 10**SCORE_DIGITS + 1 weighted points remain.
-        points = scored.select(s, (F.col(label) == classes[i]).cast("double").alias("hit")).groupBy("features").agg(
-            F.avg("hit").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-        )
+        points = blocks.where(F.col("key") == i).select(ends, F.col("value").alias("label"), F.lit(1.0).alias("weight"))
         return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(points)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:

@@ -606,7 +606,22 @@ def _(t):
     return rounded(attribution.disagreement_pool(rows, ["corpus"]))
 
 
-@query("disagreement_noise", "E25")
+def _noisy_sql(column: str) -> str:
+    """Softmax scores of one contour with the operator's own noise."""
+    def u(i: int, salt: int) -> str:
+        name = f"run_id || '|{column}|{i}|0|{salt}|' || round(sigma * 1e6)::BIGINT"
+        return f"((('0x' || substr(md5({name}), 1, 13))::BIGINT)::DOUBLE + 5e-1) / {float(1 << 52)!r}::DOUBLE"
+
+    noise = [f"({column}[{i + 1}] + sigma * (sqrt(-2e0 * ln({u(i, 1)})) * cos({u(i, 2)} * 6.283185307179586e0)))" for i in range(6)]
+    return f"CASE WHEN sigma = 0 THEN {column} ELSE [{', '.join(noise)}] END"
+
+
+@query("disagreement_noise", "E25", with_ctes(["preds"], f"""
+    SELECT sigma, count_if(f <> c)::BIGINT AS n_disagreement, {r('avg(CASE WHEN f <> c THEN (y_true IN (f, c))::INT END)', 'pi')},
+      {r('avg(CASE WHEN f <> c THEN (y_true IN (f, c))::INT END) / 2', 'envelope_low')}, {r('avg(CASE WHEN f <> c THEN (y_true IN (f, c))::INT END)', 'envelope_high')}
+    FROM (SELECT sigma, y_true, {top('nf')} AS f, {top('nc')} AS c FROM noisy) GROUP BY sigma""",
+    [("grid", "SELECT preds.*, sigma FROM preds, (VALUES (0::DOUBLE), (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) g(sigma)"),
+     ("noisy", f"SELECT sigma, y_true, {_noisy_sql('flat')} AS nf, {_noisy_sql('cascade')} AS nc FROM grid")]))
 def _(t):
     return rounded(attribution.noise_robustness(D.predictions(t)))
 

@@ -281,23 +281,29 @@ def _(t):
     return rounded(out.select("case_id", "action", "before_class", "after_class", "delta_p_healthy", "delta_p_faulty_chosen", "status", "rationale"))
 
 
-@query("patch_meta_delta", "X13", """
-    WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_orderkey % 3 AS lr, o_orderkey % 2 AS seed, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS patience, o_orderkey FROM orders)
-    SELECT 'c' || o_orderkey AS case_id, key, CASE key WHEN 'lr' THEN lr::VARCHAR WHEN 'seed' THEN seed::VARCHAR WHEN 'patience' THEN patience::VARCHAR END AS before_value,
-      CASE key WHEN 'lr' THEN '1' WHEN 'seed' THEN '1' WHEN 'patience' THEN '2' END AS after_value,
-      (CASE key WHEN 'lr' THEN lr WHEN 'seed' THEN seed WHEN 'patience' THEN patience END) IS DISTINCT FROM (CASE key WHEN 'lr' THEN 1 WHEN 'seed' THEN 1 WHEN 'patience' THEN 2 END) AS changed
-    FROM o, (VALUES (0, 'lr'), (0, 'learning_rate'), (3, 'early_stop'), (3, 'patience'), (3, 'best_epoch'), (6, 'seed'), (6, 'training_seed')) a(m, key) WHERE o_orderkey % 8 = m""")
+_META_KEYS = ", ".join(f"({i}, {q(key)})" for i, (_, _, keys, _) in enumerate(actions.ACTIONS) for key in keys)
+
+
+@query("patch_meta_delta", "X13", f"""
+    WITH o AS (SELECT o_orderkey % 3 AS lr, o_orderkey % 2 AS seed, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS patience, o_orderkey FROM orders),
+    v AS (SELECT o_orderkey, key, CASE key WHEN 'lr' THEN lr::VARCHAR WHEN 'seed' THEN seed::VARCHAR WHEN 'patience' THEN patience::VARCHAR WHEN 'weight_decay' THEN '0.' || lr WHEN 'dropout' THEN '0.' || seed END AS before_value,
+      CASE key WHEN 'lr' THEN '1' WHEN 'seed' THEN '1' WHEN 'patience' THEN '2' WHEN 'weight_decay' THEN '0.1' WHEN 'dropout' THEN '0.1' END AS after_value
+      FROM o, (VALUES {_META_KEYS}) a(m, key) WHERE o_orderkey % 8 = m)
+    SELECT 'c' || o_orderkey AS case_id, key, before_value, after_value, before_value IS DISTINCT FROM after_value AS changed FROM v""")
 def _(t):
     k = F.col("o_orderkey")
-    meta = t.orders.select(
-        F.concat(F.lit("o"), k.cast("string")).alias("run_id"),
-        F.to_json(F.struct((k % 3).alias("lr"), (k % 2).alias("seed"), F.when(k % 5 != 0, k % 4).alias("patience"))).alias("meta_json"),
+    values = F.struct(
+        (k % 3).alias("lr"), (k % 2).alias("seed"), F.when(k % 5 != 0, k % 4).alias("patience"),
+        F.concat(F.lit("0."), (k % 3).cast("string")).alias("weight_decay"), F.concat(F.lit("0."), (k % 2).cast("string")).alias("dropout"),
+    )
+    meta = t.orders.select(F.concat(F.lit("o"), k.cast("string")).alias("run_id"), F.to_json(values).alias("meta_json"))
+    target = t.spark.range(1).select(
+        F.lit("base").alias("run_id"), F.lit('{"lr": 1, "seed": 1, "patience": 2, "weight_decay": "0.1", "dropout": "0.1"}').alias("meta_json")
     )
-    target = t.spark.range(1).select(F.lit("base").alias("run_id"), F.lit('{"lr": 1, "seed": 1, "patience": 2}').alias("meta_json"))
     cases = t.orders.select(
         F.concat(F.lit("c"), k.cast("string")).alias("case_id"), F.concat(F.lit("o"), k.cast("string")).alias("before"), F.lit("base").alias("after"),
         F.get(F.array(*map(F.lit, actions.NAMES)), (k % 8).cast("int")).alias("action"),
-    ).where("action in ('reduce_lr', 'early_stop', 'retrain_with_seed')")
+    )
     return patches.meta_delta(cases, meta.unionByName(target))
 
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.functions.probs import items
-from runlens.operators import cascade, conformal, curves, grouped, policies, thresholds, training, zoo
+from runlens.operators import cascade, conformal, curves, grouped, isotonic, policies, thresholds, training, zoo
 from runlens.operators.folds import assign_folds, class_weights, holdout, safe_fold_count
 from runlens.operators.metrics import confusion_cells, summary
 from runlens.operators.stacking import META_FEATURES
 from runlens.plans.diagnose_fleet import diagnose_fleet
-from runlens.plans.oracle import r, rcols, with_ctes
+from runlens.plans.oracle import CLS, r, rcols, with_ctes
 from runlens.plans.registry import query, rounded
 from runlens.session import cut_lineage
 from runlens.sources import driver_tables as D
 from runlens.sources import stores
 from runlens.streaming import live
-from runlens.vocab import CLASSES
+from runlens.vocab import CLASSES, labels_array
 
 P = [f"p_{c}" for c in CLASSES]
 
@@ -104,6 +104,26 @@ for _method in ("isotonic", "sigmoid"):
     _register_calibration(_method)
 
 
+# Max-min formula: the fit at a point is the largest, over starts before it, of the least mean from that start to any later end.
+_CURVE = [
+    ("scored", "SELECT vec_id, c AS key, flat[c + 1] AS x, (y_true = (" + CLS + ")[c + 1])::INT::DOUBLE AS y FROM preds, (SELECT unnest(range(6)) AS c)"),
+    ("pts", "SELECT key, x, sum(y) AS s, count(*) AS w, row_number() OVER (PARTITION BY key ORDER BY x) AS i FROM scored GROUP BY key, x"),
+    ("cum", "SELECT *, sum(s) OVER (PARTITION BY key ORDER BY i) AS cs, sum(w) OVER (PARTITION BY key ORDER BY i) AS cw FROM pts"),
+    ("spans", "SELECT a.key, a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM cum a JOIN cum b ON b.key = a.key AND b.i >= a.i"),
+    ("least", "SELECT key, j, k AS i, min(m) OVER (PARTITION BY key, j ORDER BY k DESC) AS m FROM spans"),
+    ("curve", "SELECT key, i, max(m) AS fitted FROM least GROUP BY key, i"),
+]
+
+
+@query("isotonic_curves", "M7", with_ctes(["preds"], f"""
+    SELECT 'v' || vec_id AS run_id, key, {r('fitted', 'fitted')} FROM scored JOIN pts USING (key, x) JOIN curve USING (key, i)""", _CURVE))
+def _(t):
+    each = F.posexplode("flat").alias("key", "x")
+    rows = D.predictions(t).select("run_id", "y_true", each).withColumn("key", F.col("key").cast("long"))
+    rows = cut_lineage(rows.withColumn("y", (F.col("y_true") == F.get(labels_array(), F.col("key").cast("int"))).cast("double")))
+    return rounded(isotonic.fitted_values(rows, isotonic.fit_blocks(rows)).select("run_id", "key", "fitted"))
+
+
 @query("model_importances", "M10 X1")
 def _(t):
     model = zoo.fit(_x(t), CLASSES, kind="random_forest", trees=20, depth=6)
