@@ -130,7 +130,8 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
             row = block_row(where, before, names, ids)
             return batch({k: [row[k]] for k in BLOCK}, BLOCK)
 
-        for rows in batches:
+        # Few rows at a time become Python objects.
+        for rows in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts, ranges, keys = as_bytes(rows.column(2)), rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for s in slices(texts):
                 for r, doc, data in zip(ranges[s], keys[s], encoder.encode(texts[s])):

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 #: New pieces are joined to texts of so many.
 GROUP = 2_000
-LIMIT = 800_000
+LIMIT = 600_000
 
 
 def load(path: str) -> Tokenizer:
