@@ -8,17 +8,18 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
+    DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.probs import normalise, top_label
-from runlens.operators import isotonic
+from runlens.operators import boosting, isotonic
+from runlens.operators.boosting import BoostedTrees
 from runlens.operators.folds import assign_folds
 from runlens.operators.metrics import confusion_cells, summary
 from runlens.session import cut_lineage
@@ -46,40 +47,28 @@ def entropy_tree(seed: int, n_classes: int, depth: int = 10) -> Pipeline:
     return Pipeline(stages=[dt])
 
 
-def boosted(seed: int, rounds: int = 200, depth: int = 3, rate: float = 0.05) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
-    )
-
-
 ZOO = {"logistic": logistic, "random_forest": random_forest, "entropy_tree": entropy_tree}
 KINDS = (*ZOO, "boosted")
 
 
 @dataclass
 class Scorer:
-    """A fitted classifier. ``parts`` is one model, or one binary model per class (boosted)."""
+    """A fitted classifier. ``parts`` is one model."""
 
     kind: str
     classes: tuple[str, ...]
     columns: tuple[str, ...]
-    parts: list[Model]
+    parts: list[Model | BoostedTrees]
     calibrators: list[Model] = field(default_factory=list)
 
     def probabilities(self, df: DataFrame, out: str = "p", features: str = "x") -> DataFrame:
         """Add ``out``: probabilities in class order. ``features`` is an ARRAY<DOUBLE> column."""
         keep = df.columns
-        t = df.withColumn("features", array_to_vector(features))
         if self.kind == "boosted":
-            for i, m in enumerate(self.parts):
-                t = m.transform(t).withColumn(f"_p{i}", F.get(vector_to_array("probability"), F.lit(1)))
-                t = t.drop("rawPrediction", "probability", "prediction")
-            p = [F.col(f"_p{i}") for i in range(len(self.parts))]
-            if len(p) == 1 and len(self.classes) == 2:
-                p = [F.lit(1.0) - p[0], p[0]]
+            t = self.parts[0].transform(df, features, "_v")
         else:
-            t = self.parts[0].transform(t).withColumn("_v", vector_to_array("probability"))
-            p = [F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)) for i in range(len(self.classes))]
+            t = self.parts[0].transform(df.withColumn("features", array_to_vector(features))).withColumn("_v", vector_to_array("probability"))
+        p = [F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)) for i in range(len(self.classes))]
         raw = t.withColumn(out, normalise(p)).select(*keep, out)
         return raw if not self.calibrators else _apply_calibration(raw, out, self.calibrators)
 
@@ -90,8 +79,7 @@ class Scorer:
     def importances(self) -> dict[str, float]:
         """Tree importances, or mean absolute coefficients, per feature column."""
         if self.kind == "boosted":
-            vectors = [m.featureImportances.toArray() for m in self.parts]
-            values = sum(vectors) / len(vectors)
+            values = self.parts[0].importances()
         elif self.kind == "logistic":
             values = abs(self.parts[0].stages[-1].coefficientMatrix.toArray()).mean(axis=0)
         else:
@@ -126,16 +114,15 @@ def fit(
     """Fit one classifier on rows (label, features ARRAY<DOUBLE>) with balanced class weights."""
     t, size = _training_rows(df, tuple(classes), label, features)
     width = columns or tuple(f"f{i}" for i in range(size))
-    if kind != "boosted":
-        return Scorer(kind, tuple(classes), width, [ZOO[kind](seed, len(classes), **options).fit(t)])
-    targets = [1] if len(classes) == 2 else range(len(classes))
+    if kind == "boosted":
+        # Boosting weighs all rows alike.
+        rows = df.where(F.col(label).isin(*classes)).select(_class_number(label, classes).alias("y"), F.col(features).alias("x"))
+        return Scorer(kind, tuple(classes), width, [boosting.fit(rows, len(classes), boosting.Boosting(**options))])
+    return Scorer(kind, tuple(classes), width, [ZOO[kind](seed, len(classes), **options).fit(t)])
 
-    def one(i: int) -> Model:
-        binary = t.withColumn("label", (F.col("label") == i).cast("double"))
-        return boosted(seed, **options).fit(binary)
 
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return Scorer(kind, tuple(classes), width, list(pool.map(one, targets)))
+def _class_number(label: str, classes: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1
 
 
 # --- calibration ---------------------------------------------------------------------------------
@@ -238,7 +225,10 @@ def save(model: Scorer, path: str, **extra) -> None:
     spark = SparkSession.getActiveSession()
     for name, group in (("part", model.parts), ("calibrator", model.calibrators)):
         for i, m in enumerate(group):
-            PipelineModel(stages=[m]).write().overwrite().save(f"{path}/{name}-{i}")
+            if isinstance(m, BoostedTrees):
+                m.save(spark, f"{path}/{name}-{i}")
+            else:
+                PipelineModel(stages=[m]).write().overwrite().save(f"{path}/{name}-{i}")
     settings = {
         "kind": model.kind, "classes": list(model.classes), "columns": list(model.columns), "parts": len(model.parts),
         "calibrators": len(model.calibrators), **extra,
@@ -249,7 +239,9 @@ def save(model: Scorer, path: str, **extra) -> None:
 def load(spark, path: str) -> tuple[Scorer, dict]:
     settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
 
-    def models(name: str) -> list[Model]:
+    def models(name: str) -> list[Model | BoostedTrees]:
+        if name == "part" and settings["kind"] == "boosted":
+            return [BoostedTrees.load(spark, f"{path}/part-0")]
         return [PipelineModel.load(f"{path}/{name}-{i}").stages[0] for i in range(settings[f"{name}s"])]
 
     model = Scorer(settings["kind"], tuple(settings["classes"]), tuple(settings["columns"]), models("part"), models("calibrator"))

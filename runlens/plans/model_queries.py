@@ -79,9 +79,9 @@ def _register_model(kind: str, ids: str, **options) -> None:
         return rounded(_report(zoo.fit(train, CLASSES, kind=kind, **options), test, kind))
 
 
-_register_model("logistic", "M2 M3", iterations=50)
-_register_model("random_forest", "M2", trees=60, depth=8)
-_register_model("boosted", "M2", rounds=8)
+_register_model("logistic", "M2 M3")
+_register_model("random_forest", "M2")
+_register_model("boosted", "M2")
 _register_model("entropy_tree", "M9")
 
 
