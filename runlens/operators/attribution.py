@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.numeric import ratio, ratio0
 from runlens.operators.metrics import class_metrics, confusion_cells, summary
+from runlens.operators.evidence import feature_evidence
 from runlens.vocab import CLASSES, DATA, HEALTHY, LEAKAGE, OPTGEN, STAGE1, STAGE2, STAGE3_DATA, STAGE3_OPT, labels_array, to_stage1, to_stage2
 
 STAGES = ("stage1", "stage2", "stage3", "composition")
@@ -56,13 +57,24 @@ def attribution_summary(attributed: DataFrame) -> DataFrame:
     return grid.join(counts, ["bucket", "stage"], "left").fillna({"n": 0})
 
 
-def disagreements(diagnoses: DataFrame, flat: DataFrame) -> DataFrame:
-    """Rows where the contours differ and exactly one is right, with the winner."""
+def disagreements(
+    diagnoses: DataFrame, flat: DataFrame, features: DataFrame | None = None, importances: dict[str, dict[str, float]] | None = None, k: int = 5
+) -> DataFrame:
+    """Rows where the contours differ and exactly one is right, with the winner.
+
+    With ``features`` (run_id and the models' columns) and the fitted stages' ``importances`` each row has stage 1's ``top_evidence``.
+    """
     j = diagnoses.join(flat.select("run_id", "flat_label"), "run_id")
     f, c = F.col("flat_label") == F.col("y_true"), F.col("final_class") == F.col("y_true")
-    return j.where((F.col("flat_label") != F.col("final_class")) & (f != c)).select(
+    found = j.where((F.col("flat_label") != F.col("final_class")) & (f != c))
+    extra = []
+    if features is not None and importances:
+        weights = {"stage1": importances["stage1"]}
+        found = found.join(features.select("run_id", feature_evidence(weights, k).alias("top_evidence")), "run_id", "left")
+        extra = ["top_evidence"]
+    return found.select(
         "run_id", "y_true", "flat_label", F.col("final_class").alias("cascade_label"),
-        F.when(f, "flat").otherwise("cascade").alias("winner"), "stage1_pred", "stage2_pred", "stage3_pred",
+        F.when(f, "flat").otherwise("cascade").alias("winner"), "stage1_pred", "stage2_pred", "stage3_pred", *extra,
     )
 
 

@@ -39,6 +39,29 @@ NOTE_KEYWORDS = (
 # --- end of fixed values ------------------------------------------------------------------------
 
 
+def feature_evidence(importances: dict[str, dict[str, float]], k: int = 5) -> Column:
+    """Per row: the features that weighed most in each fitted stage, as (stage, column, value, importance), stages in order.
+
+    A feature's weight is the stage's importance times the size of its value; where all of these are zero, the importances decide.
+    ``importances`` is the models' own small table.
+    """
+    stages = []
+    for stage, weights in importances.items():
+        x = {c: finite(F.col(c).cast("double")) for c in weights}
+        contrib = [F.coalesce(F.abs(x[c]) * F.lit(float(w)), F.lit(0.0)) for c, w in weights.items()]
+        some = F.exists(F.array(*contrib), lambda v: v > 0)
+        entries = F.array(*[
+            F.struct((-F.when(some, v).otherwise(F.lit(float(w)))).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("column"), x[c].alias("value"))
+            for i, ((c, w), v) in enumerate(zip(weights.items(), contrib))
+        ])
+        stages.append(F.transform(F.slice(F.array_sort(entries), 1, k), _named(stage)))
+    return F.concat(*stages)
+
+
+def _named(stage: str):
+    return lambda e: F.struct(F.lit(stage).alias("stage"), e["column"].alias("column"), e["value"].alias("value"), (-e["neg"]).alias("importance"))
+
+
 def top_features(table: DataFrame, importances: dict[str, dict[str, float]], k: int = 5) -> DataFrame:
     """run_id + (stage, rank, column, value, score): features by importance x |value| per stage.
 
@@ -172,16 +195,18 @@ def stage_trace() -> Column:
     )
 
 
-def build_evidence(diagnoses: DataFrame, features: DataFrame) -> DataFrame:
+def build_evidence(diagnoses: DataFrame, features: DataFrame, importances: dict[str, dict[str, float]] | None = None, k: int = 5) -> DataFrame:
     """One nested evidence row per run from diagnoses (``cascade.diagnose``) and features.
 
     ``features``: run_id, the curve features used in notes, di_train_val_overlap, di_label_noise_rate_declared and
-    the two proxies.
+    the two proxies. With the ``importances`` of the fitted stages there is ``top_features`` too; features must have their columns.
     """
     j = diagnoses.join(features, "run_id")
+    top = [feature_evidence(importances, k).alias("top_features")] if importances else []
     out = j.withColumns({"curve_notes": curve_notes(), "integrity_notes": integrity_notes(), "own_notes": global_notes()})
     return out.select(
         *diagnoses.columns,
+        *top,
         stage_trace().alias("stage_trace"),
         rejected_hypotheses().alias("rejected"),
         F.struct(

@@ -51,5 +51,16 @@ def stage_probabilities(weights: Weights) -> Column:
     return F.concat(*parts)
 
 
+def importances(weights: Weights) -> dict[str, dict[str, float]]:
+    """Stage -> feature -> mean absolute weight over the stage's labels, in order of the features' names."""
+    out: dict[str, dict[str, float]] = {}
+    for stage, labels in STAGES.items():
+        rows = [weights[stage, label] for label in labels if (stage, label) in weights]
+        names = sorted({f for row in rows for f in row if f != "bias"})
+        if names:
+            out[stage] = {f: sum(abs(row.get(f, 0.0)) for row in rows) / len(rows) for f in names}
+    return out
+
+
 def score(features: DataFrame, weights: Weights) -> DataFrame:
     return features.withColumn("stage_probs", stage_probabilities(weights))

@@ -51,15 +51,92 @@ class Cascade:
             parts += items(F.col(f"_{name}"), len(classes)) if have else [none] * len(classes)
         return t.withColumn("stage_probs", F.array(*parts)).select(*keep, "stage_probs")
 
+    def importances(self) -> dict[str, dict[str, float]]:
+        """Stage -> feature column -> importance of the fitted models."""
+        return {name: model.importances() for name, model in self.stages.items()}
 
-def train_cascade(df: DataFrame, *, kind: str = "logistic", label: str = "y", features: str = "x", seed: int = 0, calibrate: str | None = None, **options) -> Cascade:
-    """Fit the four stages side by side on their own subsets of ``df`` (a stored table)."""
+
+@dataclass
+class Selected:
+    """A cascade and a flat model whose kinds won on the same folds; ``scores`` has one row per (stage, kind)."""
+
+    cascade: Cascade
+    flat: zoo.Scorer
+    scores: DataFrame
+
+
+def select_models(
+    df: DataFrame, kinds: tuple[str, ...] = zoo.KINDS, *, k: int = 5, label: str = "y", features: str = "x", seed: int = 0,
+    options: dict[str, dict] | None = None, columns: tuple[str, ...] | None = None,
+) -> Selected:
+    """Choose the kind of every stage and of the flat model by mean macro-F1 over ``k`` folds, and refit the winners on all rows.
+
+    One folded table serves all fits; a fold of a stage is the stage's part of the table's fold. All (stage, kind, fold) fits go
+    through one bounded pool. A fit brings two numbers to the driver.
+    """
+    folded = cut_lineage(assign_folds(df.where(F.col(label).isNotNull()), label, k, seed))
+    stages = {"flat": CLASSES, **STAGES}
+    parts = {s: folded.withColumn("stage_y", F.col(label)) if s == "flat" else stage_rows(folded, s, label) for s in stages}
+    present = {s: {r["stage_y"] for r in rows.select("stage_y").distinct().collect()} for s, rows in parts.items()}
+    stages = {s: classes for s, classes in stages.items() if len(present[s]) > 1}
+
+    def settings(kind: str) -> dict:
+        return dict(kind=kind, label="stage_y", features=features, seed=seed, **(options or {}).get(kind, {}))
+
+    def judge(job: tuple[str, str, int]) -> tuple:
+        stage, kind, fold = job
+        rows, classes = parts[stage], stages[stage]
+        model = zoo.fit(rows.where(F.col("fold") != fold), classes, **settings(kind))
+        seen = model.predict(rows.where(F.col("fold") == fold), features=features).select(F.col("stage_y").alias("y_true"), "pred")
+        got = summary(confusion_cells(seen, []), [], classes).select("macro_f1", "accuracy", "n_samples").first()
+        return stage, kind, fold, got["macro_f1"], got["accuracy"], got["n_samples"]
+
+    def refit(stage: str) -> tuple[str, zoo.Scorer]:
+        return stage, zoo.fit(parts[stage], stages[stage], columns=columns, **settings(won[stage]))
+
+    jobs = [(s, kind, i) for s in stages for kind in kinds for i in range(k)]
+    with ThreadPoolExecutor(zoo.PARALLEL_FITS) as pool:
+        judged = [r for r in pool.map(judge, jobs) if r[5]]
+        means: dict[tuple[str, str], list[float]] = {}
+        for stage, kind, _, f1, acc, n in judged:
+            means.setdefault((stage, kind), []).append((f1, acc, n))
+        won = {s: max(kinds, key=lambda kind: (sum(x[0] for x in means[s, kind]) / len(means[s, kind]), -kinds.index(kind))) for s in stages}
+        fitted = dict(pool.map(refit, stages))
+    rows = [
+        (s, kind, sum(x[0] for x in v) / len(v), sum(x[1] for x in v) / len(v), int(sum(x[2] for x in v)), len(v), won[s] == kind)
+        for (s, kind), v in means.items()
+    ]
+    scores = df.sparkSession.createDataFrame(
+        rows, "stage string, kind string, macro_f1 double, accuracy double, n_samples long, n_folds int, chosen boolean"
+    )
+    return Selected(Cascade({s: m for s, m in fitted.items() if s != "flat"}), fitted["flat"], scores)
+
+
+def holdout_predictions(models: Selected, test: DataFrame, keep: tuple[str, ...] = ("run_id", "y"), features: str = "x") -> DataFrame:
+    """keep + model (flat, cascade) + pred of every row of a shared holdout."""
+    scored = models.cascade.score(models.flat.probabilities(test, "flat", features), features)
+    gate = F.get("stage_probs", F.lit(0)) < models.cascade.healthy_threshold
+    both = F.array(
+        F.struct(F.lit("flat").alias("model"), top_label(F.col("flat")).alias("pred")),
+        F.struct(F.lit("cascade").alias("model"), top_label(compose_probabilities(F.col("stage_probs"), gate)).alias("pred")),
+    )
+    return scored.select(*keep, F.explode(both).alias("m")).select(*keep, "m.*")
+
+
+def slice_reports(predictions: DataFrame, slice_: str = "slice", label: str = "y") -> DataFrame:
+    """(model, slice, n_samples, accuracy, macro_f1, ...) over full and each slice of a shared holdout."""
+    rows = predictions.select("model", F.explode(F.array_compact(F.array(F.lit("full"), F.col(slice_)))).alias("slice"), F.col(label).alias("y_true"), "pred")
+    return summary(confusion_cells(rows, ["model", "slice"]), ["model", "slice"])
+
+
+def train_cascade(df: DataFrame, *, kind: str = "logistic", label: str = "y", features: str = "x", seed: int = 0, calibrate: str | None = None, columns: tuple[str, ...] | None = None, **options) -> Cascade:
+    """Fit the four stages side by side on their own subsets of ``df`` (a stored table); ``columns`` names the features."""
 
     def one(stage: str) -> tuple[str, zoo.Scorer | None]:
         rows = stage_rows(df, stage, label)
         if rows.select("stage_y").distinct().count() < 2:
             return stage, None
-        settings = dict(kind=kind, label="stage_y", features=features, seed=seed, **options)
+        settings = dict(kind=kind, label="stage_y", features=features, seed=seed, columns=columns, **options)
         if calibrate:
             return stage, zoo.fit_calibrated(rows, STAGES[stage], method=calibrate, **settings)
         return stage, zoo.fit(rows, STAGES[stage], **settings)
@@ -137,12 +214,18 @@ class MetaModel:
     def top_features(self, k: int = 3) -> list[tuple[str, float]]:
         return sorted(self.scorer.importances().items(), key=lambda e: -e[1])[:k]
 
-    def predict(self, df: DataFrame, keep: tuple[str, ...] = ("run_id",)) -> DataFrame:
-        """keep + stacked[6], final_label, final_confidence."""
+    def predict(self, df: DataFrame, keep: tuple[str, ...] = ("run_id",), k: int = 3) -> DataFrame:
+        """keep + stacked[6], final_label, final_confidence, top_features (the row's ``k`` largest importance x |value|)."""
         spark = df.sparkSession
         means = spark.createDataFrame([tuple(self.means[c] for c in META_FEATURES)], ", ".join(f"{c} double" for c in META_FEATURES))
         x = meta_features(df, keep, means).withColumn("x", F.array(*META_FEATURES)).select(*keep, "x")
-        scored = self.scorer.probabilities(x, "stacked").drop("x")
+        weights = self.scorer.importances()
+        entries = F.array(*[
+            F.struct((-F.abs(F.get("x", F.lit(i))) * F.lit(float(weights[c]))).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("column"), F.get("x", F.lit(i)).alias("value"))
+            for i, c in enumerate(META_FEATURES)
+        ])
+        top = F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(e["column"].alias("column"), e["value"].alias("value"), (-e["neg"]).alias("importance")))
+        scored = self.scorer.probabilities(x.withColumn("top_features", top), "stacked").drop("x")
         return scored.withColumns({"final_label": top_label(F.col("stacked")), "final_confidence": F.array_max("stacked")})
 
 

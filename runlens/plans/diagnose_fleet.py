@@ -36,13 +36,14 @@ def model_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
 def diagnose_fleet(history: DataFrame, meta: DataFrame, labels: DataFrame, *, cascade: Cascade | None = None, kind: str = "logistic", language: str = "en", max_recommendations: int = 3) -> DataFrame:
     """Diagnosis, evidence, narrative and ranked actions per run.
 
-    A fitted ``cascade`` scores all runs; without one, the stages are trained on the labelled runs first.
+    A fitted ``cascade`` (its columns named MODEL_COLUMNS) scores all runs; without one, the stages are trained on the labelled runs
+    first. The evidence holds the features that weighed most in each fitted stage.
     """
     features = fleet_features(history, meta)
     rows = model_rows(features, labels)
     if cascade is None:
-        cascade = train_cascade(rows.where("y is not null"), kind=kind)
+        cascade = train_cascade(rows.where("y is not null"), kind=kind, columns=MODEL_COLUMNS)
     diagnoses = diagnose(cut_lineage(cascade.score(rows.select("run_id", "x")).drop("x")), healthy_threshold=cascade.healthy_threshold)
-    evidence = build_evidence(diagnoses, features)
+    evidence = build_evidence(diagnoses, features, cascade.importances())
     text = narrate(evidence, language)
     return evidence.withColumn("actions", recommendations(max_recommendations)).join(text, "run_id")

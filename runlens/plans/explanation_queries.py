@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import actions, cascade, evidence, narrative, patches, reports
+from runlens.operators import actions, attribution, cascade, evidence, linear_stages, narrative, patches, policies, reports, training
 from runlens.operators.evidence import NOTE_KEYWORDS
 from runlens.operators.narrative import MESSAGES
-from runlens.plans.oracle import BRANCH_OF, CLASSES, q, r, rcols, with_ctes
+from runlens.plans.oracle import BRANCH_OF, CLASSES, q, r, rcols, top, with_ctes
 from runlens.plans.registry import query, rounded
 from runlens.sources import driver_tables as D
+from runlens.streaming import live
 
 # --- inputs: features per vector -----------------------------------------------------------------
 
@@ -62,6 +63,45 @@ def _(t):
     return rounded(evidence.top_features(features(t), _IMPORTANCE))
 
 
+#: A stored cascade over the same columns; what is loaded again decides the features of the evidence.
+_STORED: linear_stages.Weights = {
+    (stage, label): {n: ((i * 5 + j * 3 + 1) % 7 - 3) / 4.0 for i, n in enumerate(_FEATURES)}
+    for j, (stage, label) in enumerate((s, x) for s, labels in training.STAGES.items() for x in labels)
+}
+
+
+def _loaded_importances(t):
+    path = live.new_folder(t.spark, "weights")
+    linear_stages.save(t.spark, _STORED, path)
+    return linear_stages.importances(linear_stages.load(t.spark, path))
+
+
+_STORED_ROWS = ", ".join(f"('{s}', '{n}', {i}, {w!r}::DOUBLE)" for s, d in linear_stages.importances(_STORED).items() for i, (n, w) in enumerate(d.items()))
+_FITTED = [
+    _FEAT, ("lng", " UNION ALL ".join(f"SELECT run_id, '{n}' AS \"column\", {n}::DOUBLE AS value FROM feat" for n in _FEATURES)),
+    ("weighed", f"""SELECT *, row_number() OVER (PARTITION BY run_id, stage ORDER BY score DESC, ord) AS rank FROM (
+        SELECT run_id, stage, "column", ord, value, CASE WHEN max(coalesce(abs(value) * w, 0)) OVER (PARTITION BY run_id, stage) > 0 THEN coalesce(abs(value) * w, 0) ELSE w END AS score
+        FROM lng JOIN (VALUES {_STORED_ROWS}) i(stage, "column", ord, w) USING ("column"))"""),
+]
+
+
+@query("evidence_features", "X7 X16", with_ctes(["vec", "diagnosis"], f"""
+    SELECT run_id, final_class, stage, "column", {r('value', 'value')}, {r('score', 'importance')} FROM weighed JOIN diagnosis USING (run_id) WHERE rank <= 5""", _FITTED))
+def _(t):
+    ev = evidence.build_evidence(cascade.diagnose(D.predictions(t)), features(t), _loaded_importances(t))
+    return rounded(ev.select("run_id", "final_class", F.explode("top_features").alias("f")).select("run_id", "final_class", "f.stage", "f.column", "f.value", "f.importance"))
+
+
+@query("disagreement_features", "E19", with_ctes(["vec", "diagnosis"], f"""
+    SELECT run_id, CASE WHEN fl = y_true THEN 'flat' ELSE 'cascade' END AS winner, "column", {r('value', 'value')}, {r('score', 'importance')}
+    FROM (SELECT *, {top('flat')} AS fl FROM diagnosis) JOIN weighed USING (run_id)
+    WHERE fl <> final_class AND ((fl = y_true) <> (final_class = y_true)) AND stage = 'stage1' AND rank <= 3""", _FITTED))
+def _(t):
+    p = D.predictions(t)
+    rows = attribution.disagreements(cascade.diagnose(p), policies.with_labels(p), features(t), _loaded_importances(t), k=3)
+    return rounded(rows.select("run_id", "winner", F.explode("top_evidence").alias("f")).select("run_id", "winner", "f.column", "f.value", "f.importance"))
+
+
 _CURVE_NOTES = """list_filter([
     CASE WHEN val_loss_argmin_frac >= 0 AND val_loss_argmin_frac < 5e-1 THEN 'val_loss minimum reached at ' || printf('%.0f', val_loss_argmin_frac * 100) || '% of training — early-overfitting fingerprint.' END,
     CASE WHEN acc_final_gap > 15e-2 THEN printf('final train/val accuracy gap = %+.3f — overfitting evidence.', acc_final_gap) END,

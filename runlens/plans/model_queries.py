@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.functions.probs import items
-from runlens.operators import cascade, conformal, curves, grouped, isotonic, policies, thresholds, training, zoo
-from runlens.operators.folds import assign_folds, class_weights, holdout, safe_fold_count
+from runlens.operators import cascade, cleaning, conformal, curves, grouped, isotonic, policies, prototypes, thresholds, training, zoo
+from runlens.operators.folds import assign_folds, class_weights, group_folds, holdout, safe_fold_count
 from runlens.operators.metrics import confusion_cells, summary
+from runlens.operators.partition import partition_runs
 from runlens.operators.stacking import META_FEATURES
 from runlens.plans.diagnose_fleet import diagnose_fleet
 from runlens.plans.oracle import CLS, r, rcols, with_ctes
@@ -85,17 +86,74 @@ _register_model("boosted", "M2")
 _register_model("entropy_tree", "M9")
 
 
-@query("model_selection", "M4")
+_KINDS = ("logistic", "random_forest", "entropy_tree")
+_SELECT = {"random_forest": {"trees": 40}}
+
+
+def _split(t):
+    """(train, test) of the separable rows, with a slice by entry."""
+    rows = _x(t).withColumn("slice", F.when(F.col("entry_id") % 3 == 0, "extended").otherwise("core"))
+    return tuple(cut_lineage(p) for p in holdout(rows, "y"))
+
+
+@query("model_selection", "M4 M6")
+def _(t):
+    """Winners of every stage and of the flat model, refitted, judged on one shared holdout over full, core and extended."""
+    train, test = _split(t)
+    models = training.select_models(train, _KINDS, options=_SELECT)
+    rep = training.slice_reports(training.holdout_predictions(models, test, ("run_id", "y", "slice")))
+    won = models.scores.where("chosen").groupBy().pivot("stage", ["flat", *training.STAGES]).agg(F.first("kind"))
+    return rounded(rep.crossJoin(F.broadcast(won)))  # one row of names
+
+
+_BY_CLASS = ("by_class", f"SELECT ({CLS})[(label % 6) + 1] AS y, count(*) AS n FROM embeddings GROUP BY 1")
+_STAGE_N = """SELECT 'flat' AS stage, sum(n - (n + 4) // 5) AS n FROM by_class UNION ALL SELECT 'stage1', sum(n - (n + 4) // 5) FROM by_class
+    UNION ALL SELECT 'stage2', sum(n - (n + 4) // 5) FROM by_class WHERE y <> 'healthy'
+    UNION ALL SELECT 'stage3_data', sum(n - (n + 4) // 5) FROM by_class WHERE y IN ('leakage', 'label_noise')
+    UNION ALL SELECT 'stage3_opt', sum(n - (n + 4) // 5) FROM by_class WHERE y IN ('overfitting', 'underfitting', 'instability')"""
+
+
+@query("selection_counts", "M4 M6 J5", with_ctes([], f"""
+    SELECT stage, kind, n::BIGINT AS n_samples, 5 AS n_folds, 1::BIGINT AS n_chosen, 0::BIGINT AS n_leaked FROM ({_STAGE_N}), (VALUES ('logistic'), ('entropy_tree')) k(kind)""", [_BY_CLASS]))
 def _(t):
-    scores = zoo.cv_scores(_x(t), CLASSES, ("logistic", "entropy_tree"), k=3, options={"logistic": {"iterations": 20}})
-    return rounded(scores.groupBy("kind").agg(F.avg("macro_f1").alias("macro_f1"), F.avg("accuracy").alias("accuracy")))
+    """Every training row of a stage is judged once per kind, one kind wins, and no key is on both sides of the holdout."""
+    train, test = _split(t)
+    got = training.select_models(train, ("logistic", "entropy_tree"), options={"logistic": {"iterations": 5}}).scores
+    chosen = got.groupBy("stage").agg(F.count_if("chosen").alias("n_chosen"))
+    leaked = train.select("run_id").intersect(test.select("run_id")).agg(F.count(F.lit(1))).scalar()
+    return got.join(chosen, "stage").select("stage", "kind", "n_samples", "n_folds", "n_chosen", leaked.alias("n_leaked"))
+
+
+@query("holdout_support", "M6", with_ctes([], """
+    SELECT model, y, ((n + 4) // 5)::BIGINT AS support, ((n + 4) // 5)::BIGINT AS support_of_slices FROM by_class, (VALUES ('flat'), ('cascade')) m(model)""", [_BY_CLASS]))
+def _(t):
+    train, test = _split(t)
+    models = training.select_models(train, ("entropy_tree",), k=2)
+    seen = training.holdout_predictions(models, test, ("run_id", "y", "slice")).where("pred is not null")
+    return seen.groupBy("model", "y").agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("slice").isin("core", "extended")).alias("support_of_slices"))
+
+
+@query("group_fold_checks", "M12 M11 J5", with_ctes(["runs_bulk"], """
+    SELECT count(*) AS n_rows, count(DISTINCT entry_id) AS n_groups, 5::BIGINT AS n_folds, 0::BIGINT AS n_leaks, 0::BIGINT AS n_lost, true AS even
+    FROM runs_bulk WHERE primary_label IS NOT NULL"""))
+def _(t):
+    """Whole entries in one fold each; no label's fold differs from its share by more than a fifth."""
+    b = cut_lineage(D.runs_bulk(t).where("primary_label is not null").select("run_id", "entry_id", "primary_label"))
+    f = cut_lineage(group_folds(b, "entry_id", "primary_label"))
+    leaks = training.fold_leaks(f, "entry_id").agg(F.count(F.lit(1))).scalar()
+    share = f.groupBy("primary_label", "fold").agg(F.count(F.lit(1)).alias("n")).groupBy("primary_label").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    even = share.agg(F.max(F.col("most") * 5 / F.col("n")) <= 1.2).scalar()
+    return f.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entry_id").alias("n_groups"), F.countDistinct("fold").alias("n_folds"),
+        leaks.alias("n_leaks"), F.count_if(F.col("fold").isNull()).alias("n_lost"), even.alias("even"),
+    )
 
 
 def _register_calibration(method: str) -> None:
     @query(f"calibrated_{method}", "M7")
     def _(t):
         train, test = (cut_lineage(p) for p in holdout(_x(t), "y"))
-        model = zoo.fit_calibrated(train, CLASSES, method=method, k=3, kind="entropy_tree", depth=4)
+        model = zoo.fit_calibrated(train, CLASSES, method=method, kind="entropy_tree")
         out = model.probabilities(test.select("run_id", "y", "x"))
         return rounded(out.select("run_id", "y", *[v.alias(n) for n, v in zip(P, items(F.col("p"), 6))]))
 
@@ -126,7 +184,7 @@ def _(t):
 
 @query("model_importances", "M10 X1")
 def _(t):
-    model = zoo.fit(_x(t), CLASSES, kind="random_forest", trees=20, depth=6)
+    model = zoo.fit(_x(t), CLASSES, kind="random_forest")
     return rounded(t.spark.createDataFrame(list(model.importances().items()), "feature string, importance double"))
 
 
@@ -146,8 +204,13 @@ def _(t):
     return rounded(cascade.flatten(cascade.diagnose(scored)).select("run_id", "final_class", "final_confidence"))
 
 
-def _oof(t, k=3):
-    return cut_lineage(training.with_no_arbitrator(training.oof_predictions(_x(t, separable=True), k=k, kind="entropy_tree", depth=4)).drop("x"))
+def _oof(t):
+    return cut_lineage(training.with_no_arbitrator(training.oof_predictions(_x(t, separable=True), kind="entropy_tree")).drop("x"))
+
+
+def _meta_split(oof):
+    """Rows for the meta model, for calibration, and held-out ones, by the folds the rows have."""
+    return oof.where("fold < 3"), oof.where("fold = 3"), oof.where("fold = 4")
 
 
 @query("oof_predictions", "M8")
@@ -165,61 +228,118 @@ def _(t):
 def _(t):
     x = _x(t)
     stage1 = training.stage_rows(x, "stage1").select("run_id", "y", "x", "stage_y")
-    scored = zoo.out_of_fold(stage1, ("healthy", "faulty"), k=3, label="stage_y", iterations=20)
+    scored = zoo.out_of_fold(stage1, ("healthy", "faulty"), k=5, label="stage_y")
     rows = scored.select(F.col("y").alias("y_true"), F.get("p", F.lit(0)).alias("p_healthy"))
     return rounded(thresholds.binary_sweep(rows))
 
 
 @query("stacking_predictions", "K2 K3")
 def _(t):
-    oof = _oof(t)
-    meta = training.train_meta(oof, k=3, iterations=20)
-    out = meta.predict(oof, ("run_id", "y"))
-    top = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("importance")) for n, v in meta.top_features()])
-    return rounded(out.select("run_id", "y", "final_label", "final_confidence", F.get(top, F.lit(0))["feature"].alias("top_feature")))
+    """Held-out rows by a meta model that saw none of them, each with its own strongest meta features."""
+    train, _, test = _meta_split(_oof(t))
+    out = training.train_meta(train).predict(test, ("run_id", "y"))
+    top = F.transform("top_features", lambda e: e["column"])
+    return rounded(out.select("run_id", "y", "final_label", "final_confidence", F.concat_ws("|", top).alias("top_features")))
+
+
+def _conformal_rows(t):
+    train, calibration, test = _meta_split(_oof(t))
+    meta = training.train_meta(train)
+    seen = meta.predict(calibration, ("run_id", "y")).select(F.col("y").alias("y_true"), F.col("stacked").alias("p"))
+    cal = conformal.calibrate(conformal.scores(cut_lineage(seen)), (0.1,))
+    stacked = meta.predict(test, ("run_id", "y"))
+    pred = conformal.predict(stacked.withColumn("p", F.col("stacked")), conformal.quantile_of(cal))
+    labels = policies.with_labels(test.select("run_id", "flat", "cascade")).select("run_id", "flat_label", "cascade_label")
+    path = F.when(F.col("is_abstained"), "conformal_abstained").otherwise("stacking")
+    return pred.join(labels, "run_id").withColumn("resolution_path", path)
 
 
 @query("stacking_conformal_rows", "K4 U7")
 def _(t):
-    oof = _oof(t)
-    cal = conformal.calibrate(conformal.scores(cut_lineage(training.meta_oof(oof, k=3, iterations=20).withColumnRenamed("y", "y_true"))), (0.1,))
-    stacked = training.train_meta(oof, k=3, iterations=20).predict(oof, ("run_id", "y"))
-    pred = conformal.predict(stacked.withColumn("p", F.col("stacked")), conformal.quantile_of(cal))
-    labels = policies.with_labels(oof.select("run_id", "flat", "cascade")).select("run_id", "flat_label", "cascade_label")
-    path = F.when(F.col("is_abstained"), "conformal_abstained").otherwise("stacking")
-    out = pred.join(labels, "run_id").withColumn("resolution_path", path)
+    """Meta model, conformal quantile and judged rows come from three disjoint parts."""
+    out = _conformal_rows(t)
     return rounded(out.select("run_id", "y", "final_label", "final_confidence", "flat_label", "cascade_label", "resolution_path", "set_size", F.concat_ws("|", "prediction_set").alias("prediction_set")))
 
 
+@query("stacking_conformal_checks", "K2 K4 U7", with_ctes([], """
+    SELECT sum(n // 5)::BIGINT AS n_rows, sum(n // 5)::BIGINT AS n_keys, 0::BIGINT AS n_empty_sets, 0::BIGINT AS n_without_point, 0::BIGINT AS n_wrong_path, true AS covers FROM by_class""", [_BY_CLASS]))
+def _(t):
+    """Held-out rows once each, sets that hold their point prediction, paths that follow the sets, coverage not far below its target."""
+    out = _conformal_rows(t)
+    hit = F.array_contains("prediction_set", F.col("y")).cast("double")
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run_id").alias("n_keys"), F.count_if(F.size("prediction_set") == 0).alias("n_empty_sets"),
+        F.count_if(~F.array_contains("prediction_set", F.col("point_prediction"))).alias("n_without_point"),
+        F.count_if((F.size("prediction_set") > 1) != (F.col("resolution_path") == "conformal_abstained")).alias("n_wrong_path"),
+        (F.avg(hit) >= 0.75).alias("covers"),
+    )
+
+
 @query("stacking_without_arbitrator", "M11 K2")
 def _(t):
     oof = _oof(t)
     rows = []
     for name, drop in (("all", ()), ("no_arbitrator", META_FEATURES[-8:])):
-        rows.append((name, training.train_meta(oof, k=3, drop=drop, iterations=20).cv_macro_f1))
+        rows.append((name, training.train_meta(oof, drop=drop).cv_macro_f1))
     return rounded(t.spark.createDataFrame(rows, "variant string, cv_macro_f1 double"))
 
 
+def _ablation_rows(t):
+    """(train, test, variants) over whole entries: base, integrity and prototype blocks; medians and prototypes from the training rows."""
+    runs = grouped.group_key(D.runs_small(t)).where("primary_label is not null").select("run_id", "entry_id", F.col("primary_label").alias("y"))
+    full = curves.full_features(cut_lineage(D.history(t)))
+    proxies = [c for c in curves.PROXY_FEATURES if c not in curves.BASE_FEATURES]
+    columns = [*curves.BASE_FEATURES, *proxies]
+    folded = cut_lineage(group_folds(cut_lineage(full.select("run_id", *columns).join(runs, "run_id")), "entry_id", "y"))
+    train = folded.where("fold <> 0")
+    filled = cut_lineage(cleaning.impute_medians(folded, columns, cleaning.column_medians(train, columns)))
+    x = filled.select("run_id", "y", "fold", F.array(*curves.BASE_FEATURES).alias("x"))
+    near = prototypes.prototype_distances(x, prototypes.prototype_bank(x.where("fold <> 0").select("run_id", "y", "x")))
+    blocks = [c for c in near.columns if c.startswith("proto_")]
+    rows = cut_lineage(filled.join(near, "run_id").select("run_id", "entry_id", "y", "fold", F.array(*columns, *[F.coalesce(c, F.lit(0.0)) for c in blocks]).alias("x")))
+    base, integrity = list(range(len(curves.BASE_FEATURES))), list(range(len(curves.BASE_FEATURES), len(columns)))
+    proto = list(range(len(columns), len(columns) + len(blocks)))
+    variants = {"base": base, "base+integrity": base + integrity, "base+prototypes": base + proto, "all": base + integrity + proto}
+    return rows.where("fold <> 0"), rows.where("fold = 0"), variants
+
+
 @query("feature_ablation", "M11 P5")
 def _(t):
-    train, test = (cut_lineage(p) for p in holdout(_x(t), "y"))
-    reps = training.ablation(train, test, {"base": list(range(20)), "block": list(range(20, 26)), "both": list(range(26))}, kind="entropy_tree", depth=5)
-    v = training.ablation_verdict(cut_lineage(reps), "base", "both")
-    return rounded(reps.select("variant", "n_features", "n_samples", "accuracy", "macro_f1").withColumn("verdict", v.select("verdict").scalar()))
+    """The same trainer on the real blocks, judged on entries that it never saw."""
+    train, test, variants = _ablation_rows(t)
+    reps = cut_lineage(training.ablation(train, test, variants, kind="entropy_tree"))
+    out = reps.select("variant", "n_features", "n_samples", "accuracy", "macro_f1", "leakage_f1")
+    verdicts = [F.when(F.col("variant") == v, training.ablation_verdict(reps, "base", v).select("verdict").scalar()) for v in variants if v != "base"]
+    return rounded(out.withColumn("verdict", F.coalesce(*verdicts)))
+
+
+@query("ablation_holdout_checks", "M11 M12 J5", with_ctes(["runs_small"], """
+    SELECT count(*) AS n_rows, 0::BIGINT AS n_leaked_entries, 4::BIGINT AS n_variants, 73::BIGINT AS n_features FROM
+      (SELECT DISTINCT run_id FROM runs_small WHERE primary_label IS NOT NULL)"""))
+def _(t):
+    train, test, variants = _ablation_rows(t)
+    both = train.select("entry_id").intersect(test.select("entry_id")).agg(F.count(F.lit(1))).scalar()
+    return train.unionByName(test).agg(
+        F.count(F.lit(1)).alias("n_rows"), both.alias("n_leaked_entries"), F.lit(len(variants)).cast("long").alias("n_variants"),
+        F.max(F.size("x")).cast("long").alias("n_features"),
+    )
 
 
 @query("grouped_baseline", "M12")
 def _(t):
+    """One row per entry; held-out entries over full and their slices."""
     runs = D.runs_small(t)
-    f = curves.curve_features(D.history(t)).select("run_id", "val_loss_final", "val_acc_max", "loss_mean_gap", "train_acc_slope")
-    keyed = grouped.group_key(runs)
-    g = grouped.group_aggregates(f.join(keyed.select("run_id", "entry_id"), "run_id"), f.columns[1:])
-    cols = [c for c in g.columns if c not in ("entry_id", "n_runs")]
-    table = g.join(grouped.group_labels(keyed), "entry_id").where("group_label is not null")
-    x = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
-    rows = cut_lineage(table.select(F.col("entry_id").alias("run_id"), F.col("group_label").alias("y"), x.alias("x")))
-    model = zoo.fit(rows, CLASSES, kind="entropy_tree")
-    return rounded(_report(model, rows, "grouped_entropy_tree"))
+    columns = ["val_loss_final", "val_acc_max", "loss_mean_gap", "train_acc_slope"]
+    f = cut_lineage(curves.curve_features(D.history(t)).select("run_id", *columns))
+    table = grouped.grouped_table(f, runs, partition_runs(runs), columns).where("group_label is not null")
+    numbers = [c for c, kind in table.dtypes if kind == "double"]
+    rows = cut_lineage(table.select(F.col("entry_id").alias("run_id"), F.col("group_label").alias("y"), "slice", *numbers))
+    train, test = (cut_lineage(p) for p in holdout(rows, "y"))
+    medians = cleaning.column_medians(train, numbers)
+    train, test = (cut_lineage(cleaning.impute_medians(p, numbers, medians).withColumn("x", F.array(*numbers)).select("run_id", "y", "slice", "x")) for p in (train, test))
+    model = zoo.fit(train, CLASSES, kind="entropy_tree")
+    seen = model.predict(test).withColumn("model", F.lit("grouped_entropy_tree"))
+    return rounded(training.slice_reports(seen))
 
 
 @query("fleet_diagnosis", "X16")
