@@ -188,3 +188,15 @@ def assemble(base: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     for b in blocks:
         out = out.join(b, "run_id", "left")
     return out
+
+
+VARIANTS = ("base", "prototypes", "base+prototypes")
+
+
+def matrix(base: DataFrame, blocks: list[DataFrame], variant: str, keep: tuple[str, ...] = ("run_id", "primary_label")) -> DataFrame:
+    """One of the three feature matrices over the rows of ``base``: its own columns, the blocks' columns, or both."""
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}")
+    if variant == "base":
+        return base
+    return assemble(base.select(*keep) if variant == "prototypes" else base, blocks)
