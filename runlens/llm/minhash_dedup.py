@@ -176,7 +176,9 @@ def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
 
     marked = docs.select(place.alias("place"), F.col("doc_id").isNull().alias("nameless"), "text")
     found = map_arrow(marked, run, "id long, items binary").join(ids.select("id"), "id", "left_semi")
-    return stored(found.groupBy("id").agg(F.first("items").alias("items")))
+    out = stored(found.groupBy("id").agg(F.first("items").alias("items")))
+    shared.destroy()  # the sets are written, and every round brings a bitmap of its own
+    return out
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup) -> DataFrame:
