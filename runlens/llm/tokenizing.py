@@ -7,6 +7,7 @@ time. Forgetting pieces does not change results.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import filterfalse
@@ -16,11 +17,12 @@ from tokenizers import Tokenizer
 
 #: New pieces are joined to texts of so many.
 GROUP = 2_000
-#: Pieces remembered by a worker: of the byte vocabulary, and of the word vocabulary, whose pieces are whole words.
-SPACE_LIMIT, WORD_LIMIT = 800_000, 600_000
+#: Pieces remembered by a worker.
+LIMIT = 800_000
 
 
 def load(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
     t = Tokenizer.from_file(path)
     if t.get_vocab_size() > 65_536:
         raise ValueError("ids do not fit in two bytes")
@@ -68,7 +70,7 @@ class SpacePieces:
     over it. A text with another kind of cut (two blanks in a row, a blank after a line end) is encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = SPACE_LIMIT):
+    def __init__(self, path: str, limit: int = LIMIT):
         self.tokenizer = load(path)
         self.inner, self.alone, self.special = Recent(limit), Recent(limit // 4), special_strings(self.tokenizer)
         # One character of a byte-level token's name stands for one byte.
@@ -121,7 +123,7 @@ class SpacePieces:
 class WordPieces:
     """Vocabularies that drop white space and mark the last token of each word: texts are cut at ASCII white space."""
 
-    def __init__(self, path: str, suffix: str = "</w>", limit: int = WORD_LIMIT):
+    def __init__(self, path: str, suffix: str = "</w>", limit: int = LIMIT):
         self.tokenizer, self.seen = load(path), Recent(limit)
         self.special = [x.encode() for x in special_strings(self.tokenizer)]
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
