@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from runlens.plans.oracle import CURVES, curve_cte, r, rcols, with_ctes
 from runlens.plans.registry import query, rounded
-from runlens.session import cut_lineage
+from runlens.session import cut_lineage, new_table_path
 from runlens.sources import driver_tables as D
-from runlens.sources import manifests, run_files, trackers
+from runlens.sources import manifest_stream, manifests, run_files, trackers
 
 
 def manifest_documents(t):
@@ -56,6 +56,27 @@ def _(t):
     return manifests.parse_manifests(manifest_documents(t)).withColumn("n_faults", F.col("n_faults").cast("long"))
 
 
+@query("large_manifest_runs", "S1", with_ctes(["runs_bulk"], """
+    SELECT 'big, ' || (ord % 8) AS corpus, run_id AS run_key, 'e"' || ord || '"],' AS entry_id, primary_label, severity, (ord % 3)::BIGINT AS n_faults, ord % 3 > 1 AS is_multi_label FROM runs_bulk"""))
+def _(t):
+    """All runs in eight manifests, each one JSON array in one file, cut into entries by brackets and quotes."""
+    k = F.col("ord")
+    faults = F.slice(F.array(F.lit("a, }"), F.lit('b"]')), F.lit(1), (k % 3).cast("int"))
+    entry = F.to_json(F.struct(
+        F.concat(F.lit('e"'), k.cast("string"), F.lit('"],')).alias("entry_id"), F.array("run_id").alias("run_ids"), "primary_label", "severity", faults.alias("fault_plan"),
+    ))
+    entries = D.runs_bulk(t).select((k % 8).alias("bucket"), F.lit(1).alias("part"), F.concat(F.lit(","), entry).alias("value"))
+    ends = t.spark.range(8).select(F.col("id").alias("bucket"), F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"name": "big, '), F.col("id").cast("string"), F.lit('", "entries": [{"entry_id": "none", "run_ids": []}')).alias("value")),
+        F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")),
+    )).alias("e")).select("bucket", "e.*")
+    path = new_table_path(t.spark)
+    rows = entries.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "part")
+    rows.select("bucket", "value").write.partitionBy("bucket").text(path)
+    found = manifest_stream.parse_elements(manifest_stream.elements(t.spark, path, "*.txt"))
+    return found.select("corpus", "run_key", "entry_id", "primary_label", "severity", F.col("n_faults").cast("long").alias("n_faults"), "is_multi_label")
+
+
 @query("manifest_errors", "S1", with_ctes(["runs_bulk"], """
     SELECT '/corpus/' || ord AS corpus_path, CASE ord % 4 WHEN 0 THEN 'manifest has neither runs nor entries'
       WHEN 1 THEN 'runs must be a non-empty list' WHEN 2 THEN 'manifest is not a JSON object' ELSE 'unsupported run entry' END AS error

@@ -15,8 +15,8 @@ DOCUMENT = (
 def read_documents(spark: SparkSession, paths: str, filename: str = "corpus.manifest.json") -> DataFrame:
     """(corpus_path, content) of every manifest file below ``paths``."""
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", filename)
-        .text(paths)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", filename)
+        .text(paths, wholetext=True)
     )
     return raw.select(parent_of(F.col("_metadata.file_path")).alias("corpus_path"), F.col("value").alias("content"))
 

@@ -29,8 +29,8 @@ STATUSES = ("running", "completed", "failed", "crashed", "interrupted")
 def read_meta(spark: SparkSession, root: str) -> DataFrame:
     """(run_dir, content) of every meta.json below ``root``."""
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json")
-        .text(root)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json")
+        .text(root, wholetext=True)
     )
     return raw.select(parent_of(F.col("_metadata.file_path")).alias("run_dir"), F.col("value").alias("content"))
 
