@@ -17,7 +17,7 @@ FAST = (
     "coverage_gaps", "group_majority", "group_stability", "prototype_distances", "cascade_diagnoses", "policy_dispatch", "arbitrated_resolution",
     "meta_features", "conformal_sets", "report_bulk", "calibration_errors_bulk", "stage_reports", "attribution_summary",
     "stage1_threshold_sweep", "evidence", "recommended_actions", "validated_parameters", "patch_outcomes", "narrative_en",
-    "report_contract", "live_ingest", "live_lifecycle",
+    "report_contract", "live_ingest", "live_lifecycle", "isotonic_curves", "patch_meta_delta", "evidence_features", "conformal_alpha_sweep",
 )
 
 
