@@ -1,10 +1,10 @@
 """Secret scans: three fixed patterns, and values in a credential context judged by how many guesses they would take.
 
 The guess cost of a value is the cheapest way to build it from segments: words (by rank), dates, repeats, keyboard walks and
-brute force, found by dynamic programming over its positions; costs are log10 of guesses and add up, with a charge for each
-segment. A value after words like "pwd:" or "passphrase is" counts as secret from ``least_cost`` on, so placeholders and
-ordinary words ("password is required") are left alone. Where a fixed pattern matches only part of such a value, the whole of
-it is a secret too, whatever its cost, and has a span beside the pattern's.
+brute force, found by dynamic programming over its positions (``guess_cost.py``). A value after words like "pwd:" or "passphrase
+is" counts as secret from ``least_cost`` on, so placeholders and ordinary words ("password is required") are left alone. Where a
+fixed pattern matches only part of such a value, the whole of it is a secret too, whatever its cost, and has a span beside the
+pattern's.
 
 Texts are scanned as UTF-8 bytes after a search for the literal words that every match must hold; places are given in code points.
 
@@ -19,13 +19,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import as_bytes, map_arrow, sql_schema
+from runlens.llm.guess_cost import guess_cost as guess_cost_of
 
 # Fixed patterns of the contract.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -42,10 +42,6 @@ CONTEXT = re.compile(
 )
 CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"key")
 
-KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-LEET = str.maketrans("@4310$5!7", "aaeiossit")
-
 
 @dataclass(frozen=True)
 class Scanner:
@@ -54,7 +50,6 @@ class Scanner:
     least_cost: float = 9.0
     #: Charge for each further segment.
     segment_cost: float = 0.7
-    longest_word: int = 24
 
 
 @lru_cache(maxsize=4)
@@ -70,75 +65,8 @@ def word_ranks(path: str | None) -> dict[str, int]:
     return ranks
 
 
-def _neighbours() -> set[tuple[str, str]]:
-    pairs = set()
-    for r, row in enumerate(KEY_ROWS):
-        for c, key in enumerate(row):
-            for rr, cc in ((r, c + 1), (r + 1, c), (r + 1, c - 1)):
-                if rr < len(KEY_ROWS) and 0 <= cc < len(KEY_ROWS[rr]):
-                    other = KEY_ROWS[rr][cc]
-                    pairs |= {(key, other), (other, key)}
-    return pairs
-
-
-NEAR = _neighbours()
-
-
-def _is_step(a: str, b: str) -> bool:
-    return (a, b) in NEAR or abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()
-
-
-def character_cost(c: str) -> float:
-    return 1.0 if c.isdigit() else log10(26) if c.isalpha() and c.isascii() else log10(33)
-
-
 def guess_cost(value: str, s: Scanner) -> float:
-    """log10 of the guesses of the cheapest segmentation; time grows in proportion to the value's length."""
-    ranks, low, n = word_ranks(s.words), value.lower(), len(value)
-    plain = low.translate(LEET)
-    best = [0.0] + [float("inf")] * n
-    # Runs of equal characters and of keyboard or alphabet steps, each as far as it goes from its place.
-    same, walk = [1] * (n + 1), [1] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        same[i] = same[i + 1] + 1 if low[i] == low[i + 1] else 1
-        walk[i] = walk[i + 1] + 1 if _is_step(low[i], low[i + 1]) else 1
-    brute = [0.0] + [float("inf")] * n  # best cost where a brute-force span reaches so far
-    for i in range(n):
-        here = best[i]
-        charge = here + (s.segment_cost if i else 0.0)
-
-        def offer(end: int, cost: float) -> None:
-            if charge + cost < best[end]:
-                best[end] = charge + cost
-
-        for end in range(i + 3, min(n, i + s.longest_word) + 1):
-            rank = ranks.get(low[i:end])
-            if rank is None:
-                rank = ranks.get(plain[i:end])
-                extra = 0.6
-            else:
-                extra = 0.0 if value[i:end] in (low[i:end], value[i:end].capitalize()) else 0.4
-            if rank is not None:
-                offer(end, log10(rank) + extra)
-        if low[i].isdigit() and (m := DATE.match(value, i)):
-            offer(m.end(), log10(366 * 120) if m.end() - i > 4 else log10(120))
-        if same[i] >= 3:
-            offer(i + same[i], character_cost(value[i]) + log10(same[i]))
-        if walk[i] >= 3:
-            offer(i + walk[i], log10(47) + log10(walk[i]) + 0.3)
-        for unit in range(2, min(8, (n - i) // 2) + 1):
-            times = 1
-            while low.startswith(low[i : i + unit], i + unit * times):
-                times += 1
-                if times > 64:
-                    break
-            if times > 1:
-                offer(i + unit * times, sum(map(character_cost, value[i : i + unit])) + log10(times))
-        start = charge if i else 0.0
-        brute[i + 1] = min(start, brute[i] if i else start) + character_cost(value[i])
-        if brute[i + 1] < best[i + 1]:
-            best[i + 1] = brute[i + 1]
-    return best[n]
+    return guess_cost_of(value, word_ranks(s.words), s.segment_cost)
 
 
 def spans_of(data: bytes, s: Scanner) -> list[tuple[str, int, int, int, int, float]]:

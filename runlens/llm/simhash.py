@@ -4,9 +4,11 @@ The terms of a text are its lower-cased word pairs (its only word, if it has one
 Each term's 128 hash bits vote with its weight, and the sign of each sum is a bit of the fingerprint. Two fingerprints that differ
 in h of b bits have an angle of about pi * h / b, whose cosine is the likeness (not below 0).
 
-Search: equal fingerprints are one class with a count, whatever the number of copies. At a radius that holds near copies (a quarter of the
-bits) two fingerprints need not agree in any block, so tables led by blocks would lose pairs or meet nearly all. Instead each block of
-classes, of a bounded size, stays in a task while the blocks of queries pass by, and every pair's bits are counted: 128-bit words, no text.
+Search: equal fingerprints are one class with a count, whatever the number of copies. Eight tables hold every class, each led by
+another 16-bit block. Of two fingerprints within the radius r, some block t differs in no more than radii[t] bits, where the numbers
+radii[t] + 1 add up to r + 1. A query therefore takes from table t the classes under all keys so close to its own block, and a pair is
+counted bit by bit, in the first table that brings it together. Tables are cut by leading bits of their block into cells of a bounded
+size, a crowded cell further by a hash; only queries are copied to cells, classes never.
 The pairs (query, class) come out as one list of classes for each query; the members of a class are the rows with its fingerprint.
 
 Documents are compared with their successor by id. Ids are cut into ranges; the first document of each range is also given to the range
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -32,6 +35,8 @@ from runlens.llm.common import WordHashes, batch, map_arrow, mix64, shingles, st
 
 LANES = 2
 BITS = 64 * LANES
+BLOCK = 16
+TABLES = BITS // BLOCK
 
 
 #: A cosine of 0.8 is 26 bits in the mean; the others allow for the deviation of 4.5 bits (README: recall).
@@ -43,7 +48,7 @@ class Search:
     radius: int = 3
     #: Rows whose id is divisible by this are the queries.
     every: int = 50
-    #: About so many classes and queries are in a block.
+    #: About so many classes are in a cell of a table, and queries in a part of those that visit it.
     classes: int = 65_536
     queries: int = 4_096
 
@@ -133,22 +138,48 @@ def compare_successors(docs: DataFrame) -> DataFrame:
     )
 
 
-def words_of(cells: pa.Array) -> np.ndarray:
-    """Binary fingerprints as rows of 64-bit words."""
-    return np.frombuffer(b"".join(cells.to_pylist()), np.uint64).reshape(-1, LANES)
+def block_radii(radius: int) -> list[int]:
+    """Bits in which a block may differ; -1: its table is not needed."""
+    return [(radius + 1 + TABLES - 1 - t) // TABLES - 1 for t in range(TABLES)]
 
 
-def close_pairs(asked: np.ndarray, classes: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(place in asked, places in classes within the radius), for those that have any."""
-    step = max(1, 2**17 // max(1, len(classes)))
-    for at in range(0, len(asked), step):
-        q = asked[at : at + step]
-        bits = sum(np.bitwise_count(q[:, None, k] ^ classes[None, :, k]) for k in range(LANES))
-        which, met = np.nonzero(bits <= radius)
-        cuts = np.flatnonzero(np.diff(which)) + 1
-        for places, found in zip(np.split(which, cuts), np.split(met, cuts)):
-            if len(found):
-                yield at + int(places[0]), found
+@lru_cache(maxsize=32)
+def masks(bits: int, radius: int) -> np.ndarray:
+    """All numbers of so many bits with at most ``radius`` of them set."""
+    every = np.arange(2**bits, dtype=np.int64)
+    return every[np.bitwise_count(every) <= radius] if radius >= 0 else every[:0]
+
+
+def blocks_of(cells: pa.Array) -> np.ndarray:
+    """Binary fingerprints as rows of 16-bit blocks."""
+    return np.frombuffer(b"".join(cells.to_pylist()), ">u2").astype(np.uint16).reshape(-1, TABLES)
+
+
+class Cell:
+    """Classes of one cell of a table, in the order of the block that leads it."""
+
+    def __init__(self, table: int, high: int, high_bits: int, blocks: np.ndarray, copies: np.ndarray):
+        order = np.argsort(blocks[:, table], kind="stable")
+        self.table, self.blocks, self.copies = table, blocks[order], copies[order]
+        self.low_bits = BLOCK - high_bits
+        self.high = high
+        low = self.blocks[:, table].astype(np.int64) & (2**self.low_bits - 1)
+        self.starts = np.searchsorted(low, np.arange(2**self.low_bits + 1))
+
+    def near(self, query: np.ndarray, radius: int, radii: np.ndarray) -> np.ndarray:
+        """Places of the classes within the radius that no earlier table brings together with the query."""
+        own = int(query[self.table])
+        spent = ((own >> self.low_bits) ^ self.high).bit_count()
+        keys = masks(self.low_bits, int(radii[self.table]) - spent) ^ (own & (2**self.low_bits - 1))
+        first, n = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
+        held = n > 0
+        first, n = first[held], n[held]
+        # The places first[k] .. first[k] + n[k] - 1, one after another.
+        places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        bits = np.bitwise_count(self.blocks[places] ^ query)
+        within = bits.sum(axis=1, dtype=np.int64) <= radius
+        places, bits = places[within], bits[within]
+        return places[np.argmax(bits <= radii, axis=1) == self.table]
 
 
 def within_radius(prints: DataFrame, wanted: DataFrame, s: Search = Search()) -> DataFrame:
@@ -156,36 +187,57 @@ def within_radius(prints: DataFrame, wanted: DataFrame, s: Search = Search()) ->
     and the fingerprints of their classes, sorted."""
     counted = stored(prints.groupBy("fingerprint").agg(F.count("*").alias("copies")))
     asked = stored(wanted.select("fingerprint").distinct())
-    least = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    n, m = max(least, -(-counted.count() // s.classes)), max(8, -(-asked.count() // s.queries))
+    radii = block_radii(s.radius)
+    n_classes = counted.count()
+    high_bits = min(BLOCK, max(0, -(-n_classes // s.classes) - 1).bit_length())
+    n = max(TABLES, TABLES * -(-n_classes // s.classes))
+    parts = max(1, -(-asked.count() // s.queries))
+
+    def leading(table):
+        key = F.conv(F.substring("fingerprint", table * (BLOCK // 4) + 1, F.lit(BLOCK // 4)), 16, 10).cast("int")
+        return F.shiftright(key, BLOCK - high_bits)
+
+    used = F.array(*[F.lit(t) for t in range(TABLES) if radii[t] >= 0])
+    tabled = counted.withColumn("table", F.explode(used)).withColumn("high", leading(F.col("table")))
+    # One row for each cell of a table: TABLES * 2^16 rows at most.
+    pieces = F.broadcast(tabled.groupBy("table", "high").agg(F.ceil(F.count("*") / s.classes).alias("pieces")))
     own = F.unhex("fingerprint").alias("own")
-    # A block of classes comes before the blocks of queries that are held against it.
-    classes = counted.groupBy(F.pmod(F.xxhash64("fingerprint"), F.lit(n)).alias("block")).agg(
-        F.collect_list(F.struct(own, "copies")).alias("members")
-    ).select("block", F.lit(0).alias("part"), "members")
-    parts = asked.groupBy(F.pmod(F.xxhash64("fingerprint"), F.lit(m)).alias("part")).agg(
-        F.collect_list(F.struct(own, F.lit(0).cast("long").alias("copies"))).alias("members")
+    cell = ("table", "high", "piece")
+    classes = (
+        tabled.join(pieces, ["table", "high"]).withColumn("piece", F.pmod(F.xxhash64("fingerprint"), "pieces"))
+        .groupBy(*cell).agg(F.collect_list(F.struct(own, "copies")).alias("members")).select(*cell, F.lit(0).alias("part"), "members")
     )
-    everywhere = parts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), (F.col("part") + 1).cast("int").alias("part"), "members")
-    cells = classes.unionByName(everywhere).repartition(n, "block").sortWithinPartitions("block", "part")
+    near_cells = F.array(*[
+        F.struct(F.lit(t).alias("table"), F.array(*[F.lit(int(m)) for m in masks(high_bits, min(high_bits, radii[t]))]).alias("changes"))
+        for t in range(TABLES) if radii[t] >= 0
+    ])
+    visits = (
+        asked.withColumn("c", F.explode(near_cells)).select("fingerprint", "c.table", F.explode("c.changes").alias("change"))
+        .withColumn("high", leading(F.col("table")).bitwiseXOR(F.col("change"))).join(pieces, ["table", "high"])
+        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        .groupBy(*cell, (F.pmod(F.xxhash64("fingerprint"), F.lit(parts)) + 1).cast("int").alias("part"))
+        .agg(F.collect_list(F.struct(own, F.lit(0).cast("long").alias("copies"))).alias("members"))
+    )
+    cells = classes.unionByName(visits).repartition(n, *cell).sortWithinPartitions(*cell, "part")
     types = {"fingerprint": pa.string(), "n": pa.int64(), "found": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, there, copies = None, np.empty((0, LANES), np.uint64), np.empty(0, np.int64)
+        there, limits = None, np.array(radii)
         for rows in batches:
             for i in range(rows.num_rows):
-                where, members = rows.column(0)[i].as_py(), rows.column(2)[i].values
-                bits = words_of(members.field(0))
-                if rows.column(1)[i].as_py() == 0:
-                    block, there, copies = where, bits, members.field(1).to_numpy()
-                    continue
-                if where != block:  # no class fell into this block
+                table, high, _, part = (rows.column(k)[i].as_py() for k in range(4))
+                members = rows.column(4)[i].values
+                blocks = blocks_of(members.field(0))
+                if part == 0:  # the classes of a cell come before its queries
+                    there = Cell(table, high, high_bits, blocks, members.field(1).to_numpy())
                     continue
                 out: dict[str, list] = {k: [] for k in types}
-                for q, found in close_pairs(bits, there, s.radius):
-                    out["fingerprint"].append(bits[q].tobytes().hex())
-                    out["n"].append(int(copies[found].sum()))
-                    out["found"].append([x.tobytes().hex() for x in there[found]])
+                for q in blocks:
+                    found = there.near(q, s.radius, limits)
+                    if len(found):
+                        out["fingerprint"].append(q.astype(">u2").tobytes().hex())
+                        out["n"].append(int(there.copies[found].sum()))
+                        out["found"].append([x.astype(">u2").tobytes().hex() for x in there.blocks[found]])
                 yield batch(out, types)
 
     near = map_arrow(cells, run, "fingerprint string, n long, found array<string>")

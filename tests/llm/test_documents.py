@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from runlens.llm import components, minhash_dedup, quality_rules, queries, range_sharding, secret_scan, simhash
+from runlens.llm import components, guess_cost, minhash_dedup, quality_rules, queries, range_sharding, secret_scan, simhash
 from runlens.llm.common import WordHashes
 from .conftest import prose
 
@@ -219,6 +219,13 @@ def test_near_copies_are_found(spark, tmp_path):
         assert set(twins[d]) <= {x for x in got if got[x]["fingerprint"] in r["within"]}
 
 
+def test_block_radii_reach_the_radius():
+    for radius in (0, 3, 7, 23, 32, 128):
+        radii = simhash.block_radii(radius)
+        assert len(radii) == 8 and sum(r + 1 for r in radii) == radius + 1 and max(radii) - min(radii) <= 1
+    assert [len(simhash.masks(16, r)) for r in (-1, 0, 1, 3)] == [0, 1, 17, 697]
+
+
 def test_search_in_small_blocks(spark):
     rng = random.Random(22)
     base = [rng.getrandbits(128) for _ in range(12)]
@@ -288,27 +295,80 @@ def test_whole_values_are_secret():
     assert [f[0] for f in secret_scan.spans_of(b"password: abcdefgh. And token=" + run + b".", s)] == ["assign", "assign", "hex"]
 
 
-def plain_cost(value, s):
-    """All segmentations of a short value into words and brute force."""
-    ranks = secret_scan.word_ranks(s.words)
-    best = float("inf")
-    for cuts in range(1 << max(len(value) - 1, 0)):
-        at, total, parts = 0, 0.0, []
-        for i in range(1, len(value) + 1):
-            if i == len(value) or cuts >> (i - 1) & 1:
-                parts.append(value[at:i])
-                at = i
-        for p in parts:
-            brute = sum(map(secret_scan.character_cost, p))
-            total += min(brute, np.log10(ranks[p]) if p in ranks and len(p) >= 3 else brute)
-        best = min(best, total + s.segment_cost * (len(parts) - 1))
-    return best
+def plain_repetitions(text):
+    """All maximal stretches with their smallest period, which they hold twice or more."""
+    out = set()
+    for a in range(len(text)):
+        for b in range(a + 2, len(text) + 1):
+            p = next(p for p in range(1, b - a + 1) if all(text[k] == text[k + p] for k in range(a, b - p)))
+            if b - a >= 2 * p and (a == 0 or text[a - 1] != text[a - 1 + p]) and (b == len(text) or text[b] != text[b - p]):
+                out.add((a, b, p))
+    return sorted(out)
+
+
+def plain_cost(value, ranks, charge):
+    """The least over all cuts of a short value, each part costing the least of its five readings."""
+    low, n = value.lower(), len(value)
+
+    def brute(part):
+        return sum(map(guess_cost.character_cost, part))
+
+    def part_cost(a, b):
+        part, costs = value[a:b], [brute(value[a:b])]
+        if len(part) >= 3:
+            costs.append(guess_cost.word_cost(part, ranks))
+            if all(guess_cost.is_step(low[k], low[k + 1]) for k in range(a, b - 1)):
+                costs.append(np.log10(47) + 0.3 + np.log10(b - a))
+        for form in (r"YYYY-?MM-?DD", r"DD-?MM-?YYYY", r"YYYY"):
+            rule = form.replace("-", "[-/.]").replace("YYYY", "(19|20)[0-9]{2}").replace("MM", "(0[1-9]|1[0-2])").replace("DD", "(0[1-9]|[12][0-9]|3[01])")
+            if re.fullmatch(rule, part):
+                costs.append(np.log10(120 * (366 if "MM" in form else 1)))
+        p = next((p for p in range(1, b - a) if (b - a) % p == 0 and low[a : b - p] == low[a + p : b]), None)
+        if p and (p > 1 or b - a >= 3):
+            left = a
+            while left and low[left - 1] == low[left - 1 + p]:
+                left -= 1
+            unit = least(value[left : left + p]) + (np.log10(p) if (a - left) % p else 0)
+            costs.append(min(unit, brute(low[a : a + p])) + np.log10((b - a) // p))
+        return min(costs)
+
+    def least(text):
+        return plain_cost(text, ranks, charge) if text != value else INF
+
+    INF, best = float("inf"), [0.0] + [float("inf")] * n
+    for b in range(1, n + 1):
+        best[b] = min(best[a] + (charge if a else 0) + part_cost(a, b) for a in range(b))
+    return best[n]
 
 
 def test_guess_cost_is_the_least():
+    rng = random.Random(31)
+    ranks = secret_scan.word_ranks(queries.scanner().words)
+    few = {"aba": 3, "bab": 40, "was": 2, "ess": 9, "abab": 11, "qwe": 5000}
+    values = ["treehouz", "zlamp", "kphouse", "mwinterk", "asdfghome", "Was1999", "x0x0x0", "19990101", "0101199", "p@ssP@ss", "aaaaaa", "İab", ""]
+    for letters in ("ab", "aB0", "qwes", "1290", "abs1@q", "19/02"):
+        values += ["".join(rng.choices(letters, k=rng.randint(1, 10))) for _ in range(150)]
+    for value in values:
+        for words in (few, ranks):
+            assert guess_cost.guess_cost(value, words, 0.7) == pytest.approx(plain_cost(value, words, 0.7)), value
+
+
+def test_repetitions_of_values():
+    rng = random.Random(32)
+    for letters in ("a", "ab", "abc"):
+        for _ in range(120):
+            text = "".join(rng.choices(letters, k=rng.randint(0, 24)))
+            assert guess_cost.repetitions(text) == plain_repetitions(text), text
+
+
+def test_long_repeats_are_cheap():
     s = queries.scanner()
-    for value in ("treehouz", "zlamp", "kphouse", "zzq", "mwinterk"):
-        assert secret_scan.guess_cost(value, s) == pytest.approx(plain_cost(value, s))
+    assert secret_scan.guess_cost("x0" * 1000, s) == pytest.approx(guess_cost.character_cost("x") + 1 + 3)
+    assert secret_scan.guess_cost("changeme!" * 20, s) == pytest.approx(secret_scan.guess_cost("changeme!", s) + np.log10(20))
+    assert secret_scan.spans_of(b"passphrase is " + b"winter-" * 20, s) == []
+    assert secret_scan.guess_cost("a" * 50_000, s) < 7
+    mixed = "".join(random.Random(33).choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000))
+    assert 20_000 < secret_scan.guess_cost(mixed, s) <= sum(map(guess_cost.character_cost, mixed))
 
 
 def plain_rules(text):
