@@ -147,7 +147,7 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
             yield closed()
 
     rows, n = with_id_ranges(docs)
-    ordered = rows.repartition(n, "range").sortWithinPartitions("range", "key", F.xxhash64("text")).select("range", "doc_id", "text")
+    ordered = rows.repartitionById(n, "range").sortWithinPartitions("range", "key", F.xxhash64("text")).select("range", "doc_id", "text")
     map_arrow(ordered, run, BLOCK_SQL).write.parquet(path)
 
 
