@@ -93,7 +93,7 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     places = F.when(leads, F.array(own, guard)).otherwise(F.array(own))
     placed = rows.select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.range", "p.guard", "key", "doc_id", "text")
     return (
-        placed.repartition(n, "range").sortWithinPartitions("range", "guard", "key", F.xxhash64("text"))
+        placed.repartitionById(n, "range").sortWithinPartitions("range", "guard", "key", F.xxhash64("text"))
         .select("range", "guard", "doc_id", "text")
     )
 
