@@ -15,8 +15,9 @@ from runlens.session import new_table_path
 
 
 def read_epochs(spark: SparkSession, folder: str, schema, name: str) -> DataFrame:
-    """A folder of Parquet files as a stream of files matching ``name``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """The Parquet table ``name`` of a folder, one file or a folder of files, as a stream."""
+    # As a pattern the path may be either; a plain path has to be a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def ingest(epochs: DataFrame, finished: DataFrame | None = None, delay: str = "1 hour") -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from runlens.operators import linear_stages
 from runlens.operators.curves import CURVES, curve_features
+from runlens.plans import REGISTRY
 from runlens.plans.live_queries import WEIGHTS
+from runlens.sources.driver_tables import Tables
 from runlens.streaming import live
 from runlens.streaming.curve_state import LIVE_FEATURES, CurveSummary, closed_runs
 
@@ -58,6 +60,21 @@ class Folder:
         return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(self.path)
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_scored_runs_from_a_table_of_one_or_many_files(spark, tmp_path, files):
+    rows = [(i, [float((i * 7 + j) % 5 - 2) for j in range(64)], i % 6) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(files)
+    df.write.parquet(str(tmp_path / "many"))
+    if files == 1:
+        next((tmp_path / "many").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    else:
+        (tmp_path / "many").rename(tmp_path / "embeddings.parquet")
+    # Another table of the folder is no part of the stream.
+    df.limit(3).write.parquet(str(tmp_path / "other_embeddings.parquet"))
+    got = REGISTRY["live_scored_diagnoses"].build(Tables(spark, str(tmp_path))).collect()
+    assert sorted(r["run_id"] for r in got) == sorted(f"v{i}" for i in range(30))
+
+
 def row(run, epoch, hour, loss, finish=False):
     return (run, epoch, int(hour * HOUR), finish, loss, loss + 0.5, 0.5, 0.4)
 
