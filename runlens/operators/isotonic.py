@@ -34,10 +34,13 @@ def push(stack: list[tuple], lo: float, hi: float, total: float, weight: float)
 def _pooled(df: DataFrame, part: Column | None) -> DataFrame:
     """Pool each run of equal (key, part) of a frame whose partitions are sorted by (key, x)."""
 
+    # Tasks get a flag: a column can't be sent to them.
+    by_task = part is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = TaskContext.get().partitionId() if part is None else None
+        own = TaskContext.get().partitionId() if by_task else None
         group, stack = None, []
 
         def done() -> pa.RecordBatch:
@@ -47,7 +50,7 @@ def _pooled(df: DataFrame, part: Column | None) -> DataFrame:
         for b in batches:
             key, where, *cells = (b.column(i).to_pylist() for i in range(6))
             for k, w, lo, hi, total, weight in zip(key, where, *cells):
-                now = (k, own if part is None else w)
+                now = (k, own if by_task else w)
                 if now != group:
                     if stack:
                         yield done()

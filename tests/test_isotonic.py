@@ -44,5 +44,24 @@ def test_any_number_of_ranges_gives_the_same_fit(spark, parts):
         assert sizes[k] == len(set(round(v, 12) for v in want.values()))
 
 
+@pytest.mark.parametrize("parts", [3, 12, 70])
+def test_ranges_that_are_not_joined_beforehand(spark, parts):
+    rng = random.Random(parts)
+    rows = [(k, float(rng.randint(0, 40)) / 3, float(rng.random() < 0.3 + 0.001 * i)) for k in range(2) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, x double, y double").repartition(4)
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {(r["key"], r["x"]): r["fitted"] for r in isotonic.fitted_values(df, isotonic.fit_blocks(df)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for k in range(2):
+        for x, value in plain([(x, y) for key, x, y in rows if key == k]).items():
+            assert got[k, x] == pytest.approx(value)
+
+
 def test_no_points(spark):
     assert isotonic.fit_blocks(spark.createDataFrame([], "key long, x double, y double")).count() == 0
