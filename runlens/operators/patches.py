@@ -60,16 +60,18 @@ def meta_delta(cases: DataFrame, meta: DataFrame) -> DataFrame:
 
     ``meta``: run_id, meta_json.
     """
-    keys = F.lit(None).cast("array<string>")
+    # A path that is a literal is parsed once, not for every row.
+    value = lambda c, key: F.get_json_object(c, f"$.{key}")
+    each = F.lit(None).cast("array<struct<key:string,b:string,a:string>>")
     for name, _, meta_keys, _ in ACTIONS:
-        listed = F.array(*map(F.lit, meta_keys)) if meta_keys else F.array().cast("array<string>")
-        keys = F.when(F.col("action") == name, listed).otherwise(keys)
+        listed = [F.struct(F.lit(key).alias("key"), value("mb", key).alias("b"), value("ma", key).alias("a")) for key in meta_keys]
+        each = F.when(F.col("action") == name, F.array(*listed) if listed else F.array().cast("array<struct<key:string,b:string,a:string>>")).otherwise(each)
     j = cases.join(meta.select(F.col("run_id").alias("before"), F.col("meta_json").alias("mb")), "before").join(
         meta.select(F.col("run_id").alias("after"), F.col("meta_json").alias("ma")), "after"
     )
-    each = j.select("case_id", "mb", "ma", F.explode(keys).alias("key"))
-    b, a = (F.expr(f"get_json_object({c}, concat('$.', key))") for c in ("mb", "ma"))
-    return each.select("case_id", "key", b.alias("before_value"), a.alias("after_value"), (~b.eqNullSafe(a)).alias("changed"))
+    rows = j.select("case_id", F.explode(each).alias("e"))
+    b, a = F.col("e.b"), F.col("e.a")
+    return rows.select("case_id", F.col("e.key").alias("key"), b.alias("before_value"), a.alias("after_value"), (~b.eqNullSafe(a)).alias("changed"))
 
 
 def applicability_of(cases: DataFrame, evidence: DataFrame) -> DataFrame:
