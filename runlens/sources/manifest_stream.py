@@ -103,10 +103,11 @@ def elements(spark: SparkSession, paths: str, filename: str = "corpus.manifest.j
     closing = F.when(F.col("section.array") & (after == 1), F.regexp_replace(text, r"\]\s*$", "")).when(
         F.col("section.array") & (after == 0), F.regexp_replace(text, r"\]\s*\}\s*$", "")
     ).when(after == 0, F.regexp_replace(text, r"\}\s*$", "")).otherwise(text)
-    found = put.select(
+    # What reads the elements reads them several times: they are put together once.
+    found = cut_lineage(put.select(
         parent_of(F.col("file")).alias("corpus_path"), F.col("section.name").alias("section"), F.when(F.col("section.array"), F.col("group")).alias("pos"),
         F.regexp_replace(closing, r"^\s+|\s+$", "").alias("element"),
-    ).where("element <> ''")
+    ).where("element <> ''"))
     whole = p.groupBy("file").agg(F.sum("change").alias("left"), F.min_by("piece", place).alias("first"), F.max_by(F.col("depth") + F.col("change"), place).alias("last"))
     broken = whole.where((F.col("left") != 0) | (F.col("last") != 0) | ~F.startswith(F.ltrim("first"), F.lit("{")))
     return found.unionByName(broken.select(

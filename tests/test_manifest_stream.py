@@ -51,3 +51,9 @@ def test_same_rows_at_any_cut(spark, tmp_path, size):
     key = lambda r: tuple(str(x) for x in r)
     assert len(want) > 100 and sorted(got, key=key) == sorted(want, key=key)
     assert [b.rsplit("/", 1)[1] for b in broken] == ["broken"]
+
+
+def test_elements_are_put_together_once(spark, tmp_path):
+    (tmp_path / "corpus.manifest.json").write_text(document(random.Random(1), "entries"), encoding="utf-8")
+    plan = manifest_stream.parse_elements(manifest_stream.elements(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
