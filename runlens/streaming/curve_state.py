@@ -18,17 +18,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens.operators.curves import BASE_FEATURES, CURVES
 from runlens.session import ship_package
 
 #: Everything in the base table that can be kept while a run grows. The two half slopes need its final length.
 LIVE_FEATURES = tuple(f for f in BASE_FEATURES if "_half" not in f)
-CLOSED_SQL = ", ".join(
-    ["run_id string", "opened_us long", "closed_us long", "reason string", *[f"{f} double" for f in LIVE_FEATURES]]
-)
-_STATE = "curve array<double>, last_epoch long, last_us long, us array<bigint>, epochs array<bigint>, cells array<double>, finish array<boolean>"
+CLOSED_SQL = "run_id string, opened_us long, closed_us long, reason string, features array<double>"
+_STATE = "curve array<double>, last_epoch long, last_us long, marks array<bigint>, cells array<double>"
 _NAN = float("nan")
 _PER_CURVE = 13
 _GAPS = (("acc", 2, 3), ("loss", 1, 0))
@@ -125,55 +123,52 @@ class CurveSummary:
         return out
 
 
-class RunCurves(StatefulProcessor):
-    """State machine of one run; emits a row of features whenever a session of the run closes."""
+class RunCurves:
+    """State machine of one run; gives a row of features whenever a session of the run closes.
+
+    Spark hands over rows, states and timers of many runs at a time, so a run costs no calls of its own to the state store.
+    """
 
     def __init__(self, silence_us: int):
         self.silence_us = silence_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("run", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        curve, last_epoch, last_us, waiting = self._load()
-        for pdf in rows:
-            present = pdf[[f"has_{c}" for c in CURVES]].to_numpy()
-            values = pdf[list(CURVES)].to_numpy(dtype=float)
-            for us, epoch, finish, has, v in zip(pdf["us"], pdf["epoch"], pdf["finish"], present, values):
-                waiting.append((int(us), int(epoch), [float(x) if h else None for h, x in zip(has, v)], bool(finish)))
-        closed = self._advance(key[0], curve, last_epoch, last_us, waiting, timerValues.getCurrentWatermarkInMs())
-        yield self._frame(closed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield self._frame(self._advance(key[0], *self._load(), timerValues.getCurrentWatermarkInMs()))
-
-    def close(self) -> None:
-        pass
+    def step(self, key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        curve, last_epoch, last_us, waiting = self._load(state)
+        if not state.hasTimedOut:
+            for pdf in rows:
+                for (us, epoch, flags), v in zip(pdf["marks"], pdf["v"]):
+                    flags = int(flags)
+                    values = [float(x) if flags >> (k + 1) & 1 else None for k, x in enumerate(v)]
+                    waiting.append((int(us), int(epoch), values, bool(flags & 1)))
+        closed = self._advance(key[0], curve, last_epoch, last_us, waiting, state)
+        if closed:
+            yield self._frame(closed)
 
     # -- state --
 
-    def _load(self):
-        if not self.state.exists():
+    @staticmethod
+    def _load(state: GroupState):
+        if not state.exists:
             return CurveSummary(), None, None, []
-        curve, last_epoch, last_us, us, epochs, cells, finish = self.state.get()
-        width = len(CURVES)
-        rows = [
-            # Two cells a curve: whether it is there, and its value.
-            (us[i], epochs[i], [cells[2 * (width * i + k) + 1] if cells[2 * (width * i + k)] else None for k in range(width)], finish[i])
-            for i in range(len(us))
-        ]
+        curve, last_epoch, last_us, marks, cells = state.get
+        width, rows = len(CURVES), []
+        for i in range(len(marks) // 3):
+            us, epoch, flags = marks[3 * i : 3 * i + 3]
+            v = cells[width * i : width * (i + 1)]
+            rows.append((us, epoch, [x if flags >> (k + 1) & 1 else None for k, x in enumerate(v)], bool(flags & 1)))
         return CurveSummary(curve), last_epoch, last_us, rows
 
-    def _save(self, curve: CurveSummary, last_epoch, last_us, waiting) -> None:
-        cells = [float(x) for _, _, v, _ in waiting for value in v for x in (value is not None, _NAN if value is None else value)]
-        self.state.update((
-            curve.cells, last_epoch, last_us, [w[0] for w in waiting], [w[1] for w in waiting], cells, [w[3] for w in waiting],
-        ))
-
-    def _advance(self, run: str, curve: CurveSummary, last_epoch, last_us, waiting: list, watermark_ms: int) -> list[tuple]:
+    @staticmethod
+    def _save(state: GroupState, curve: CurveSummary, last_epoch, last_us, waiting) -> None:
+        marks, cells = [], []
+        for us, epoch, values, finish in waiting:
+            marks += (us, epoch, int(finish) | sum(2 << k for k, v in enumerate(values) if v is not None))
+            cells += (_NAN if v is None else v for v in values)
+        state.update((curve.cells, last_epoch, last_us, marks, cells))
+
+    def _advance(self, run: str, curve: CurveSummary, last_epoch, last_us, waiting: list, state: GroupState) -> list[tuple]:
         """Fold what the watermark has passed, close what is over, and set the next timer."""
+        watermark_ms = state.getCurrentWatermarkMs()
         now = watermark_ms * 1000
         closed = []
 
@@ -195,22 +190,20 @@ class RunCurves(StatefulProcessor):
                 curve = close(us, "finished")
         if last_us is not None and last_us + self.silence_us <= now:
             curve, last_epoch, last_us = close(last_us, "silent"), None, None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         if last_us is None and not waiting:
-            self.state.clear()
+            if state.exists:
+                state.remove()
             return closed
-        self._save(curve, last_epoch, last_us, waiting)
+        self._save(state, curve, last_epoch, last_us, waiting)
         due = [w[0] for w in waiting] + ([last_us + self.silence_us] if last_us is not None else [])
-        self.handle.registerTimer(-(-min(due) // 1000))
+        # A timer goes off when the watermark is above it.
+        state.setTimeoutTimestamp(max(-(-min(due) // 1000) - 1, watermark_ms + 1))
         return closed
 
     @staticmethod
     def _frame(closed: list[tuple]) -> pd.DataFrame:
-        names = ["run_id", "opened_us", "closed_us", "reason", *LIVE_FEATURES]
-        rows = [(*row[:4], *[row[4][f] for f in LIVE_FEATURES]) for row in closed]
-        frame = pd.DataFrame(rows, columns=names)
-        return frame.astype({"run_id": object, "reason": object, "opened_us": "int64", "closed_us": "int64", **{f: float for f in LIVE_FEATURES}})
+        rows = [(*row[:4], [_NAN if row[4][f] is None else float(row[4][f]) for f in LIVE_FEATURES]) for row in closed]
+        return pd.DataFrame(rows, columns=["run_id", "opened_us", "closed_us", "reason", "features"])
 
 
 def closed_runs(epochs: DataFrame, silence_seconds: int = 86_400, delay: str = "1 hour") -> DataFrame:
@@ -219,13 +212,20 @@ def closed_runs(epochs: DataFrame, silence_seconds: int = 86_400, delay: str = "
     epochs (a stream): run_id, epoch, ts TIMESTAMP, finish BOOLEAN and the four curves.
     """
     ship_package(epochs.sparkSession)
+    flags = F.coalesce("finish", F.lit(False)).cast("long")
+    for k, c in enumerate(CURVES):
+        flags = flags + F.col(c).isNotNull().cast("long") * F.lit(2 << k)
+    # Few columns: each costs every run a conversion.
     rows = epochs.where("run_id is not null and epoch is not null and ts is not null").select(
-        "run_id", "ts", F.unix_micros("ts").alias("us"), F.col("epoch").cast("long").alias("epoch"),
-        F.coalesce("finish", F.lit(False)).alias("finish"), *[F.col(c).cast("double").alias(c) for c in CURVES],
-        *[F.col(c).isNotNull().alias(f"has_{c}") for c in CURVES],
-    )
-    closed = rows.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(
-        RunCurves(silence_seconds * 1_000_000), outputStructType=CLOSED_SQL, outputMode="Append", timeMode="EventTime"
+        "run_id", "ts", F.array(F.unix_micros("ts"), F.col("epoch").cast("long"), flags).alias("marks"),
+        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(_NAN)) for c in CURVES]).alias("v"),
     )
-    # pandas has no null number, and a feature is never NaN.
-    return closed.select("run_id", "opened_us", "closed_us", "reason", *[F.nanvl(f, F.lit(None)).alias(f) for f in LIVE_FEATURES])
+    machine = RunCurves(silence_seconds * 1_000_000)
+
+    def step(key, frames, state):
+        yield from machine.step(key, frames, state)
+
+    closed = rows.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(step, CLOSED_SQL, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # A feature is never NaN.
+    each = [F.nanvl(F.get("features", F.lit(i)), F.lit(None)).alias(f) for i, f in enumerate(LIVE_FEATURES)]
+    return closed.select("run_id", "opened_us", "closed_us", "reason", *each)

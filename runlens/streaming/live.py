@@ -162,7 +162,7 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 @contextmanager
 def state_store(spark: SparkSession, rocksdb: bool = True) -> Iterator[None]:
-    """Start queries on Spark's RocksDB state store, which custom processors need; other queries keep the session's."""
+    """Start queries on Spark's RocksDB state store, which holds many runs outside the heap; other queries keep the session's."""
     before = spark.conf.get(_STORE)
     if rocksdb:
         spark.conf.set(_STORE, _ROCKSDB)
@@ -219,7 +219,7 @@ def run_closed(closed: DataFrame, score: Callable[[DataFrame], DataFrame], name:
     """Score and diagnose every run that closes in the available epochs; the diagnoses, and the rows of state left.
 
     closed: ``curve_state.closed_runs`` of a stream; score adds ``stage_probs`` (a loaded cascade, linear stages). The state of
-    custom processors needs Spark's RocksDB store, which is set for this query only.
+    many runs is held by Spark's RocksDB store, which is set for this query only.
     """
     spark = closed.sparkSession
     out, state = new_folder(spark, name), new_folder(spark, f"{name}-state")

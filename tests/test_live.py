@@ -100,6 +100,17 @@ def test_late_and_repeated_epochs_and_state_that_goes(spark, tmp_path):
     assert math.isclose(first["train_loss_slope"], -0.1)
 
 
+def test_a_session_over_at_the_very_watermark_and_states_handed_over_together(spark, tmp_path):
+    files = Folder(spark, tmp_path / "epochs")
+    files.add([row("a", 0, 1.0, 0.9), row("a", 1, 1.0 + 1e-3, 0.8), row("b", 0, 1.0, 0.3)])
+    files.add([row("c", 0, 8.0, 1.0)])
+    stream = closed_runs(files.stream(), 6 * HOUR)
+    # A state is no object with calls of its own for each run.
+    assert "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
+    rows = live.run_append(stream, "edge", rocksdb=True).collect()
+    assert [(r["run_id"], r["n_epochs"], r["reason"]) for r in rows] == [("b", 1.0, "silent")]
+
+
 def test_a_late_run_joins_its_stored_summary(spark, tmp_path):
     rng = random.Random(3)
     rows = [row(run, 10 * day + e, 24 * day + e / 10, rng.random()) for run, days in (("a", (0, 9)), ("b", (1,)), ("c", (9,))) for day in days for e in range(5)]
