@@ -6,6 +6,7 @@ Texts are handled as UTF-8 bytes. ``bytes.split()`` cuts at exactly the ASCII wh
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,9 +25,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], most: int = 1_024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most``, for functions that make Python objects of a batch."""
+    return (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, which the C library otherwise keeps for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow``; workers serve many tasks, so what a task has freed is given back when it ends."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def stored(df: DataFrame) -> DataFrame:

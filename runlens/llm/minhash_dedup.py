@@ -10,6 +10,8 @@
    shingles that only one text of the crowded buckets has are counted: they are in nobody's intersection.
 4. Packed signatures are compared bit by bit. The share of equal minima, corrected for chance collisions of low bits,
    estimates the similarity; pairs five standard deviations under the limit are dropped.
+   Of each set, the parities of its shingles' numbers in ``cells`` hashed cells are kept too. Two sets differ in at least as many
+   shingles as cells, so pairs with too many unlike parities are no links, without exception, and only near links meet their sets.
 5. The rest is confirmed on the full sets, and confirmed links are joined to components.
 
 A link at exactly the limit of 0.8 shares no band with probability 0.59**28 = 4e-7, and is below the estimate's margin with
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, as_bytes, batch, map_arrow, mix64, shingles, signed, stored
+from runlens.llm.common import WordHashes, as_bytes, batch, few_rows, map_arrow, mix64, shingles, signed, stored
 from runlens.llm.components import connected_components
 
 
@@ -44,6 +46,8 @@ class NearDup:
     bits: int = 4
     #: Standard deviations of the estimate below the limit at which a candidate is dropped.
     margin: float = 5.0
+    #: Parities kept of each set, 64 to a long.
+    cells: int = 1024
     seed: int = 11
     #: The bitmap that tells tasks which texts to look at again has 2**filter_bits bits (8 MB).
     filter_bits: int = 26
@@ -96,8 +100,14 @@ def pack(low: np.ndarray, bits: int, longs: int) -> np.ndarray:
     return np.bitwise_or.reduce(padded.reshape(longs, each) << shifts, axis=1)
 
 
+def parities(items: np.ndarray, cells: int) -> np.ndarray:
+    """One bit for each hashed cell: whether an odd number of the items lies in it."""
+    odd = np.bincount((items % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, s: NearDup, key: str | None = None) -> DataFrame:
-    """(doc_id, n_shingles, id, bands, packed, row) for every row; id, a hash of the set, is null for the empty set; row is the ``key``."""
+    """(doc_id, n_shingles, id, bands, packed, parity, row) for every row; id, a hash of the set, is null for the empty set; row is the ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(s.seed)
@@ -105,15 +115,16 @@ def signatures(docs: DataFrame, s: NearDup, key: str | None = None) -> DataFrame
         b = rng.integers(0, 2**64, s.minima, dtype=np.uint64, endpoint=False)
         order = np.arange(s.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         hashes = WordHashes()
-        for rows in batches:
-            counts, ids, keys, packed = [], [], [], []
+        for rows in few_rows(batches):
+            counts, ids, keys, packed, parity = [], [], [], [], []
             for text in as_bytes(rows.column(1)):
                 items = shingle_set(text, s.words, hashes)
                 counts.append(len(items))
                 if not len(items):
-                    ids.append(None), keys.append(None), packed.append(None)
+                    ids.append(None), keys.append(None), packed.append(None), parity.append(None)
                     continue
                 ids.append(set_id(items))
+                parity.append(parities(items, s.cells))
                 least = min_values(items, a, b)
                 key = order.copy()
                 for column in least.reshape(s.bands, s.rows).T:
@@ -122,13 +133,14 @@ def signatures(docs: DataFrame, s: NearDup, key: str | None = None) -> DataFrame
                 packed.append(signed(pack(mix64(least) & np.uint64((1 << s.bits) - 1), s.bits, s.longs)))
             types = {
                 "doc_id": pa.int64(), "n_shingles": pa.int64(), "id": pa.int64(), "bands": pa.list_(pa.int64()), "packed": pa.list_(pa.int64()),
-                "row": pa.int64(),
+                "parity": pa.list_(pa.int64()), "row": pa.int64(),
             }
-            yield batch({"doc_id": rows.column(0), "n_shingles": counts, "id": ids, "bands": keys, "packed": packed, "row": rows.column(2)}, types)
+            values = {"doc_id": rows.column(0), "n_shingles": counts, "id": ids, "bands": keys, "packed": packed, "parity": parity}
+            yield batch(values | {"row": rows.column(2)}, types)
 
     row = (F.lit(None) if key is None else F.col(key)).cast("long").alias("row")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
-    return map_arrow(narrow, run, "doc_id long, n_shingles long, id long, bands array<long>, packed array<long>, row long")
+    return map_arrow(narrow, run, "doc_id long, n_shingles long, id long, bands array<long>, packed array<long>, parity array<long>, row long")
 
 
 def estimate(left: Column, right: Column, s: NearDup) -> Column:
@@ -146,6 +158,12 @@ def estimate(left: Column, right: Column, s: NearDup) -> Column:
     return ((1 - differing / F.lit(float(s.minima))) - chance) / (1 - chance)
 
 
+def _may_be_near(left: Column, right: Column, n: Column, m: Column, s: NearDup) -> Column:
+    """Whether sets of sizes n and m with these parities can be similar enough: they differ wherever parities do."""
+    unlike = sum((F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(s.cells // 64)), F.lit(0))
+    return (100 + s.percent) * unlike <= (100 - s.percent) * (n + m)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
     """(id, items) with the sorted shingles of the classes in ids(id, doc_id), from one of each class's texts; a stored table.
 
@@ -163,7 +181,7 @@ def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for rows in batches:
+        for rows in few_rows(batches):
             at = rows.column(0).to_numpy()
             # Rows without doc_id may belong to any class.
             some = ((shared.value[at >> 6] >> (at & 63)) & 1 == 1) | np.array(rows.column(1).to_pylist(), bool)
@@ -181,21 +199,26 @@ def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
     return out
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup) -> DataFrame:
-    """Those of pairs(a, b) whose full sets are similar enough."""
-    side = classes.select("id", "n_shingles", "packed")
-    both = (
-        pairs.join(side.toDF("a", "n_a", "p_a"), "a").join(side.toDF("b", "n_b", "p_b"), "b")
+def _likely(pairs: DataFrame, classes: DataFrame, s: NearDup) -> DataFrame:
+    """Those of pairs(a, b) that sizes, signatures and parities do not rule out."""
+    side = classes.select("id", "n_shingles", "packed", "parity")
+    return (
+        pairs.join(side.toDF("a", "n_a", "p_a", "x_a"), "a").join(side.toDF("b", "n_b", "p_b", "x_b"), "b")
         .where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
+        .where(_may_be_near(F.col("x_a"), F.col("x_b"), F.col("n_a"), F.col("n_b"), s))
         .where(estimate(F.col("p_a"), F.col("p_b"), s) >= s.least_estimate)
         .select("a", "b")
     )
-    likely = stored(both)
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup) -> DataFrame:
+    """Those of pairs(a, b) whose full sets are similar enough."""
+    likely = stored(_likely(pairs, classes, s))
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = _sets(docs, classes.select("id", "doc_id").join(wanted, "id", "left_semi"), s)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in few_rows(batches):
             keep = []
             for x, y in zip(rows.column(2), rows.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -311,7 +334,7 @@ def near_duplicates(docs: DataFrame, s: NearDup = NearDup(), key: str | None = N
     # All rows of a class have the same bands and signature, so any of them will do.
     classes = stored(
         rows.where("id is not null").groupBy("id").agg(
-            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "packed", "bands")]
+            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "packed", "parity", "bands")]
         )
     )
     buckets = classes.select("id", F.explode("bands").alias("key"))

@@ -447,3 +447,28 @@ def test_overfull_ranges_are_split(frame):
     check_shards(range_sharding.shard(frame(pairs), s).collect(), pairs, 7)
     rows = range_sharding.shard(frame(pairs), s).where("text_crc32 = " + str(zlib.crc32(b"same text"))).select("shard").distinct().count()
     assert rows <= 2  # equal texts lie side by side
+
+
+def test_pairs_under_the_limit_do_not_meet_their_sets(spark):
+    s = minhash_dedup.NearDup()
+    rng = np.random.default_rng(4)
+    sets, pairs = [], []
+    for common in [100] * 40 + [120, 128, 134, 140]:
+        x = rng.integers(0, 2**64, 150, dtype=np.uint64)
+        y = np.concatenate([x[:common], rng.integers(0, 2**64, 150 - common, dtype=np.uint64)])
+        pairs.append((len(sets), len(sets) + 1, common))
+        sets += [np.unique(x), np.unique(y)]
+    # Signatures that rule nothing out.
+    rows = [(i, len(v), [0] * s.longs, minhash_dedup.parities(v, s.cells).tolist()) for i, v in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "id long, n_shingles long, packed array<long>, parity array<long>")
+    got = minhash_dedup._likely(spark.createDataFrame([p[:2] for p in pairs], "a long, b long"), classes, s).collect()
+    # 134 of 166 are more than 0.8; at 100 and 120 of 200 and 180 sets are never made again.
+    assert sorted((r.a, r.b) for r in got) == [p[:2] for p in pairs if p[2] >= 134]
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 3_000):
+        x, y = (np.unique(rng.integers(0, 2 * size, size).astype(np.uint64)) for _ in range(2))
+        unlike = np.bitwise_xor(minhash_dedup.parities(x, 1024), minhash_dedup.parities(y, 1024))
+        assert np.unpackbits(unlike.view(np.uint8)).sum() <= len(np.setxor1d(x, y))

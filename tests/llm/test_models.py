@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.llm import hmm_lm, minhash_dedup, quality_classifier, queries, secret_scan
-from runlens.llm.common import crc_mod
+from runlens.llm.common import crc_mod, give_back
 from .test_documents import lower, plain_components, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -276,3 +277,16 @@ def test_held_out_rule(spark):
 def test_near_dup_defaults():
     s = minhash_dedup.NearDup()
     assert (s.words, s.percent) == (5, 80) and 0.55 < s.least_estimate < 0.65
+
+
+def test_freed_memory_is_given_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    texts = [os.urandom(3_000) for _ in range(40_000)]
+    few = texts[::997]
+    full = held()
+    del texts
+    give_back()
+    assert len(few) and full - held() > 60_000_000
