@@ -264,46 +264,52 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return table, len(rows) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
 
 
-def forward(table: np.ndarray, active: np.ndarray, s: States, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Log likelihood of each row by the scaled recursion; with ``keep`` also the scaled values and the scales."""
-    steps, n = table.shape
-    k = len(s.start)
-    total = np.zeros(n)
+def scaled(seen: np.ndarray, active: np.ndarray, s: States, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scales of the scaled recursion over ``seen``, the emissions of a table's symbols; with ``keep`` also the scaled values."""
+    steps, n, k = seen.shape
+    scales, ones = np.ones((steps, n)), np.ones(k)
     values = np.zeros((steps, n, k)) if keep else None
-    scales = np.ones((steps, n)) if keep else None
-    now = s.start * s.emit[table[0]]
     for t in range(steps):
         a = active[t]
         if t:
-            now = (now[:a] @ s.move) * s.emit[table[t, :a]]
-        c = now.sum(axis=1)
-        now /= c[:, None]
-        total[:a] += np.log(c)
-        if keep:
-            values[t, :a], scales[t, :a] = now, c
-    return total, values, scales
+            now = np.matmul(now[:a], s.move, out=values[t, :a] if keep else None)
+        else:
+            now = values[0] if keep else np.empty((n, k))
+            now[:] = s.start
+        now *= seen[t, :a]
+        now /= np.matmul(now, ones, out=scales[t, :a])[:, None]
+    return scales, values
+
+
+def forward(table: np.ndarray, active: np.ndarray, s: States, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Log likelihood of each row by the scaled recursion; with ``keep`` also the scaled values; and the scales."""
+    scales, values = scaled(np.take(s.emit, table, axis=0), active, s, keep)
+    return np.log(scales).sum(axis=0), values, scales
 
 
 def expected(rows: list[np.ndarray], s: States, counts: States) -> float:
     """Add the expected counts of ``rows`` (longest first) to ``counts``; returns their log likelihood."""
     table, active = padded(rows)
-    total, values, scales = forward(table, active, s, keep=True)
+    seen = np.take(s.emit, table, axis=0)
+    scales, values = scaled(seen, active, s, keep=True)
     steps, n, k = values.shape
-    back = np.ones((n, k))
+    seen /= scales[:, :, None]
+    # Rows that end at the step or before have ones.
+    back, turned = np.ones((n, k)), np.ascontiguousarray(s.move.T)
     for t in range(steps - 2, -1, -1):
         a = active[t + 1]
-        ahead = s.emit[table[t + 1, :a]] * back[:a] / scales[t + 1, :a, None]
+        ahead = seen[t + 1, :a]
+        ahead *= back[:a]
         counts.move += values[t, :a].T @ ahead
         values[t + 1, :a] *= back[:a]
-        back = np.ones((n, k))
-        back[:a] = ahead @ s.move.T
+        np.matmul(ahead, turned, out=back[:a])
     values[0] *= back
     counts.start += values[0].sum(axis=0)
     real = np.arange(n)[None, :] < active[:, None]
     flat, symbols = values[real], table[real]
     for j in range(k):
         counts.emit[:, j] += np.bincount(symbols, flat[:, j], minlength=len(counts.emit))
-    return float(total.sum())
+    return float(np.log(scales).sum())
 
 
 def symbol_rows(column: pa.Array) -> list[np.ndarray]:

@@ -279,6 +279,19 @@ def test_near_dup_defaults():
     assert (s.words, s.percent) == (5, 80) and 0.55 < s.least_estimate < 0.65
 
 
+def test_emissions_are_looked_up_once_for_both_directions(monkeypatch):
+    rng = np.random.default_rng(6)
+    s = hmm_lm.States(np.full(3, 1 / 3), np.full((3, 3), 1 / 3), rng.dirichlet(np.ones(9), 3).T)
+    rows = [rng.integers(0, 9, n) for n in (7, 5, 5, 1)]
+    counts = hmm_lm.States(np.zeros(3), np.zeros((3, 3)), np.zeros((9, 3)))
+    taken, take = [], np.take
+    monkeypatch.setattr(np, "take", lambda a, *x, **y: (taken.append(a is s.emit), take(a, *x, **y))[1])
+    log = hmm_lm.expected(rows, s, counts)
+    assert taken == [True]
+    assert counts.emit.sum() == pytest.approx(18)
+    assert log == pytest.approx(hmm_lm.forward(*hmm_lm.padded(rows), s, keep=False)[0].sum())
+
+
 def test_freed_memory_is_given_back():
     def held():
         with open("/proc/self/statm") as f:
