@@ -8,15 +8,16 @@ time. Forgetting pieces does not change results.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import accumulate, chain, filterfalse, islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: New pieces are joined to texts of so many.
-GROUP = 2_000
+#: New pieces are joined to texts of so many; the library takes longer for each where there are more.
+GROUP = 200
 #: Pieces remembered by a worker.
 LIMIT = 800_000
 
@@ -39,6 +40,11 @@ def groups(items: list, size: int = GROUP) -> Iterator[list]:
         yield items[i : i + size]
 
 
+def cut_at(data: bytes, ends: list[int]) -> list[bytes]:
+    """``data`` cut behind each of the rising ``ends``."""
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def two_bytes(ids: list[int]) -> bytes:
     return np.array(ids, np.uint16).tobytes()
 
@@ -49,19 +55,47 @@ class Recent:
     def __init__(self, limit: int, most: int = 64_000_000):
         self.limit, self.most, self.held, self.young, self.old = limit, most, 0, {}, {}
 
-    def missing(self, rows: list[list]) -> set:
-        """The items of ``rows`` without an entry; all others are in ``young`` afterwards."""
+    def _turn(self) -> None:
         if len(self.young) > self.limit // 2 or self.held > self.most // 2:
             self.old, self.young, self.held = self.young, {}, 0
-        new: set = set()
-        for row in rows:
-            new.update(filterfalse(self.young.__contains__, row))
+
+    def _unknown(self, new: set) -> set:
+        """Those of the items missing in ``young`` that are not known from before either."""
         self.held += sum(map(len, new))
         known = new & self.old.keys()
         for x in known:
             self.young[x] = self.old[x]
         return new - known
 
+    def missing(self, rows: list[list]) -> set:
+        """The items of ``rows`` without an entry; all others are in ``young`` afterwards."""
+        self._turn()
+        new: set = set()
+        for row in rows:
+            new.update(filterfalse(self.young.__contains__, row))
+        return self._unknown(new)
+
+    def entries(self, items: list, learn: Callable[[set], None]) -> list:
+        """The entry of each item, looked up once; ``learn`` puts those of the items it is given into ``young``."""
+        self._turn()
+        get = self.young.get
+        found = list(map(get, items))
+        at = [i for i, entry in enumerate(found) if entry is None]
+        if at:
+            new = [items[i] for i in at]
+            learn(self._unknown(set(new)))
+            for i, x in zip(at, new):
+                found[i] = get(x)
+        return found
+
+
+#: Marks that may end a word of letters.
+STOPS = ".,;:!?"
+LETTERS = re.compile(r"[^\W\d_]*")
+
+#: Entry of a piece behind which no cut is safe; no ids have one byte.
+UNSAFE = b"?"
+
 
 class SpacePieces:
     """Byte-level vocabularies whose pattern gives one blank to the word behind it.
@@ -81,20 +115,34 @@ class SpacePieces:
 
     def _learn(self, parts: set[str]) -> None:
         entries = self.inner.young
-        safe = []
-        for p in parts:
-            if not p or p[-1].isspace():
-                entries[p] = None
-            else:
-                safe.append(p)
-        for group in groups(safe):
+        safe = [p for p in parts if p and not p[-1].isspace()]
+        if len(safe) < len(parts):
+            entries.update((p, UNSAFE) for p in parts.difference(safe))
+        # Letters are a match of their own, so what follows them is the same behind any others.
+        tails: dict[str, str] = {}
+        for p in safe:
+            if not p.isalpha():
+                stem = LETTERS.match(p)[0]
+                if stem.isalpha():
+                    tails[p] = p[len(stem) :]
+        stems = {p[: -len(tails[p])] if p in tails else p for p in safe}
+        self._learn_joined([p for p in stems if p not in entries])
+        ends = self.alone.entries(list(tails.values()), self._learn_alone)
+        entries.update((p, entries[p[: -len(tail)]] + end) for (p, tail), end in zip(tails.items(), ends))
+
+    def _learn_joined(self, parts: list[str]) -> None:
+        for group in groups(parts):
             joined = " " + " ".join(group)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p.encode()) + 1 for p in group])) + 1
-            data, at = ids.tobytes(), 0
-            for p, end in zip(group, (2 * ends).tolist()):
-                entries[p] = data[at:end]
-                at = end
+            text = np.frombuffer(joined.encode(), np.uint8)
+            # Pieces hold no blank, so each ends before the next one.
+            ends = np.append(np.flatnonzero(text == 32)[1:], len(text))
+            cuts = 2 * (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1)
+            self.inner.young.update(zip(group, cut_at(ids.tobytes(), cuts.tolist())))
+
+    def _learn_alone(self, texts: set[str]) -> None:
+        for group in groups(sorted(texts)):
+            self.alone.young.update(zip(group, self._whole(group)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
@@ -103,20 +151,20 @@ class SpacePieces:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
             return [self._whole([t])[0] if i in whole else next(rest) for i, t in enumerate(texts)]
         parts = [t.split(" ") for t in texts]
-        self._learn(self.inner.missing([row[1:] for row in parts]))
-        get = self.inner.young.__getitem__
-        inner = [list(map(get, row[1:])) for row in parts]
+        firsts = [row.pop(0) for row in parts]
+        inner = self.inner.entries(list(chain.from_iterable(parts)), self._learn)
         # The first piece of a text, and a last one that ends in white space.
-        ends = [" " + row[-1] if own and own[-1] is None else "" for row, own in zip(parts, inner)]
-        for group in groups(sorted(self.alone.missing([[row[0] for row in parts], ends]))):
-            self.alone.young.update(zip(group, self._whole(group)))
-        alone = self.alone.young
-        out = []
-        for text, row, own, end in zip(texts, parts, inner, ends):
+        stops = list(accumulate(map(len, parts)))
+        ends = [" " + row[-1] if row and inner[stop - 1] is UNSAFE else "" for row, stop in zip(parts, stops)]
+        alone = self.alone.entries(firsts + ends, self._learn_alone)
+        out, at = [], 0
+        for text, first, stop, end, head, tail in zip(texts, firsts, stops, ends, alone, alone[len(texts) :]):
+            own = inner[at:stop]
             if end:
-                own[-1] = alone[end]
-            unsafe = None in own or (own and row[0][-1:].isspace())
-            out.append(self._whole([text])[0] if unsafe else alone[row[0]] + b"".join(own))
+                own[-1] = tail
+            unsafe = own and (first[-1:].isspace() or UNSAFE in own)
+            out.append(self._whole([text])[0] if unsafe else head + b"".join(own))
+            at = stop
         return out
 
 
@@ -132,42 +180,44 @@ class WordPieces:
     def _learn(self, words: set[bytes]) -> None:
         """Pieces of letters are one word for the pattern, with one stop or comma behind them two; others are encoded one by one."""
         entries = self.seen.young
-        plain, counts, rest = [], [], []
-        for w in words:
-            text = w.decode()
-            body = text[:-1] if text[-1] in ".,;:!?" else text
+        plain, bodies, stops, rest = [], [], [], []
+        if not words:
+            return
+        # Words hold no blank.
+        for w, text in zip(words, b" ".join(words).decode().split(" ")):
+            body = text[:-1] if text[-1] in STOPS else text
             # Lower case may take letters apart.
-            if body.isalpha() and body.lower().isalpha():
-                plain.append(w)
-                counts.append(2 if len(body) < len(text) else 1)
-            else:
+            if body.isascii() and body.isalpha():
+                body = body.lower()
+            elif not (body.isalpha() and body.lower().isalpha()):
                 rest.append(w)
-        for at in range(0, len(plain), GROUP):
-            group, own = plain[at : at + GROUP], counts[at : at + GROUP]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, np.uint16)
+                continue
+            plain.append(w), bodies.append(body), stops.append(text[len(body) :])
+        known: dict[str, bytes] = {}
+        for group in groups(list(set(bodies))):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint16)
             closing = np.flatnonzero(self.closes[ids])
-            if len(closing) != sum(own):
+            if len(closing) != len(group):
                 raise AssertionError("a piece was cut in another way than its letters say")
-            data, start = ids.tobytes(), 0
-            for w, end in zip(group, (2 * (closing[np.cumsum(own) - 1] + 1)).tolist()):
-                entries[w] = data[start:end]
-                start = end
+            known.update(zip(group, cut_at(ids.tobytes(), (2 * (closing + 1)).tolist())))
+        ends = dict(zip(["", *STOPS], self._whole(["", *STOPS])))
+        entries.update((w, known[body] + ends[stop]) for w, body, stop in zip(plain, bodies, stops))
         for group in groups(rest):
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in group], add_special_tokens=False)
-            entries.update(zip(group, [two_bytes(e.ids) for e in got]))
+            entries.update(zip(group, self._whole([w.decode() for w in group])))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [two_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each UTF-8 text."""
         whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
         if whole:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
-            made = self.tokenizer.encode_batch_fast([texts[i].decode() for i in sorted(whole)], add_special_tokens=False)
-            ready = iter([two_bytes(e.ids) for e in made])
+            ready = iter(self._whole([texts[i].decode() for i in sorted(whole)]))
             return [next(ready) if i in whole else next(rest) for i in range(len(texts))]
         parts = [t.split() for t in texts]
-        self._learn(self.seen.missing(parts))
-        get = self.seen.young.__getitem__
-        return [b"".join(map(get, row)) for row in parts]
+        found = iter(self.seen.entries(list(chain.from_iterable(parts)), self._learn))
+        return [b"".join(islice(found, len(row))) for row in parts]
 
 
 @lru_cache(maxsize=1)

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,3 +222,25 @@ def test_first_fit():
             assert offset == at
             at += n
         assert at <= 100
+
+
+@pytest.mark.parametrize("kind, file", [(tokenizing.SpacePieces, "byte_bpe_50k.json"), (tokenizing.WordPieces, "word_bpe_49k.json")])
+def test_words_are_encoded_once_whatever_mark_follows(kind, file):
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.seen = inner, []
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            self.seen += texts
+            return self.inner.encode_batch_fast(texts, **more)
+
+    e = kind(public_tokenizers.path(file))
+    plain, e.tokenizer = e.tokenizer, Counting(e.tokenizer)
+    text = "so oftionnten oftionnten. oftionnten, oftionnten; oftionnten"
+    text = text + "\nthen oftionnten's" if kind is tokenizing.SpacePieces else text + " Oftionnten"
+    got = e.encode([text if kind is tokenizing.SpacePieces else text.encode()])[0]
+    assert np.frombuffer(got, np.uint16).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(t.lower().count("oftionnten") for t in e.tokenizer.seen) == 1
