@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,34 @@ def give_back() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow``; workers serve many tasks, so what a task has freed is given back when it ends."""
+_LASTING: list = []
+
+
+def lasting(make: Callable) -> Callable:
+    """``make`` with its last result kept by the worker process, for tasks that say so (``map_arrow``); other tasks drop it."""
+    kept = lru_cache(maxsize=1)(make)
+    _LASTING.append(kept)
+    return kept
+
+
+def drop_lasting(keeps: Callable | None = None) -> None:
+    """Drop what this process keeps of every other function than ``keeps``."""
+    others = [kept for kept in _LASTING if kept is not keeps and kept.cache_info().currsize]
+    for kept in others:
+        kept.cache_clear()
+    if others:
+        give_back()
+
+
+def map_arrow(
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: Callable | None = None
+) -> DataFrame:
+    """``mapInArrow``; workers serve many tasks, so what a task has freed is given back when it ends, and what tasks of another operator
+    have kept goes when it begins. ``keeps``: the ``lasting`` function that ``fn`` uses."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_lasting(keeps)
         yield from fn(batches)
         give_back()
 
@@ -137,7 +161,7 @@ def keep_where(docs: DataFrame, good: Callable[[list[bytes]], list[bool]]) -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             yield b.filter(pa.array(good(as_bytes(b.column(at))), pa.bool_()))
 
     return map_arrow(docs, run, sql_schema(docs))

@@ -148,7 +148,7 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
 
     rows, n = with_id_ranges(docs)
     ordered = rows.repartitionById(n, "range").sortWithinPartitions("range", "key", F.xxhash64("text")).select("range", "doc_id", "text")
-    map_arrow(ordered, run, BLOCK_SQL).write.parquet(path)
+    map_arrow(ordered, run, BLOCK_SQL, keeps=word_pieces).write.parquet(path)
 
 
 READ = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
@@ -165,7 +165,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_pieces.cache_clear()  # this worker may have written before
         for rows in batches:
             for i in range(rows.num_rows):
                 # One block at a time becomes Python objects.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runlens.llm.common import batch, map_arrow, slices, stored
+from runlens.llm.common import batch, few_rows, map_arrow, slices, stored
 from runlens.llm.tokenizing import space_pieces
 
 
@@ -70,7 +70,7 @@ def cut_documents(docs: DataFrame, p: Packing) -> DataFrame:
         encoder, worker = space_pieces(p.tokenizer), TaskContext.get().partitionId()
         numbers: dict[int, int] = defaultdict(int)
         end = np.array([p.end_id], np.uint16).tobytes()
-        for rows in batches:
+        for rows in few_rows(batches):
             texts = [t or "" for t in rows.column(1).to_pylist()]
             ids = rows.column(0).to_pylist()
             out: dict[str, list] = {k: [] for k in PIECE}
@@ -90,6 +90,7 @@ def cut_documents(docs: DataFrame, p: Packing) -> DataFrame:
     return map_arrow(
         narrow, run,
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, worker int, number long",
+        keeps=space_pieces,
     )
 
 

@@ -22,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, as_bytes, batch, keep_where, map_arrow, mix64, slices
+from runlens.llm.common import WordHashes, as_bytes, batch, few_rows, keep_where, map_arrow, mix64, slices
+
+
+#: Texts of about so many bytes are pooled at once, since each word takes several vectors meanwhile.
+POOLED_BYTES = 500_000
 
 
 @dataclass(frozen=True)
@@ -70,7 +74,7 @@ def context_sums(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(n_units * d), WordHashes()
-        for b in batches:
+        for b in few_rows(batches):
             texts = as_bytes(b.column(0))
             for part in slices(texts):
                 words, sizes = tokenised(texts[part])
@@ -212,9 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, s: Settings = Settings()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in few_rows(batches):
             texts = as_bytes(b.column(0))
-            for part in slices(texts):
+            for part in slices(texts, POOLED_BYTES):
                 x = pooled(texts[part], model.value, hashes, s).astype(np.float32)
                 ys = b.column(1).slice(part.start, part.stop - part.start)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
@@ -235,7 +239,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, s: Settings = Sett
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in few_rows(batches):
             values = scores_of(as_bytes(b.column(1)), *model.value, hashes, s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
@@ -243,7 +247,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, s: Settings = Sett
 
 
 def scores_of(texts: list[bytes], vectors: np.ndarray, net: Network, hashes: WordHashes, s: Settings) -> np.ndarray:
-    got = [net.probabilities(pooled(texts[part], vectors, hashes, s)) for part in slices(texts)]
+    got = [net.probabilities(pooled(texts[part], vectors, hashes, s)) for part in slices(texts, POOLED_BYTES)]
     return np.concatenate(got) if got else np.empty(0)
 
 

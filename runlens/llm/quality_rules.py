@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, as_bytes, batch, keep_where, map_arrow, shingles, slices
+from runlens.llm.common import WordHashes, as_bytes, batch, few_rows, keep_where, map_arrow, shingles, slices
 
 SYMBOLS = b"#*$%&|<>"  # fixed values of the base rule
 SPACES = b" \t\n\r\x0b\x0c"
 
+#: Texts of about so many bytes are taken apart at once, since each byte starts an n-gram of several longs.
+GRAM_BYTES = 500_000
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -85,10 +88,10 @@ def count_ngrams(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in batches:
+        for b in few_rows(batches):
             texts = as_bytes(b.column(0))
             trusted = np.array(b.column(1).to_pylist(), dtype=bool)
-            for s in slices(texts):
+            for s in slices(texts, GRAM_BYTES):
                 for flag in (True, False):
                     own = [t for t, g in zip(texts[s], trusted[s]) if g == flag]
                     if own:
@@ -146,9 +149,9 @@ def log_ratios(docs: DataFrame, table: np.ndarray, rules: Rules) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             texts = as_bytes(b.column(1))
-            got = [x for s in slices(texts) for x in mean_ratios(texts[s], model.value, rules)]
+            got = [x for s in slices(texts, GRAM_BYTES) for x in mean_ratios(texts[s], model.value, rules)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "log_ratio"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -191,10 +194,10 @@ def apply_rules(docs: DataFrame, fitted: Fitted, rules: Rules = Rules()) -> Data
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in few_rows(batches):
             texts = as_bytes(b.column(1))
             rows: dict[str, list] = {k: [] for k in TYPES}
-            for s in slices(texts):
+            for s in slices(texts, GRAM_BYTES):
                 rows["log_ratio"] += mean_ratios(texts[s], model.value, rules)
                 for t in texts[s]:
                     for k, v in zip(TYPES, base_counts(t, hashes)):
@@ -219,7 +222,7 @@ def keep_good(docs: DataFrame, fitted: Fitted, rules: Rules = Rules()) -> DataFr
     def good(texts: list[bytes]) -> list[bool]:
         hashes = WordHashes()
         out = []
-        for s in slices(texts):
+        for s in slices(texts, GRAM_BYTES):
             for t, ratio in zip(texts[s], mean_ratios(texts[s], model.value, rules)):
                 n, _, _, _, repeated = base_counts(t, hashes)
                 out.append(n >= rules.min_words and 100 * repeated <= rules.max_repeated_percent * n and ratio >= fitted.threshold)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import as_bytes, map_arrow, sql_schema
+from runlens.llm.common import as_bytes, few_rows, map_arrow, sql_schema
 from runlens.llm.guess_cost import guess_cost as guess_cost_of
 
 # Fixed patterns of the contract.
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, s: Scanner) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in SPAN]
-        for rows in batches:
+        for rows in few_rows(batches):
             found = [[dict(zip(names, f)) for f in in_code_points(t, spans_of(t, s))] for t in as_bytes(rows.column(1))]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(SPAN))], names=["doc_id", "found"])
 
@@ -139,7 +139,7 @@ def redacted(data: bytes, s: Scanner, mark: bytes = b"[REDACTED]") -> bytes:
 def redact(docs: DataFrame, s: Scanner) -> DataFrame:
     """All rows and columns of ``docs``, with secret values in ``text`` replaced; a null text stays null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in few_rows(batches):
             at = rows.schema.get_field_index("text")
             clean = [None if t is None else redacted(t, s).decode() for t in rows.column(at).cast(pa.binary()).to_pylist()]
             columns = [pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(rows.columns)]

@@ -10,12 +10,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import accumulate, chain, filterfalse, islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from runlens.llm.common import lasting
+
 #: New pieces are joined to texts of so many; the library takes longer for each where there are more.
 GROUP = 200
 #: Pieces remembered by a worker.
@@ -220,12 +221,12 @@ class WordPieces:
         return [b"".join(islice(found, len(row))) for row in parts]
 
 
-@lru_cache(maxsize=1)
+@lasting
 def space_pieces(path: str) -> SpacePieces:
     """One encoder for all tasks of a worker process."""
     return SpacePieces(path)
 
 
-@lru_cache(maxsize=1)
+@lasting
 def word_pieces(path: str) -> WordPieces:
     return WordPieces(path)

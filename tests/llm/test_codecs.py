@@ -244,3 +244,32 @@ def test_words_are_encoded_once_whatever_mark_follows(kind, file):
     got = e.encode([text if kind is tokenizing.SpacePieces else text.encode()])[0]
     assert np.frombuffer(got, np.uint16).tolist() == plain.encode(text, add_special_tokens=False).ids
     assert sum(t.lower().count("oftionnten") for t in e.tokenizer.seen) == 1
+
+
+def test_what_tasks_of_another_operator_kept_goes():
+    from runlens.llm import common
+
+    made = []
+    kept, other = common.lasting(lambda x: made.append(x) or [x]), common.lasting(lambda x: [x])
+    first = kept(1)
+    common.drop_lasting(kept)  # a task of the same operator
+    assert kept(1) is first and made == [1]
+    common.drop_lasting(other)
+    assert kept(1) is not first and made == [1, 1]
+    assert {tokenizing.space_pieces, tokenizing.word_pieces} <= set(common._LASTING)
+    common._LASTING[:] = [x for x in common._LASTING if x not in (kept, other)]
+
+
+def test_workers_drop_the_pieces_of_an_operator_that_has_ended(spark, frame):
+    from runlens.llm import common
+
+    def held(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(x.cache_info().currsize for x in common._LASTING)] * b.num_rows})
+
+    pairs = [(i, "some words") for i in range(40)]
+    harmonic_packing.cut_documents(frame(pairs), queries.packing()).collect()
+    docs = frame(pairs).select("text")
+    assert {r["n"] for r in common.map_arrow(docs, held, "n long").collect()} == {0}
