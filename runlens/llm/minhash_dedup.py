@@ -212,8 +212,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, s: NearDup) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: NearDup) -> DataFrame:
-    """Those of pairs(a, b) whose full sets are similar enough."""
-    likely = stored(_likely(pairs, classes, s))
+    """Those of likely pairs(a, b) whose full sets are similar enough."""
+    likely = stored(pairs)
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = _sets(docs, classes.select("id", "doc_id").join(wanted, "id", "left_semi"), s)
 
@@ -298,15 +298,20 @@ def _one_of_each(rows: DataFrame, salt: Column, order: str) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, pivots: DataFrame, classes: DataFrame, s: NearDup) -> DataFrame:
-    """Distinct (a, b) of rows and pivots that meet in a bucket, are in different components and may be similar enough.
+    """Distinct (a, b) of rows and pivots that meet in a bucket, are in different components and are likely.
 
-    A pair that meets in many buckets comes from the first of them only.
+    A pair that meets in many buckets comes from the first of them only. Parities and signatures are compared where a pair meets, so
+    that no row is made of one that they rule out.
     """
-    bands = classes.select("id", "bands")
-    with_bands = rows.join(bands, "id")
-    pivots = pivots.join(bands.toDF("p_id", "p_bands"), "p_id")
+    side = classes.select("id", "bands", "packed", "parity")
+    with_bands = rows.join(side, "id")
+    pivots = pivots.join(side.toDF("p_id", "p_bands", "p_packed", "p_parity"), "p_id")
     met = with_bands.join(pivots, "key").where("id <> p_id and part <> p_part and id <> first and p_id <> first").where(
         _may_link(F.least("most", "p_most"), F.col("n_shingles"), F.col("p_n"), s)
+    ).where(
+        _may_be_near(F.col("parity"), F.col("p_parity"), F.col("n_shingles"), F.col("p_n"), s)
+    ).where(
+        estimate(F.col("packed"), F.col("p_packed"), s) >= s.least_estimate
     ).where(F.array_min(F.array_intersect("bands", "p_bands")) == F.col("key"))
     return met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
@@ -346,7 +351,7 @@ def near_duplicates(docs: DataFrame, s: NearDup = NearDup(), key: str | None = N
     pivots = members.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("p")).select("key", F.col("p.id").alias("first"))
     members = stored(members.join(pivots, "key"))
     pairs = members.where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
-    parts = stored(connected_components(_confirmed(pairs, classes, docs, s)))
+    parts = stored(connected_components(_confirmed(_likely(pairs, classes, s), classes, docs, s)))
 
     begun = (
         members.where("n > 2").join(classes.select("id", "n_shingles"), "id")

@@ -472,3 +472,19 @@ def test_parities_never_exceed_the_difference():
         x, y = (np.unique(rng.integers(0, 2 * size, size).astype(np.uint64)) for _ in range(2))
         unlike = np.bitwise_xor(minhash_dedup.parities(x, 1024), minhash_dedup.parities(y, 1024))
         assert np.unpackbits(unlike.view(np.uint8)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_pairs_that_meet_in_buckets_are_compared_there(spark):
+    """Of texts that share a bucket, those that parities or signatures rule out make no row of the join."""
+    s = minhash_dedup.NearDup()
+    rng = np.random.default_rng(6)
+    whole = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [whole] + [np.concatenate([whole[: 300 - k], rng.integers(0, 2**64, k, dtype=np.uint64)]) for k in (10, 20, 90, 120, 150)]
+    clear = [0] * s.longs
+    rows = [(i, len(v), clear, minhash_dedup.parities(np.unique(v), s.cells).tolist(), [7, 8 + i]) for i, v in enumerate(sets)]
+    rows.append((9, 300, [-1] * s.longs, rows[0][3], [7]))  # all minima differ from those of the others
+    classes = spark.createDataFrame(rows, "id long, n_shingles long, packed array<long>, parity array<long>, bands array<long>")
+    state = classes.selectExpr("7L key", "id", "-1L first", "false used", "n_shingles", "n_shingles most", "1L weight", "id part", "-1L main")
+    pivots = state.where("id = 0").selectExpr("key", "id p_id", "part p_part", "n_shingles p_n", "most p_most")
+    got = minhash_dedup._pairs(state, pivots, classes, s).collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (0, 2)]
