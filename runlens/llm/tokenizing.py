@@ -10,9 +10,11 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain, filterfalse, islice
+from itertools import accumulate, chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from runlens.llm.common import lasting
@@ -26,6 +28,8 @@ LIMIT = 800_000
 def load(path: str) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
     t = Tokenizer.from_file(path)
+    if hasattr(t.model, "_resize_cache"):
+        t.model._resize_cache(0)  # what it is given is new to it
     if t.get_vocab_size() > 65_536:
         raise ValueError("ids do not fit in two bytes")
     return t
@@ -90,8 +94,8 @@ class Recent:
         return found
 
 
-#: Marks that may end a word of letters.
-STOPS = ".,;:!?"
+#: Marks that may end a word of letters, one after another, and are one match for both patterns. An apostrophe may start another match.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS = re.compile(r"[^\W\d_]*")
 
 #: Entry of a piece behind which no cut is safe; no ids have one byte.
@@ -179,14 +183,14 @@ class WordPieces:
         self.closes = np.array([n.endswith(suffix) for n in names])
 
     def _learn(self, words: set[bytes]) -> None:
-        """Pieces of letters are one word for the pattern, with one stop or comma behind them two; others are encoded one by one."""
+        """Pieces of letters are one word for the pattern, with marks behind them two; others are encoded one by one."""
         entries = self.seen.young
         plain, bodies, stops, rest = [], [], [], []
         if not words:
             return
         # Words hold no blank.
         for w, text in zip(words, b" ".join(words).decode().split(" ")):
-            body = text[:-1] if text[-1] in STOPS else text
+            body = text.rstrip(MARKS)
             # Lower case may take letters apart.
             if body.isascii() and body.isalpha():
                 body = body.lower()
@@ -194,14 +198,23 @@ class WordPieces:
                 rest.append(w)
                 continue
             plain.append(w), bodies.append(body), stops.append(text[len(body) :])
-        known: dict[str, bytes] = {}
-        for group in groups(list(set(bodies))):
+        # What stands alone has been met before, or will be: its entry serves with any marks.
+        known, others = {}, []
+        for body in set(bodies):
+            alone = body.encode()
+            ids = entries.get(alone) or self.seen.old.get(alone)
+            if ids is not None:
+                known[body] = ids
+            else:
+                others.append(body)
+        for group in groups(others):
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint16)
             closing = np.flatnonzero(self.closes[ids])
             if len(closing) != len(group):
                 raise AssertionError("a piece was cut in another way than its letters say")
             known.update(zip(group, cut_at(ids.tobytes(), (2 * (closing + 1)).tolist())))
-        ends = dict(zip(["", *STOPS], self._whole(["", *STOPS])))
+        tails = list(set(stops))
+        ends = dict(zip(tails, self._whole(tails)))
         entries.update((w, known[body] + ends[stop]) for w, body, stop in zip(plain, bodies, stops))
         for group in groups(rest):
             entries.update(zip(group, self._whole([w.decode() for w in group])))
@@ -216,9 +229,17 @@ class WordPieces:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
             ready = iter(self._whole([texts[i].decode() for i in sorted(whole)]))
             return [next(ready) if i in whole else next(rest) for i in range(len(texts))]
-        parts = [t.split() for t in texts]
-        found = iter(self.seen.entries(list(chain.from_iterable(parts)), self._learn))
-        return [b"".join(islice(found, len(row))) for row in parts]
+        # Each distinct word of the texts is looked up once; an empty one stands at either end of a text with white space there.
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        entries = self.seen.entries(coded.dictionary.cast(pa.binary()).to_pylist(), self._learn)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 2
+        which = coded.indices.to_numpy()
+        own = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], own)
+        ids = np.frombuffer(b"".join(entries), np.uint16)[at]
+        return cut_at(ids.tobytes(), (2 * ends[words.offsets.to_numpy()[1:]]).tolist())
 
 
 @lasting

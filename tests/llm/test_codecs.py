@@ -273,3 +273,23 @@ def test_workers_drop_the_pieces_of_an_operator_that_has_ended(spark, frame):
     harmonic_packing.cut_documents(frame(pairs), queries.packing()).collect()
     docs = frame(pairs).select("text")
     assert {r["n"] for r in common.map_arrow(docs, held, "n long").collect()} == {0}
+
+
+MARKED = st.lists(st.tuples(st.sampled_from(["ab", "Ab", "ΣΑΣ", "İx", "étion", "EZCIÓN", "a1", "", "日本", "ªb", "é", "ǅa"]), st.text(alphabet=list(tokenizing.MARKS + "'sﬁ̸"), max_size=5)), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(MARKED)
+def test_letters_with_marks_behind_them(words):
+    text = " ".join(a + b for a, b in words)
+    fresh = np.frombuffer(WORDS.encode([text.encode()])[0], np.uint16).tolist()
+    assert fresh == WORD_LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_letters_are_encoded_once_whatever_marks_follow():
+    encoder, given_to = tokenizing.WordPieces(public_tokenizers.path("word_bpe_49k.json")), []
+    whole = encoder._whole
+    encoder._whole = lambda texts: given_to.extend(texts) or whole(texts)
+    text = "étiontrere###, atndwh$$$ atndwh EZCIÓN!! Onorou*** (so)"
+    assert np.frombuffer(encoder.encode([text.encode()])[0], np.uint16).tolist() == WORD_LIBRARY.encode(text, add_special_tokens=False).ids
+    assert [x for x in given_to if any(c.isalpha() for c in x)] == ["(so)"]
