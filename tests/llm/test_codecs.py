@@ -275,6 +275,22 @@ def test_workers_drop_the_pieces_of_an_operator_that_has_ended(spark, frame):
     assert {r["n"] for r in common.map_arrow(docs, held, "n long").collect()} == {0}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=2, max_size=bpe_codec.SHORT) | st.sampled_from([b"a" * k for k in range(2, 34)]), max_size=60))
+def test_short_pieces_are_merged_together(pieces):
+    got = [np.frombuffer(x, np.uint32).tolist() for x in CODEC.short.encode(pieces)]
+    assert got == [plain_merges(p, CODEC.ranks) for p in pieces]
+
+
+def test_pieces_are_cut_and_merged_many_at_once(monkeypatch):
+    """Of new pieces none is cut or merged by itself."""
+    codec = bpe_codec.Codec(VOCABULARY)
+    words = [f"{a}{b}{c}" for a in ("Qu", "str", "éz") for b in ("ioux", "anv", "日") for c in (",", "ly!!", "'s", " z")]
+    texts = [" ".join(words), " ".join(reversed(words)) + " ", "two  blanks " + " ".join(words), "a\n " + words[0]]
+    monkeypatch.setattr(bpe_codec, "merge_pairs", None)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in codec.encode_many(texts)] == [REFERENCE.encode_ordinary(t) for t in texts]
+
+
 MARKED = st.lists(st.tuples(st.sampled_from(["ab", "Ab", "ΣΑΣ", "İx", "étion", "EZCIÓN", "a1", "", "日本", "ªb", "é", "ǅa"]), st.text(alphabet=list(tokenizing.MARKS + "'sﬁ̸"), max_size=5)), max_size=30)
 
 
