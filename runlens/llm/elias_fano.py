@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runlens.llm.common import as_bytes, batch, map_arrow, slices, with_id_ranges
+from runlens.llm.common import as_bytes, batch, few_rows, map_arrow, slices, with_id_ranges
 from runlens.llm.tokenizing import word_pieces
 
 STRETCH = 512
@@ -130,8 +130,7 @@ def write_ids(docs: DataFrame, path: str, f: Format) -> None:
             row = block_row(where, before, names, ids)
             return batch({k: [row[k]] for k in BLOCK}, BLOCK)
 
-        # Few rows at a time become Python objects.
-        for rows in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+        for rows in few_rows(batches):
             texts, ranges, keys = as_bytes(rows.column(2)), rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for s in slices(texts):
                 for r, doc, data in zip(ranges[s], keys[s], encoder.encode(texts[s])):

@@ -182,42 +182,44 @@ class WordPieces:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.closes = np.array([n.endswith(suffix) for n in names])
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Pieces of letters are one word for the pattern, with marks behind them two; others are encoded one by one."""
-        entries = self.seen.young
-        plain, bodies, stops, rest = [], [], [], []
-        if not words:
-            return
-        # Words hold no blank.
-        for w, text in zip(words, b" ".join(words).decode().split(" ")):
-            body = text.rstrip(MARKS)
+        entries, before = self.seen.young, self.seen.old
+        bare, marked, rest = [], [], []
+        for w in words:
+            body = w.rstrip(MARKS)
             # Lower case may take letters apart.
             if body.isascii() and body.isalpha():
                 body = body.lower()
             elif not (body.isalpha() and body.lower().isalpha()):
                 rest.append(w)
                 continue
-            plain.append(w), bodies.append(body), stops.append(text[len(body) :])
-        # What stands alone has been met before, or will be: its entry serves with any marks.
-        known, others = {}, []
-        for body in set(bodies):
-            alone = body.encode()
-            ids = entries.get(alone) or self.seen.old.get(alone)
-            if ids is not None:
-                known[body] = ids
+            if body == w:
+                bare.append(w)
             else:
-                others.append(body)
-        for group in groups(others):
+                marked.append((w, body, w[len(body) :]))
+        # Letters that were met alone serve with any marks.
+        known: dict[str, bytes] = {}
+        new = set(bare)
+        for _, body, _ in marked:
+            if body not in new and body not in known:
+                ids = entries.get(body) or before.get(body)
+                if ids is None:
+                    new.add(body)
+                else:
+                    known[body] = ids
+        for group in groups(list(new)):
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint16)
             closing = np.flatnonzero(self.closes[ids])
             if len(closing) != len(group):
                 raise AssertionError("a piece was cut in another way than its letters say")
             known.update(zip(group, cut_at(ids.tobytes(), (2 * (closing + 1)).tolist())))
-        tails = list(set(stops))
+        tails = list({tail for _, _, tail in marked})
         ends = dict(zip(tails, self._whole(tails)))
-        entries.update((w, known[body] + ends[stop]) for w, body, stop in zip(plain, bodies, stops))
+        entries.update((w, known[w]) for w in bare)
+        entries.update((w, known[body] + ends[tail]) for w, body, tail in marked)
         for group in groups(rest):
-            entries.update(zip(group, self._whole([w.decode() for w in group])))
+            entries.update(zip(group, self._whole(group)))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [two_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -232,7 +234,7 @@ class WordPieces:
         # Each distinct word of the texts is looked up once; an empty one stands at either end of a text with white space there.
         words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
         coded = words.flatten().dictionary_encode()
-        entries = self.seen.entries(coded.dictionary.cast(pa.binary()).to_pylist(), self._learn)
+        entries = self.seen.entries(coded.dictionary.to_pylist(), self._learn)
         sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 2
         which = coded.indices.to_numpy()
         own = sizes[which]
