@@ -70,11 +70,11 @@ def cut_documents(docs: DataFrame, p: Packing) -> DataFrame:
         encoder, worker = space_pieces(p.tokenizer), TaskContext.get().partitionId()
         numbers: dict[int, int] = defaultdict(int)
         end = np.array([p.end_id], np.uint16).tobytes()
-        for rows in few_rows(batches):
+        for rows in few_rows(batches, 4_096):
             texts = [t or "" for t in rows.column(1).to_pylist()]
             ids = rows.column(0).to_pylist()
             out: dict[str, list] = {k: [] for k in PIECE}
-            for s in slices(texts):
+            for s in slices(texts, 8_000_000):
                 for doc, data in zip(ids[s], encoder.encode(texts[s])):
                     tokens = np.frombuffer(data + end, np.uint16).astype("<u4")
                     view, at = memoryview(tokens).cast("B"), 0

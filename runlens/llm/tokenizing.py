@@ -8,9 +8,8 @@ time. Forgetting pieces does not change results.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain, filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,10 @@ def load(path: str) -> Tokenizer:
     return t
 
 
+#: Entry of a piece behind which no cut is safe; no ids have one byte.
+UNSAFE = b"?"
+
+
 def special_strings(t: Tokenizer) -> tuple[str, ...]:
     """Strings that the library turns into one id wherever they stand; texts that hold one are encoded whole."""
     return tuple(x.content for x in t.get_added_tokens_decoder().values())
@@ -94,82 +97,133 @@ class Recent:
         return found
 
 
+class Known:
+    """Ids of the distinct texts met lately, as rows of arrays; at most ``limit`` texts, or ``most`` bytes of them, beside those of one call."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int, most: int = 64_000_000):
+        self.learn, self.limit, self.most = learn, limit, most
+        self.texts, self.ids, self.ends = pa.array([], pa.string()), np.empty(0, np.uint16), np.zeros(1, np.int64)
+
+    def places(self, items: pa.Array) -> np.ndarray:
+        """The row of each of the distinct ``items``; ``learn`` gives the ids of new ones, in a row, and how many each has."""
+        at = pc.index_in(items, value_set=self.texts)
+        unknown = at.is_null()
+        new = items.filter(unknown)
+        if not len(new):
+            return at.to_numpy()
+        found = at.fill_null(-1).to_numpy()
+        if len(self.texts) + len(new) > self.limit or self.texts.nbytes + new.nbytes > self.most:
+            used = np.sort(found[found >= 0])
+            self.texts = self.texts.take(pa.array(used))
+            sizes = np.diff(self.ends)[used]
+            self.ids = self.ids[spans(self.ends[used], sizes)]
+            self.ends = np.concatenate([[0], np.cumsum(sizes)])
+            found = np.where(found < 0, found, np.searchsorted(used, found))
+        ids, sizes = self.learn(new.to_pylist())
+        places = found.astype(np.int64)
+        places[unknown.to_numpy(zero_copy_only=False)] = len(self.texts) + np.arange(len(new))
+        self.texts = pa.concat_arrays([self.texts, new])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return places
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 #: Marks that may end a word of letters, one after another, and are one match for both patterns. An apostrophe may start another match.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-LETTERS = re.compile(r"[^\W\d_]*")
+#: Letters and what follows them from the first other ASCII character on.
+LETTERS_AND_REST = r"(?s)^(?P<letters>\pL+)(?P<rest>[\x00-\x40\x5B-\x60\x7B-\x7F].*)$"
 
-#: Entry of a piece behind which no cut is safe; no ids have one byte.
-UNSAFE = b"?"
+#: All that Python counts as white space.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 class SpacePieces:
     """Byte-level vocabularies whose pattern gives one blank to the word behind it.
 
     A text is cut before each blank. That cut is safe where the character before the blank is no white space: no match reaches
-    over it. A text with another kind of cut (two blanks in a row, a blank after a line end) is encoded whole.
+    over it. A text with another kind of cut (two blanks in a row, a blank after a line end) is encoded whole. Letters are a match
+    of their own, so what follows them in a piece is the same behind any others.
     """
 
     def __init__(self, path: str, limit: int = LIMIT):
         self.tokenizer = load(path)
-        self.inner, self.alone, self.special = Recent(limit), Recent(limit // 4), special_strings(self.tokenizer)
+        self.inner, self.alone, self.special = Known(self._learn_joined, limit), Known(self._learn_alone, limit // 4), special_strings(self.tokenizer)
         # One character of a byte-level token's name stands for one byte.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [two_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces behind a blank."""
+        found = [np.array(self._whole([" " + " ".join(group)])[0], np.uint16) for group in groups(parts)]
+        ids = np.concatenate(found)
+        text = np.frombuffer((" " + " ".join(parts)).encode(), np.uint8)
+        # Pieces hold no blank, so each ends before the next one.
+        ends = np.append(np.flatnonzero(text == 32)[1:], len(text))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1, prepend=0)
 
-    def _learn(self, parts: set[str]) -> None:
-        entries = self.inner.young
-        safe = [p for p in parts if p and not p[-1].isspace()]
-        if len(safe) < len(parts):
-            entries.update((p, UNSAFE) for p in parts.difference(safe))
-        # Letters are a match of their own, so what follows them is the same behind any others.
-        tails: dict[str, str] = {}
-        for p in safe:
-            if not p.isalpha():
-                stem = LETTERS.match(p)[0]
-                if stem.isalpha():
-                    tails[p] = p[len(stem) :]
-        stems = {p[: -len(tails[p])] if p in tails else p for p in safe}
-        self._learn_joined([p for p in stems if p not in entries])
-        ends = self.alone.entries(list(tails.values()), self._learn_alone)
-        entries.update((p, entries[p[: -len(tail)]] + end) for (p, tail), end in zip(tails.items(), ends))
-
-    def _learn_joined(self, parts: list[str]) -> None:
-        for group in groups(parts):
-            joined = " " + " ".join(group)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
-            text = np.frombuffer(joined.encode(), np.uint8)
-            # Pieces hold no blank, so each ends before the next one.
-            ends = np.append(np.flatnonzero(text == 32)[1:], len(text))
-            cuts = 2 * (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1)
-            self.inner.young.update(zip(group, cut_at(ids.tobytes(), cuts.tolist())))
-
-    def _learn_alone(self, texts: set[str]) -> None:
-        for group in groups(sorted(texts)):
-            self.alone.young.update(zip(group, self._whole(group)))
+    def _learn_alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [ids for group in groups(texts) for ids in self._whole(group)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint16, sizes.sum()), sizes
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
         if whole:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
-            return [self._whole([t])[0] if i in whole else next(rest) for i, t in enumerate(texts)]
-        parts = [t.split(" ") for t in texts]
-        firsts = [row.pop(0) for row in parts]
-        inner = self.inner.entries(list(chain.from_iterable(parts)), self._learn)
-        # The first piece of a text, and a last one that ends in white space.
-        stops = list(accumulate(map(len, parts)))
-        ends = [" " + row[-1] if row and inner[stop - 1] is UNSAFE else "" for row, stop in zip(parts, stops)]
-        alone = self.alone.entries(firsts + ends, self._learn_alone)
-        out, at = [], 0
-        for text, first, stop, end, head, tail in zip(texts, firsts, stops, ends, alone, alone[len(texts) :]):
-            own = inner[at:stop]
-            if end:
-                own[-1] = tail
-            unsafe = own and (first[-1:].isspace() or UNSAFE in own)
-            out.append(self._whole([text])[0] if unsafe else head + b"".join(own))
-            at = stop
+            return [two_bytes(self._whole([t])[0]) if i in whole else next(rest) for i, t in enumerate(texts)]
+        if not texts:
+            return []
+        # Each distinct piece is looked up once. The first of a text has no blank before it, and nothing is cut off one that ends it
+        # in white space.
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        pieces, which = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        starts, stops = parts.offsets.to_numpy()[:-1], parts.offsets.to_numpy()[1:]
+        bare = pc.utf8_rtrim(pieces, WHITE)
+        unsafe = (pc.equal(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False)) | pc.not_equal(bare, pieces).to_numpy(zero_copy_only=False)
+        last, several = which[stops - 1], stops - starts > 1
+        closing = np.flatnonzero(several & unsafe[last])
+        firsts = pieces.take(pa.array(which[starts]))
+        ends = pc.binary_join_element_wise("", pieces.take(pa.array(last[closing])), " ")
+        stray = several & unsafe[which[starts]] & (pc.binary_length(firsts).to_numpy() > 0)
+        # Each piece is two spans of ids, of its letters and of what follows them.
+        safe = np.flatnonzero(~unsafe)
+        cut = pc.extract_regex(pieces.take(pa.array(safe)), LETTERS_AND_REST)
+        marked = cut.is_valid()
+        tails = cut.filter(marked).field("rest").dictionary_encode()
+        stems = pc.if_else(marked, cut.field("letters"), pieces.take(pa.array(safe))).dictionary_encode()
+        alone = pa.concat_arrays([firsts, ends, tails.dictionary]).dictionary_encode()
+        apart = self.alone.places(alone.dictionary)[alone.indices.to_numpy()]
+        met = self.inner.places(stems.dictionary)[stems.indices.to_numpy()]
+        # Rows of both tables, those alone behind the others; the row after all has no ids.
+        sizes = np.concatenate([np.diff(self.inner.ends), np.diff(self.alone.ends), [0]])
+        begins = np.concatenate([self.inner.ends[:-1], len(self.inner.ids) + self.alone.ends[:-1], [0]])
+        ids = np.concatenate([self.inner.ids, self.alone.ids])
+        apart, none = apart + len(self.inner.texts), len(sizes) - 1
+        spells = np.full((len(pieces) + len(texts) + len(closing), 2), none)
+        spells[safe, 0] = met
+        spells[safe[marked.to_numpy(zero_copy_only=False)], 1] = apart[len(texts) + len(closing) :][tails.indices.to_numpy()]
+        spells[len(pieces) :, 0] = apart[: len(texts) + len(closing)]
+        which[starts] = len(pieces) + np.arange(len(texts))
+        which[stops[closing] - 1] = len(pieces) + len(texts) + np.arange(len(closing))
+        # First the ids of each distinct piece in a row, then those of the texts.
+        spelled = ids[spans(begins[spells].ravel(), sizes[spells].ravel())]
+        long = sizes[spells].sum(axis=1)
+        own = long[which]
+        out = cut_at(spelled[spans((np.cumsum(long) - long)[which], own)].tobytes(), (2 * np.cumsum(own)[stops - 1]).tolist())
+        strange = np.append(unsafe, np.zeros(len(texts) + len(closing), bool))
+        strange[len(pieces) : len(pieces) + len(texts)] = stray
+        for i in np.flatnonzero(np.logical_or.reduceat(strange[which], starts)).tolist():
+            out[i] = two_bytes(self._whole([texts[i]])[0])
         return out
 
 

@@ -246,6 +246,23 @@ def test_words_are_encoded_once_whatever_mark_follows(kind, file):
     assert sum(t.lower().count("oftionnten") for t in e.tokenizer.seen) == 1
 
 
+def test_marks_take_no_room_of_letters():
+    """Letters are known again behind any mark and in any later call, in an encoder that keeps few texts."""
+    from unittest import mock
+
+    e = tokenizing.SpacePieces(public_tokenizers.path("byte_bpe_50k.json"), limit=1_000)
+    plain, seen = e.tokenizer, []
+    e.tokenizer = mock.Mock(wraps=plain)
+    e.tokenizer.encode_batch_fast = lambda texts, **more: seen.extend(texts) or plain.encode_batch_fast(texts, **more)
+    words = [f"éof{a}t{b}nt" for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopq"]
+    texts = ["so " + " ".join(w + mark for w in words) for mark in (",", ".\nThen", ";", "'s", "!", "", "(7)", " \t")]
+    got = [np.frombuffer(e.encode([t])[0], np.uint16).tolist() for t in texts[:-1]]
+    assert sum(t.count(words[100]) for t in seen) == 1
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts[:-1]]
+    both = [np.frombuffer(x, np.uint16).tolist() for x in e.encode(texts)]
+    assert both == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_what_tasks_of_another_operator_kept_goes():
     from runlens.llm import common
 
