@@ -30,10 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, as_bytes, batch, few_rows, map_arrow, mix64, shingles, signed, stored
+from runlens.llm.common import WordHashes, as_bytes, batch, few_rows, map_arrow, mix64, shingles, signed, sql_schema, stored
 from runlens.llm.components import connected_components
 
 
@@ -164,27 +165,58 @@ def _may_be_near(left: Column, right: Column, n: Column, m: Column, s: NearDup)
     return (100 + s.percent) * unlike <= (100 - s.percent) * (n + m)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
-    """(id, items) with the sorted shingles of the classes in ids(id, doc_id), from one of each class's texts; a stored table.
+def _place(value: Column, s: NearDup) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(1 << s.filter_bits))
 
-    Texts are not shuffled: tasks get a bitmap of hashed doc_ids, of a fixed size, and make sets for the texts that it lets
-    pass. Only these sets are joined with the ids. A full bitmap lets all pass, which costs time and loses nothing.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << s.filter_bits))
-    words = ids.where("doc_id is not null").groupBy(F.shiftright(place, 6).alias("word")).agg(
+
+def _bitmap(values: DataFrame, s: NearDup) -> Broadcast:
+    """A bitmap of the places of the only column of ``values``, nulls left out; of a fixed size, however many there are."""
+    place = _place(F.col(values.columns[0]), s)
+    words = values.where(F.col(values.columns[0]).isNotNull()).groupBy(F.shiftright(place, 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")
     )
     got = words.toArrow()
     bitmap = np.zeros(1 << (s.filter_bits - 6), np.int64)
     bitmap[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return values.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _marked(places: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    return (bitmap[places >> 6] >> (places & 63)) & 1 == 1
+
+
+def _those(classes: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
+    """The classes in ids(id), and some more whose ids share a place with theirs; a stored table.
+
+    Rounds look at few classes, and joins of them with all would shuffle all signatures in every round. Here they stay where they
+    are: tasks get a bitmap of the ids. A full one lets all pass, which costs time and loses nothing.
+    """
+    shared = _bitmap(ids.select("id"), s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = _marked(rows.column(rows.num_columns - 1).to_numpy(), shared.value)
+            yield rows.select(range(rows.num_columns - 1)).filter(pa.array(keep))
+
+    out = stored(map_arrow(classes.withColumn("place", _place(F.col("id"), s)), run, sql_schema(classes)))
+    shared.destroy()
+    return out
+
+
+def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
+    """(id, items) with the sorted shingles of the classes in ids(id, doc_id), from one of each class's texts; a stored table.
+
+    Texts are not shuffled: tasks get a bitmap of hashed doc_ids, of a fixed size, and make sets for the texts that it lets
+    pass. Only these sets are joined with the ids. A full bitmap lets all pass, which costs time and loses nothing.
+    """
+    shared = _bitmap(ids.select("doc_id"), s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows in few_rows(batches):
             at = rows.column(0).to_numpy()
             # Rows without doc_id may belong to any class.
-            some = ((shared.value[at >> 6] >> (at & 63)) & 1 == 1) | np.array(rows.column(1).to_pylist(), bool)
+            some = _marked(at, shared.value) | np.array(rows.column(1).to_pylist(), bool)
             own, items = [], []
             for text in as_bytes(rows.column(2).filter(pa.array(some))):
                 found = shingle_set(text, s.words, hashes)
@@ -192,7 +224,7 @@ def _sets(docs: DataFrame, ids: DataFrame, s: NearDup) -> DataFrame:
                     own.append(set_id(found)), items.append(found.tobytes())
             yield batch({"id": own, "items": items}, {"id": pa.int64(), "items": pa.binary()})
 
-    marked = docs.select(place.alias("place"), F.col("doc_id").isNull().alias("nameless"), "text")
+    marked = docs.select(_place(F.col("doc_id"), s).alias("place"), F.col("doc_id").isNull().alias("nameless"), "text")
     found = map_arrow(marked, run, "id long, items binary").join(ids.select("id"), "id", "left_semi")
     out = stored(found.groupBy("id").agg(F.first("items").alias("items")))
     shared.destroy()  # the sets are written, and every round brings a bitmap of its own
@@ -359,6 +391,8 @@ def near_duplicates(docs: DataFrame, s: NearDup = NearDup(), key: str | None = N
     )
     state = _placed(begun, parts)
     if not state.isEmpty():
+        # Later rounds look at members that wait now, and at no others.
+        classes = _those(classes, state, s)
         # Crowded buckets: drop who can have no partner, then compare outsiders with a few more central members.
         state = stored(_without_loners(state, classes, docs, s))
         crowded = state.where(F.col("waiting") > s.few)

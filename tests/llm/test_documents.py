@@ -488,3 +488,32 @@ def test_pairs_that_meet_in_buckets_are_compared_there(spark):
     pivots = state.where("id = 0").selectExpr("key", "id p_id", "part p_part", "n_shingles p_n", "most p_most")
     got = minhash_dedup._pairs(state, pivots, classes, s).collect()
     assert sorted(map(tuple, got)) == [(0, 1), (0, 2)]
+
+
+def test_rounds_look_at_waiting_classes_only(frame, monkeypatch):
+    """Signatures of texts that meet nobody are not joined again in each round."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base = [word() for _ in range(120)]
+    # Alike enough to share buckets, not enough to be linked.
+    near = [[word() if rng.random() < 0.04 else w for w in base] for _ in range(10)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(near)] + [(100 + i, " ".join(word() for _ in range(30))) for i in range(60)]
+    looked, pairs = [], minhash_dedup._pairs
+    monkeypatch.setattr(minhash_dedup, "_pairs", lambda rows, pivots, classes, s: looked.append(classes.count()) or pairs(rows, pivots, classes, s))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(docs), minhash_dedup.NearDup()).collect()}
+    assert looked and max(looked) <= len(near)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    assert all(got[i] <= j for i in got for j in got if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+
+
+def test_classes_of_a_bitmap(spark):
+    s = minhash_dedup.NearDup()
+    classes = spark.range(1_000).selectExpr("id", "array(id, id + 1) AS bands", "id * 2 AS n_shingles")
+    for some in ([3, 500, 999, 3, None], []):
+        got = minhash_dedup._those(classes, spark.createDataFrame([(x,) for x in some], "id long"), s)
+        assert got.columns == classes.columns
+        rows = {r["id"]: (r["bands"], r["n_shingles"]) for r in got.collect()}
+        assert {x for x in some if x is not None} <= rows.keys() and len(rows) < 20
+        assert all(v == ([k, k + 1], 2 * k) for k, v in rows.items())
+    full = minhash_dedup._those(classes, classes, minhash_dedup.NearDup(filter_bits=7))
+    assert full.count() == 1_000
