@@ -23,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WordHashes, as_bytes, batch, crc_mod, map_arrow, mix64, signed, slices, stored
+from runlens.llm.common import WordHashes, batch, crc_mod, map_arrow, mix64, signed, stored
 
 END = b" "  # no word holds a blank
 
@@ -53,31 +54,63 @@ class Model:
         return self.own + 1 + self.groups
 
 
+def light(rows: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text."""
+    sizes = pc.binary_length(rows.column(rows.schema.get_field_index("text"))).fill_null(0).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1).tolist(), rows.num_rows]
+    return (rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-cased words, for each word of the texts its place among them, and how many words there are up to each text's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    # An empty one stands at either end of a text with white space there.
+    real = pc.greater(pc.binary_length(flat), 0)
+    stops = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()[1:]]
+    coded = flat.filter(real).dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), stops
+
+
 def group_of(words: list[bytes], hashes: WordHashes, m: Model) -> np.ndarray:
     return (mix64(hashes.of([w[-3:] for w in words]) ^ np.uint64(0xA5A5)) % np.uint64(m.groups)).astype(np.int64)
 
 
+def groups_of(words: pa.Array, m: Model) -> np.ndarray:
+    """``group_of`` words in an array, each distinct ending hashed once."""
+    coded = pc.binary_slice(words, -3).dictionary_encode()
+    return group_of(coded.dictionary.to_pylist(), WordHashes(), m)[coded.indices.to_numpy()]
+
+
+def signed_hashes(words: pa.Array) -> np.ndarray:
+    return signed(np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words)))
+
+
 def count_words(docs: DataFrame, m: Model) -> DataFrame:
     """(word, group, n) of docs(text): how often each word, known by its hash, occurs."""
     types = {"word": pa.int64(), "group": pa.int32(), "n": pa.int64()}
 
-    def rows_of(counts: dict[bytes, int]) -> pa.RecordBatch:
-        words, hashes = list(counts), WordHashes()
-        h = np.fromiter((WordHashes.__missing__(hashes, w) for w in words), np.uint64, len(words))
-        return batch({"word": signed(h), "group": group_of(words, hashes, m), "n": list(counts.values())}, types)
+    def merged(tables: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        words, groups, counts = map(np.concatenate, zip(*tables))
+        found, first, which = np.unique(words, return_index=True, return_inverse=True)
+        return found, groups[first], np.bincount(which, counts, minlength=len(found)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        tables: list[tuple[np.ndarray, ...]] = []
+        ends = 0
         for rows in batches:
-            for text in as_bytes(rows.column(0)):
-                for w in text.lower().split():
-                    counts[w] = counts.get(w, 0) + 1
-                counts[END] = counts.get(END, 0) + 1
-                if len(counts) > 600_000:
-                    yield rows_of(counts)
-                    counts = {}
-        if counts:
-            yield rows_of(counts)
+            ends += rows.num_rows
+            for part in light(rows):
+                words, which, _ = distinct_words(part.column(0))
+                tables.append((signed_hashes(words), groups_of(words, m), np.bincount(which, minlength=len(words))))
+                if sum(len(t[0]) for t in tables) > 600_000:
+                    tables = [merged(tables)]
+                    if len(tables[0][0]) > 600_000:
+                        yield batch(dict(zip(types, tables.pop())), types)
+        if ends:
+            end = pa.array([END])
+            tables.append((signed_hashes(end), groups_of(end, m), np.array([ends])))
+            yield batch(dict(zip(types, merged(tables))), types)
 
     parts = map_arrow(docs.select("text"), run, "word long, `group` int, n long")
     return parts.groupBy("word").agg(F.first("group").alias("group"), F.sum("n").alias("n"))
@@ -153,34 +186,6 @@ def vocabulary(counts: DataFrame, m: Model) -> Vocabulary:
     )
 
 
-class Codes(dict):
-    """A number for each word, remembered up to ``limit`` words: its place among the frequent words, or -1 - group."""
-
-    def __init__(self, v: Vocabulary, m: Model, limit: int = 400_000):
-        super().__init__()
-        self.model, self.limit = m, limit
-        self.endings: dict[bytes, int] = {}
-        self.places = dict(zip(v.words.tolist(), range(len(v.words))))
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self.places.get(signed_hash(word))
-        if code is None:
-            code = self.endings.get(word[-3:])
-            if code is None:
-                if len(self.endings) >= self.limit:
-                    self.endings.clear()
-                self.endings[word[-3:]] = code = -1 - int(group_of([word], WordHashes(), self.model)[0])
-        self[word] = code
-        return code
-
-
-def signed_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - 2**64 if h >= 2**63 else h
-
-
 CODED = {
     "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
     "count_logs": pa.float64(), "within": pa.float64(), "symbols": pa.binary(), "rare": pa.list_(pa.int64()), "times": pa.list_(pa.int32()),
@@ -193,35 +198,56 @@ def encode(docs: DataFrame, v: Vocabulary, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, row = model.value, TaskContext.get().partitionId() << 33
-        codes_of = Codes(voc, m).__getitem__
         logs = np.log10(voc.counts + 0.5)
         end_log = float(np.log10(voc.end_count + 0.5))
         shared = voc.symbols < 0
         symbol_of = np.where(shared, m.own + 1 + voc.groups, voc.symbols)
         within_of = np.where(shared, logs - voc.group_logs[voc.groups], 0.0)
         for rows in batches:
-            texts = as_bytes(rows.column(1))
-            ids, held = rows.column(0).to_pylist(), rows.column(2).to_pylist()
-            for s in slices(texts):
-                out: dict[str, list] = {k: [] for k in CODED}
-                for doc, flag, text in zip(ids[s], held[s], texts[s]):
-                    words = text.lower().split()
-                    codes = np.fromiter(map(codes_of, words), np.int64, len(words))
-                    scarce = np.flatnonzero(codes < 0)
-                    places, groups = codes[codes >= 0], -1 - codes[scarce]
-                    symbols = np.full(len(words) + 1, m.own, np.uint16)
-                    symbols[:-1][codes >= 0] = symbol_of[places]
-                    symbols[scarce] = m.own + 1 + groups
-                    hashes = np.array([signed_hash(words[i]) for i in scarce.tolist()], np.int64)
-                    rare, times = np.unique(hashes, return_counts=True)
-                    values = (
-                        row, doc, flag, len(words) + 1, len(places) + (voc.end_count > 0), float(logs[places].sum()) + end_log,
-                        float(within_of[places].sum() - voc.group_logs[groups].sum()), symbols.tobytes(), rare, times.astype(np.int32),
-                    )
-                    for k, x in zip(CODED, values):
-                        out[k].append(x)
-                    row += 1
-                yield batch(out, CODED)
+            for part in light(rows):
+                yield coded(part, row, voc, logs, end_log, symbol_of, within_of)
+                row += part.num_rows
+
+    def coded(part, row, voc, logs, end_log, symbol_of, within_of) -> pa.RecordBatch:
+        """Each distinct word of some texts is looked up once."""
+        n = part.num_rows
+        words, which, stops = distinct_words(part.column(1))
+        hashes = signed_hashes(words)
+        at = np.searchsorted(voc.words, hashes)
+        known = np.zeros(len(words), bool)
+        known[at < len(voc.words)] = voc.words[at[at < len(voc.words)]] == hashes[at < len(voc.words)]
+        scarce = np.flatnonzero(~known)
+        groups = np.zeros(len(words), np.int64)
+        groups[scarce] = groups_of(words.take(pa.array(scarce)), m)
+        symbols = m.own + 1 + groups
+        symbols[known] = symbol_of[at[known]]
+        starts = np.concatenate([[0], stops])
+        sizes = np.diff(starts)
+        texts = np.repeat(np.arange(n), sizes)
+        table = np.full(len(which) + n, m.own, np.uint16)
+        table[np.arange(len(which)) + texts] = symbols[which]
+        ends = np.concatenate([[0], 2 * (stops + np.arange(1, n + 1))]).astype(np.int32)
+        # Sums over each text's words, the frequent ones and the rarer.
+        often = known[which]
+        places, lacking = at[which[often]], voc.group_logs[groups[which[~often]]]
+        cuts = np.concatenate([[0], np.cumsum(often)])[starts]
+        spans = list(zip(cuts.tolist(), cuts[1:].tolist()))
+        found_logs, found_within = logs[places], within_of[places]
+        others = (starts - cuts).tolist()
+        within = [float(found_within[a:b].sum() - lacking[c:d].sum()) for (a, b), c, d in zip(spans, others, others[1:])]
+        # Rarer words of each text, each once.
+        of, met = texts[~often], hashes[which[~often]]
+        order = np.lexsort((met, of))
+        of, met = of[order], met[order]
+        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (met[1:] != met[:-1])])[: len(of)])
+        lists = pa.array(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32))
+        return batch({
+            "row": row + np.arange(n), "doc_id": part.column(0), "held_out": part.column(2), "n_tokens": sizes + 1,
+            "n_known": np.diff(cuts) + (voc.end_count > 0), "count_logs": [float(found_logs[a:b].sum()) + end_log for a, b in spans], "within": within,
+            "symbols": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(table)]),
+            "rare": pa.ListArray.from_arrays(lists, pa.array(met[new])),
+            "times": pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(new, len(of))).astype(np.int32))),
+        }, CODED)
 
     return map_arrow(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out"), run,

@@ -303,3 +303,44 @@ def test_freed_memory_is_given_back():
     del texts
     give_back()
     assert len(few) and full - held() > 60_000_000
+
+
+def test_words_are_hashed_once_for_many_texts(monkeypatch):
+    """Counting and coding look at the distinct words of some texts, not at each text's words."""
+    import pyarrow as pa
+    from unittest import mock
+
+    made, seen = [], []
+    hashed = hmm_lm.xxhash.xxh64_intdigest
+    monkeypatch.setattr(hmm_lm, "map_arrow", lambda df, fn, schema: made.append(fn) or mock.MagicMock())
+    monkeypatch.setattr(hmm_lm, "F", mock.MagicMock())
+    monkeypatch.setattr(hmm_lm, "TaskContext", mock.MagicMock(get=lambda: mock.Mock(partitionId=lambda: 2)))
+    monkeypatch.setattr(hmm_lm.xxhash, "xxh64_intdigest", lambda w, *more: seen.append(bytes(w)) or hashed(w, *more))
+    m = hmm_lm.Model(states=2, own=1, groups=8, known=2)
+    docs = mock.MagicMock()
+    hmm_lm.count_words(docs, m)
+    texts = ["  Often rareword\x0b\n", None, "", "rareword often often \x1c \u2003 Éa éA", "\t "] + ["rareword often OFTEN"] * 50
+    counts = {}
+    for rows in made[0](iter([pa.record_batch({"text": pa.array(texts, pa.string())})])):
+        for r in rows.to_pylist():
+            counts[r["word"]] = counts.get(r["word"], 0) + r["n"]
+    plain = [w for t in texts for w in (t or "").encode().lower().split()]
+    number = lambda w: int(hmm_lm.signed(np.array([hashed(w)], np.uint64))[0])
+    assert counts == {number(w): plain.count(w) for w in set(plain)} | {number(b" "): len(texts)}
+    frequent = np.sort(np.array([number(b"often"), number("\u2003".encode())], np.int64))
+    docs.sparkSession.sparkContext.broadcast.return_value.value = hmm_lm.Vocabulary(
+        frequent, np.array([5, 6]), np.array([1, 2]), np.array([0, -1]), np.zeros(8), 100, 10, len(texts), None
+    )
+    hmm_lm.encode(docs, docs.sparkSession.sparkContext.broadcast.return_value.value, m)
+    seen.clear()
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string()), "held_out": pa.array([False] * len(texts))})
+    got = [r for b in made[1](iter([rows])) for r in b.to_pylist()]
+    assert seen.count(b"rareword") == 1
+    for k, (r, t) in enumerate(zip(got, texts, strict=True)):
+        words = [number(w) for w in (t or "").encode().lower().split()]
+        rare = sorted(set(words) - set(frequent.tolist()))
+        assert (r["row"], r["doc_id"], r["n_tokens"], r["rare"]) == ((2 << 33) + k, k, len(words) + 1, rare)
+        assert r["times"] == [words.count(x) for x in rare]
+        assert r["n_known"] == sum(w not in rare for w in words) + 1
+        symbols = np.frombuffer(r["symbols"], np.uint16)
+        assert len(symbols) == len(words) + 1 and symbols[-1] == m.own
